@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from .text import blank_to_null, col
@@ -31,7 +32,7 @@ def strip_fence(text: Column | str) -> Column:
     return F.when(body.startswith("```"), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(body)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_json(texts: pd.Series) -> pd.Series:
     decoder = json.JSONDecoder()
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,7 +44,8 @@ def found(pattern: str, value: Column, group: int = 1) -> Column:
 
 
 def contains_any(value: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [value.contains(word) for word in words])
+    """Whether any word occurs in the value: one pattern, so the value appears once in the plan."""
+    return value.rlike("|".join(re.sub(r"([.+*?()\[\]{}|^$\\])", r"\\\1", word) for word in words))
 
 
 def clean_text(value: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .classify import category, valid_product_name, valid_product_url
-from .text import blank_to_null, clean_price, clean_text, infer_package_count, infer_volume_ml
+from .text import blank_to_null, clean_price, clean_text, infer_package_count, infer_volume_ml, let
 
 
 def _limit(label: Column, position: int) -> Column:
@@ -23,31 +23,37 @@ def price_bounds(name: Column, row_category: Column, url: Column, domain: Column
                  volume: Column | None = None, raw: Column | None = None) -> Column:
     """Lowest and highest plausible price, scaled by pack count and by volume."""
     empty = F.lit(None).cast("string")
-    label = category(row_category, name, url, domain)
-    count = infer_package_count(name, raw if raw is not None else empty).cast("double")
-    ml = infer_volume_ml(name, volume if volume is not None else empty).cast("double")
-    scale = (
-        F.when(ml.isNull() | (ml == 0), 1.0)
-        .when(label.isin("Rượu", "Bia"), F.greatest(F.lit(0.15), F.least(ml / 750, F.lit(4.0))))
-        .when(label == "Sữa", F.greatest(F.lit(0.1), F.least(ml / 1000, F.lit(10.0))))
-        .otherwise(1.0)
-    )
-    return F.struct((_limit(label, 0) * count * scale).cast("long").alias("low"),
-                    (_limit(label, 1) * count * scale).cast("long").alias("high"))
+    facts = F.struct(
+        category(row_category, name, url, domain).alias("label"),
+        infer_package_count(name, raw if raw is not None else empty).cast("double").alias("count"),
+        infer_volume_ml(name, volume if volume is not None else empty).cast("double").alias("ml"))
+
+    def bounds(f: Column) -> Column:
+        label, ml = f["label"], f["ml"]
+        scale = (
+            F.when(ml.isNull() | (ml == 0), 1.0)
+            .when(label.isin("Rượu", "Bia"), F.greatest(F.lit(0.15), F.least(ml / 750, F.lit(4.0))))
+            .when(label == "Sữa", F.greatest(F.lit(0.1), F.least(ml / 1000, F.lit(10.0))))
+            .otherwise(1.0))
+        return F.struct((_limit(label, 0) * f["count"] * scale).cast("long").alias("low"),
+                        (_limit(label, 1) * f["count"] * scale).cast("long").alias("high"))
+
+    return let(facts, bounds)
 
 
 def row_checks(row: dict[str, Column], domain: Column, target: Column | str) -> Column:
     """Struct of booleans: product_name, price, product_url, old_price."""
     target = F.lit(target) if isinstance(target, str) else target
-    price, old = clean_price(row["price"]), clean_price(row["old_price"])
     bounds = price_bounds(F.coalesce(blank_to_null(row["product_name"]), row.get("name", row["product_name"])),
                           row["category"], row["product_url"], domain, row.get("volume_ml"))
-    return F.struct(
-        valid_product_name(row["product_name"]).alias("product_name"),
-        F.coalesce((price > 0) & (price >= bounds["low"]) & (price <= bounds["high"]), F.lit(False)).alias("price"),
+    facts = F.struct(clean_price(row["price"]).alias("price"), clean_price(row["old_price"]).alias("old"), bounds.alias("b"))
+    prices = let(facts, lambda f: F.struct(
+        F.coalesce((f["price"] > 0) & f["price"].between(f["b"]["low"], f["b"]["high"]), F.lit(False)).alias("price"),
+        (f["old"].isNull() | f["price"].isNull() | (f["old"] >= f["price"])).alias("old_price")))
+    return let(prices, lambda p: F.struct(
+        valid_product_name(row["product_name"]).alias("product_name"), p["price"].alias("price"),
         ((target == "product_detail") | F.coalesce(valid_product_url(row["product_url"], domain), F.lit(False))).alias("product_url"),
-        (old.isNull() | price.isNull() | (old >= price)).alias("old_price"),
-    )
+        p["old_price"].alias("old_price")))
 
 
 def valid_store(row: dict[str, Column]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.classify import category, job_bucket, job_label, source_group
 from ..functions.urls import is_url_like, name_from_url, without_www
-from .common import eq_filters, skip_all
+from .common import eq_filters, side_by_side, skip_all
 
 
 # --- search and views -----------------------------------------------------------------------
@@ -194,7 +194,7 @@ def market_stats(products: DataFrame, offers: DataFrame, as_of: Column) -> DataF
     trend = F.coalesce(F.concat(F.when(change >= 0, "+").otherwise(""), change.cast("decimal(18,1)").cast("string"), F.lit("% ("),
                                 F.col("m")["prev_month"], F.lit(" -> "), F.col("m")["month"], F.lit(")")), F.lit("N/A"))
     price = products.agg(F.coalesce(F.round(F.avg(F.when(F.col("price_numeric") > 0, F.col("price_numeric"))), 0), F.lit(0.0)).alias("avg_price"))
-    return price.crossJoin(last).select("avg_price", F.lit("VND").alias("currency"), trend.alias("trend"))
+    return side_by_side(price, last).select("avg_price", F.lit("VND").alias("currency"), trend.alias("trend"))
 
 
 def source_price_comparison(products: DataFrame) -> DataFrame:
@@ -216,8 +216,8 @@ def domain_counts(products: DataFrame, quarantine: DataFrame) -> DataFrame:
 
 
 def pipeline_overview(pipelines: DataFrame, runs: DataFrame) -> DataFrame:
-    left = pipelines.agg(F.count("*").alias("total"), F.count_if("enabled").alias("enabled"))
-    return left.crossJoin(runs.agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "running").alias("running")))
+    return side_by_side(pipelines.agg(F.count("*").alias("total"), F.count_if("enabled").alias("enabled")),
+                        runs.agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "running").alias("running")))
 
 
 def status_totals(df: DataFrame, statuses: list[str], column: str = "status") -> DataFrame:
@@ -240,7 +240,7 @@ def source_totals(registry: DataFrame) -> DataFrame:
 
 def dashboard(products: DataFrame, offers: DataFrame, tasks: DataFrame, as_of: Column) -> DataFrame:
     """Product, task and market figures in one row."""
-    return product_stats(products).crossJoin(job_counts(tasks)).crossJoin(market_stats(products, offers, as_of))
+    return side_by_side(product_stats(products), job_counts(tasks), market_stats(products, offers, as_of))
 
 
 def product_master(products: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,12 @@ def previous_row(df: DataFrame, key: str, order: str, columns: list[str], bucket
     return cut.join(edges, [key, "_bucket"]).withColumn("previous", F.coalesce("_near", "_far")).drop("_bucket", "_near", "_far")
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row results as one row: a union folded by ``max``, so no product of tables is built."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def skip_all(value: str | None) -> bool:
     return value is None or value in ("", "all")
 

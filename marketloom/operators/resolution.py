@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.ids import canonical_key, full_part_id, pair_id
+from .common import side_by_side
 from .components import connected_components
 from .similarity import match_ratio, similar_pairs
 
@@ -156,7 +157,7 @@ def match_counts(products: DataFrame, min_score: float = 0.88) -> DataFrame:
         F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("key_pairs"), F.sum("n").alias("products_scanned"))
     fuzzy = fuzzy_edges(table, min_score).agg(
         F.coalesce(F.sum(F.col("left_products") * F.col("right_products")), F.lit(0)).alias("fuzzy_pairs"))
-    return by_key.crossJoin(fuzzy).select("products_scanned", (F.col("key_pairs") + F.col("fuzzy_pairs")).alias("candidate_matches"))
+    return side_by_side(by_key, fuzzy).select("products_scanned", (F.col("key_pairs") + F.col("fuzzy_pairs")).alias("candidate_matches"))
 
 
 def propagate(target: DataFrame, canonical: DataFrame, as_of: Column) -> DataFrame:

@@ -1,0 +1,6 @@
+"""Registered queries; importing the sections fills the registry."""
+
+from . import functions_, analytics_  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

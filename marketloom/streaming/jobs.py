@@ -78,7 +78,7 @@ _PAIRED = ", ".join(["source_id string", *[f"{p}{c.strip()}" for p in ("", "prev
 def drift_stream(runs: DataFrame) -> DataFrame:
     """Drift warnings of a stream of run metrics (source_id, run_id, metrics, quarantined)."""
     paired = runs.groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=LastMetrics(), outputStructType=_PAIRED.replace("previous_ ", "previous_"), outputMode="Append", timeMode="None")
+        statefulProcessor=LastMetrics(), outputStructType=_PAIRED, outputMode="Append", timeMode="None")
     before = F.when(F.col("previous_run_id").isNotNull(), metric_struct("previous_"))
     return paired.withColumn("warnings", drift_warnings(metric_struct(), before))
 
