@@ -166,14 +166,20 @@ def _(t):
     return t.observations.groupBy("observation_id").agg(F.count("*").alias("n"), F.max(pair).alias("pair"))
 
 
-def _bound(which: int) -> str:
-    cat = A.category("category", "product_name", "product_url", "domain")
-    base = "CASE c " + " ".join(f"WHEN '{k}' THEN {v[which]}" for k, v in K.PRICE_LIMITS.items()) + " END"
-    scale = "CASE WHEN ml IS NULL OR ml = 0 THEN 1.0 WHEN c IN ('Rượu', 'Bia') THEN greatest(0.15, least(ml / 750.0, 4.0)) WHEN c = 'Sữa' THEN greatest(0.1, least(ml / 1000.0, 10.0)) ELSE 1.0 END"
-    return f"CAST(trunc(CAST({base} AS DOUBLE) * CAST(n AS DOUBLE) * CAST({scale} AS DOUBLE)) AS BIGINT)", cat
+def bounds_table(category: str = "category") -> str:
+    """Products with label c and price bounds low and high."""
+    def bound(which: int) -> str:
+        base = "CASE c " + " ".join(f"WHEN '{k}' THEN {v[which]}" for k, v in K.PRICE_LIMITS.items()) + " END"
+        scale = ("CASE WHEN ml IS NULL OR ml = 0 THEN 1.0 WHEN c IN ('Rượu', 'Bia') THEN greatest(0.15, least(ml / 750.0, 4.0)) "
+                 "WHEN c = 'Sữa' THEN greatest(0.1, least(ml / 1000.0, 10.0)) ELSE 1.0 END")
+        return f"CAST(trunc(CAST({base} AS DOUBLE) * CAST(n AS DOUBLE) * CAST({scale} AS DOUBLE)) AS BIGINT)"
 
+    label = A.category(category, "product_name", "product_url", "domain")
+    return (f"(SELECT *, {bound(0)} AS low, {bound(1)} AS high FROM (SELECT *, {label} AS c, coalesce(greatest(1, least(coalesce({_PACKAGE}), 500)), 1) AS n, "
+            f"CAST({A.volume(A.joined('product_name'))} AS DOUBLE) AS ml FROM products))")
 
-_BOUNDS = f"(SELECT *, {_bound(0)[0]} AS low, {_bound(1)[0]} AS high FROM (SELECT *, {_bound(0)[1]} AS c, coalesce(greatest(1, least(coalesce({_PACKAGE}), 500)), 1) AS n, CAST({A.volume(A.joined('product_name'))} AS DOUBLE) AS ml FROM products))"
+
+_BOUNDS = bounds_table()
 
 
 @query("d25_price_bounds", f"SELECT product_id, low, high FROM {_BOUNDS}")
