@@ -23,7 +23,12 @@ def category(*values: Column, rules: list[tuple[str, list[str]]] | None = None,
 
     Keywords match as substrings; ``whole_words`` asks for word bounds instead.
     """
-    text, rules = joined_lower(*values), rules or K.CATEGORY_KEYWORDS
+    return category_of(joined_lower(*values), rules, whole_words)
+
+
+def category_of(text: Column, rules: list[tuple[str, list[str]]] | None = None, whole_words: bool = False) -> Column:
+    """:func:`category` of text that is joined and lowered already, as a column of its own."""
+    rules = rules or K.CATEGORY_KEYWORDS
     if not whole_words:
         return _first_label(text, rules, K.DEFAULT_CATEGORY)
     padded = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" "))

@@ -30,7 +30,9 @@ def col(value: Column | str) -> Column:
 
 
 def blank_to_null(value: Column | str) -> Column:
-    return F.nullif(col(value), F.lit(""))
+    """NULL for the empty string. Written so that ``value`` stands in the plan once, also inside
+    branches and lambdas, where ``nullif`` would copy it."""
+    return F.get(F.regexp_extract_all(col(value), F.lit(r"(?s)^.+$"), F.lit(0)), 0)
 
 
 def let(value: Column, body) -> Column:

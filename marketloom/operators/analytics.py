@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.classify import category, job_bucket, job_label, source_group
+from ..functions.classify import category_of, job_bucket, job_label, source_group
 from ..functions.urls import is_url_like, name_from_url, without_www
 from .common import eq_filters, side_by_side, skip_all
 
@@ -38,8 +38,9 @@ def product_view(products: DataFrame, rules: list | None = None) -> DataFrame:
     df = df.withColumn("_name", F.when(is_url_like("_name"), name_from_url("_name")).when(
         F.col("_name").isNull(), name_from_url("_url")).otherwise(F.col("_name")))
     either = lambda n: F.coalesce(X.blank_to_null(have(n)), X.blank_to_null(raw(n)))
-    label = category(F.coalesce(X.blank_to_null(have("category")), have("normalized_category")), F.col("_name"), F.col("_url"),
-                     F.col("domain"), rules=rules)
+    df = df.withColumn("_words", X.joined_lower(
+        F.coalesce(X.blank_to_null(have("category")), have("normalized_category")), F.col("_name"), F.col("_url"), F.col("domain")))
+    label = category_of(F.col("_words"), rules)
     plain = ["brand", "image_url", "data_origin", "rule_version", "extraction_method", "canonical_product_id", "canonical_key"]
     numbers = ["validation_score", "canonical_match_score"]
     return df.select(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as X
-from ..functions.classify import address_status, category, price_status
-from ..functions.ids import part_id, price_part
+from ..functions.classify import address_status, category_of, price_status
+from ..functions.ids import part_id, price_part, text_hash
 from ..functions.urls import is_url_like, name_from_url, resolve_url, without_www
 from ..session import broadcast_if_small
 
@@ -49,14 +49,15 @@ def with_payload(df: DataFrame) -> DataFrame:
         .when((named == "") & link.isNotNull(), name_from_url(link)).otherwise(named),
         "price_numeric": F.coalesce(_entry(record, "price_number").try_cast("double"), X.clean_price("_price"))})
     df = df.filter((F.col("product_name") != "") | (F.coalesce(link, F.lit("")) != ""))
+    df = df.withColumn("_words", X.joined_lower(F.col("_category"), F.col("product_name"), link, F.col("domain")))
     df = df.withColumns({
         "product_id": part_id("domain", F.coalesce(X.blank_to_null(link), F.col("product_name"))),
-        "category": category(F.col("_category"), F.col("product_name"), link, F.col("domain")),
+        "category": category_of(F.col("_words")),
         "price_status": price_status("_price", F.col("price_numeric")),
         "address_status": address_status("store_address", F.col("store_channel")),
         "raw_data": F.map_filter(record, lambda k, v: ~k.isin("store_id", "price_number"))})
     return df.withColumns({"canonical_name": F.col("product_name"), "price": F.col("price_numeric"),
-                           "normalized_category": F.col("category")}).drop("_name", "_price", "_category")
+                           "normalized_category": F.col("category")}).drop("_name", "_price", "_category", "_words")
 
 
 def attach_store_config(pages: DataFrame, sources: DataFrame | None) -> DataFrame:
@@ -180,3 +181,19 @@ def publishable_reviews(reviews: DataFrame, as_of: Column) -> DataFrame:
                        F.col("raw_page_id").alias("evidence_id"), F.lit("ai_review").alias("extraction_method"), "model",
                        F.lit(None).cast("string").alias("rule_version"),
                        F.col("confidence").alias("validation_score"), as_of.alias("updated_at"))
+
+
+def review_rows(items: DataFrame) -> DataFrame:
+    """Review-queue rows of parsed items (domain, raw_page_id, url, place, item struct).
+
+    The id hashes domain, page, type, place, name and URL, so a repeated parse gives the same rows.
+    """
+    item = F.col("item")
+    payload = F.struct(*[item[n].alias(n) for n in ("name", "url", "price", "currency", "store_name", "store_url", "image_url", "confidence", "reason")],
+                       item["address"].alias("store_address"), item["phone"].alias("store_phone"))
+    key = F.to_json(F.struct("domain", item["entity_type"].alias("entity_type"), (F.col("place") + 1).alias("index"), item["name"].alias("name"),
+                             F.coalesce("raw_page_id", F.lit("")).alias("raw_page_id"), item["url"].alias("url")))
+    return items.select(
+        text_hash(key).alias("review_id"), "domain", "raw_page_id", F.col("url").alias("raw_page_url"), item["entity_type"].alias("entity_type"),
+        payload.alias("payload"), item["confidence"].alias("confidence"), item["reason"].alias("reason"),
+        F.coalesce(X.blank_to_null(item["review_status"]), F.lit("needs_review")).alias("status"), F.lit("").alias("note"))

@@ -43,7 +43,7 @@ def candidate_pairs(items: DataFrame, item: str, text: str, threshold: float, bl
     """
     t = threshold - _SLACK
     # Shortest total length a partner allows, and from it the bigrams that must be shared.
-    total = F.length(text) * (1 + t / (2 - t))
+    total = F.length("text") * (1 + t / (2 - t))
     shared = F.greatest(F.lit(1), F.ceil((1.5 * t - 1) * F.greatest(total, F.lit(6.0)) - 1 - 1e-6).cast("int"))
     base = items.select(F.col(item).alias("item"), F.col(text).alias("text"), F.length(text).alias("size"), *block).filter("size > 0")
     spread = base.select(

@@ -1,6 +1,6 @@
 """Registered queries; importing the sections fills the registry."""
 
-from . import analytics_, functions_, pages_, quality_  # noqa: F401
+from . import analytics_, functions_, pages_, quality_, resolution_, streams_  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -44,7 +44,7 @@ def _(t):
 
 # --- links ----------------------------------------------------------------------------------
 
-_HREFS = rf"(SELECT raw_page_id, url, unnest(regexp_extract_all({A.body('html')}, '(?is)<a\b[^>]*?\bhref\s*=\s*""([^""]*)""', 1)) AS href FROM raw_pages)".replace('""', '"')
+_HREFS = f"""(SELECT raw_page_id, url, unnest(regexp_extract_all({A.body('html')}, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1)) AS href FROM raw_pages)"""
 _ORIGIN = "regexp_extract(url, '^https?://[^/?#]*')"
 _LINK = f"regexp_replace(regexp_replace(CASE WHEN starts_with(href, '/') THEN {_ORIGIN} || href ELSE href END, '#.*$', ''), '/+$', '')"
 _LPATH = "lower(regexp_extract(link, '^https?://[^/?#]*([^?#;]*)', 1))"
@@ -413,10 +413,11 @@ def _(t):
     return Q.rule_verdicts(Q.target_results(*_rule_rows(t))).select("domain", "score", "accepted", F.array_join("passed_targets", ",").alias("passed"))
 
 
-@query("j7_rule_reuse", f"SELECT domain FROM (WITH r AS {_target_sql(_bounds_sql())} SELECT domain, bool_and({_PASSED}) AS ok FROM r GROUP BY domain) WHERE ok")
+@query("j7_rule_reuse", f"SELECT domain FROM {_target_sql(_bounds_sql())} WHERE target = 'listing' AND {_PASSED} AND (2 * row_count + valid_rows) / (3 * row_count) * 0.65 + least(1.0, valid_rows / 5) * 0.25 + 0.10 >= 0.72")
 def _(t):
     from ..operators.lifecycle import reused_rules
-    return reused_rules(Q.rule_verdicts(Q.target_results(*_rule_rows(t)))).select("domain")
+    rows, samples = _rule_rows(t)
+    return reused_rules(Q.rule_verdicts(Q.target_results(rows.filter("target = 'listing'"), samples.filter("target = 'listing'")))).select("domain")
 
 
 @query("f13_store_metrics", "SELECT domain, count(*) AS sample_count, count(*) AS valid_rows, true AS passed FROM products GROUP BY domain")

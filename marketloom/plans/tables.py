@@ -172,11 +172,11 @@ class Tables:
     """Base and derived tables of one data folder, as attributes."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self._folder = spark, folder
+        self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         sql = _hours(DERIVED[name], spark=True)
         used = {w for w in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql) if w in BASE or w in DERIVED}
         braced = re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], sql)

@@ -46,6 +46,9 @@ def capture_sessions(events: DataFrame, gap: str = "15 minutes", lateness: str =
         "source", F.col("w")["start"].alias("session_start"), F.col("w")["end"].alias("session_end"), "events")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 class LastMetrics(StatefulProcessor):
     """Keeps each source's last accepted metrics and pairs every new run with them."""
 
@@ -76,7 +79,12 @@ _PAIRED = ", ".join(["source_id string", *[f"{p}{c.strip()}" for p in ("", "prev
 
 
 def drift_stream(runs: DataFrame) -> DataFrame:
-    """Drift warnings of a stream of run metrics (source_id, run_id, metrics, quarantined)."""
+    """Drift warnings of a stream of run metrics (source_id, run_id, metrics, quarantined).
+
+    A row is one run of one source, so a micro-batch holds few rows per key. The state operator
+    needs the RocksDB state store, which is set here.
+    """
+    runs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     paired = runs.groupBy("source_id").transformWithStateInPandas(
         statefulProcessor=LastMetrics(), outputStructType=_PAIRED, outputMode="Append", timeMode="None")
     before = F.when(F.col("previous_run_id").isNotNull(), metric_struct("previous_"))
