@@ -120,8 +120,8 @@ def infer_volume_ml(*values: Column) -> Column:
 def infer_package_count(*values: Column) -> Column:
     """Units in a pack by three patterns in order, kept within 1..500, 1 when none applies."""
     text = joined_lower(*values)
-    count = F.coalesce(*[found(p, text).cast("int") for p in PACKAGE_PATTERNS])
-    return F.coalesce(F.greatest(F.lit(1), F.least(count, F.lit(500))), F.lit(1))
+    count = F.coalesce(*[found(p, text).cast("int") for p in PACKAGE_PATTERNS], F.lit(1))
+    return F.greatest(F.lit(1), F.least(count, F.lit(500)))
 
 
 def stock_status(value: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.ids import canonical_key, full_part_id, pair_id
+from ..session import cut_lineage
 from .common import side_by_side
 from .components import connected_components
 from .similarity import match_ratio, similar_pairs
@@ -125,8 +126,9 @@ def key_edges(table: DataFrame) -> DataFrame:
 
 def canonicalize(products: DataFrame, min_score: float = 0.88, decimal_comma: bool = False) -> DataFrame:
     """(product_id, canonical_product_id, canonical_key, canonical_match_score) for every product."""
-    features = canonical_features(products, decimal_comma)
-    table = profiles(features)
+    # Both tables are read many times below: write them once, so no round starts from the raw text.
+    features = cut_lineage(canonical_features(products, decimal_comma))
+    table = cut_lineage(profiles(features))
     edges = key_edges(table).union(fuzzy_edges(table, min_score).select("left_profile", "right_profile"))
     groups = connected_components(edges, "left_profile", "right_profile")
     placed = table.join(groups, table["profile"] == groups["node"], "left").withColumn(
@@ -151,8 +153,7 @@ def canonicalize(products: DataFrame, min_score: float = 0.88, decimal_comma: bo
 
 def match_counts(products: DataFrame, min_score: float = 0.88) -> DataFrame:
     """Scanned products, groups and matching pairs, the pairs counted without building them."""
-    features = canonical_features(products)
-    table = profiles(features)
+    table = cut_lineage(profiles(canonical_features(products)))
     by_key = table.groupBy("canonical_key").agg(F.sum("products").alias("n")).agg(
         F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("key_pairs"), F.sum("n").alias("products_scanned"))
     fuzzy = fuzzy_edges(table, min_score).agg(

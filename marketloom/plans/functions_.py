@@ -97,7 +97,7 @@ _PACKAGE = ", ".join(f"try_cast({A.first(A.joined('product_name'), p)} AS INTEGE
     r"(?i)(?:thùng|hộp|lốc|pack|case)\s*(\d{1,3})", r"(?i)(\d{1,3})\s*(?:chai|lon|hộp|goi|gói)\b", r"(?i)x\s*(\d{1,3})\b"))
 
 
-@query("d13_package_count", f"SELECT product_id, coalesce(greatest(1, least(coalesce({_PACKAGE}), 500)), 1) AS n FROM products")
+@query("d13_package_count", f"SELECT product_id, greatest(1, least(coalesce({_PACKAGE}, 1), 500)) AS n FROM products")
 def _(t):
     return t.products.select("product_id", X.infer_package_count(F.col("product_name")).alias("n"))
 
@@ -175,7 +175,7 @@ def bounds_table(category: str = "category") -> str:
         return f"CAST(trunc(CAST({base} AS DOUBLE) * CAST(n AS DOUBLE) * CAST({scale} AS DOUBLE)) AS BIGINT)"
 
     label = A.category(category, "product_name", "product_url", "domain")
-    return (f"(SELECT *, {bound(0)} AS low, {bound(1)} AS high FROM (SELECT *, {label} AS c, coalesce(greatest(1, least(coalesce({_PACKAGE}), 500)), 1) AS n, "
+    return (f"(SELECT *, {bound(0)} AS low, {bound(1)} AS high FROM (SELECT *, {label} AS c, greatest(1, least(coalesce({_PACKAGE}, 1), 500)) AS n, "
             f"CAST({A.volume(A.joined('product_name'))} AS DOUBLE) AS ml FROM products))")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.common import latest_by
@@ -42,12 +41,10 @@ def _(t):
 
 
 @query("m4_capture_sessions", """WITH m AS (SELECT event_type AS source, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
-    s AS (SELECT source, ts, sum(new) OVER (PARTITION BY source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM m) SELECT source, n AS session_no, count(*) AS events FROM s GROUP BY 1, 2 HAVING max(ts) + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+    s AS (SELECT source, ts, sum(new) OVER (PARTITION BY source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM m) SELECT source, epoch_us(min(ts)) AS started, count(*) AS events FROM s GROUP BY source, n HAVING max(ts) + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def _(t):
     events = stream_table(t.spark, t.folder, "events").select(F.col("event_type").alias("source"), "ts")
-    sessions = drain(S.capture_sessions(events), "sessions")
-    number = F.row_number().over(Window.partitionBy("source").orderBy("session_start"))
-    return sessions.select("source", (number - 1).cast("long").alias("session_no"), "events")
+    return drain(S.capture_sessions(events), "sessions").select("source", F.unix_micros("session_start").alias("started"), "events")
 
 
 def _run_metrics(frame):
