@@ -3,8 +3,9 @@
 The ratio is 2*M/T with M the characters in matching blocks and T both lengths together. D = T-2*M
 characters stay unmatched, so there are at most D+1 blocks, and two strings that reach ratio t
 share at least M-(D+1) = (1.5*t-1)*T-1 bigrams. A pair therefore meets in the rarest bigrams of
-each string (prefix filter), and only such pairs are built and scored; nothing is capped. Strings
-too short for that bound to bite also meet on single characters.
+each string (prefix filter), and only such pairs are built; nothing is capped. Strings too short for
+that bound to bite also meet on single characters. As M can be no more than the characters the two
+have in common, pairs without enough of those are dropped before the ratio is computed.
 """
 
 from __future__ import annotations
@@ -39,39 +40,39 @@ def _grams(text: Column, width: int) -> Column:
 def candidate_pairs(items: DataFrame, item: str, text: str, threshold: float, block: list[str]) -> DataFrame:
     """Pairs (left, right) of distinct items in one block that may reach ``threshold``.
 
-    ``items`` has one row per distinct text and block, so copies of one text meet nobody here.
+    ``items`` has one row per distinct text and block, so copies of one text meet nobody here. The
+    gram join moves only short ids and lengths; texts come back for the pairs that meet, and those
+    must still share enough single characters before anything is scored.
     """
     t = threshold - _SLACK
-    # Shortest total length a partner allows, and from it the bigrams that must be shared.
-    total = F.length("text") * (1 + t / (2 - t))
-    shared = F.greatest(F.lit(1), F.ceil((1.5 * t - 1) * F.greatest(total, F.lit(6.0)) - 1 - 1e-6).cast("int"))
     base = items.select(F.col(item).alias("item"), F.col(text).alias("text"), F.length(text).alias("size"), *block).filter("size > 0")
-    spread = base.select(
-        "*", F.posexplode(F.concat(
-            F.transform(_grams(F.col("text"), 2), lambda g: F.struct(F.lit(2).alias("width"), g.alias("gram"))),
-            F.when(F.col("size") <= 3, F.transform(_grams(F.col("text"), 1), lambda g: F.struct(F.lit(1).alias("width"), g.alias("gram"))))
-            .otherwise(F.array().cast("array<struct<width:int,gram:string>>")))).alias("at", "token"))
-    tokens = spread.select("item", "text", "size", *block, F.col("token")["gram"].alias("gram"), F.col("token")["width"].alias("width"))
+    base = base.withColumn("uid", F.substring(F.sha1(F.concat_ws("\x01", "item", *block).cast("binary")), 1, 20))
+    short = F.when(F.col("size") <= 3, F.transform(_grams(F.col("text"), 1), lambda g: F.struct(F.lit(1).alias("width"), g.alias("gram")))).otherwise(
+        F.array().cast("array<struct<width:int,gram:string>>"))
+    tokens = base.select("uid", "size", *block, F.explode(F.concat(
+        F.transform(_grams(F.col("text"), 2), lambda g: F.struct(F.lit(2).alias("width"), g.alias("gram"))), short)).alias("token"))
+    tokens = tokens.select("uid", "size", *block, F.col("token")["gram"].alias("gram"), F.col("token")["width"].alias("width"))
     # Gram frequencies are bounded by the alphabet squared times the longest repeat, not by the rows.
     frequency = tokens.groupBy("gram").agg(F.count("*").alias("uses"))
-    ranked = tokens.join(frequency, "gram").groupBy("item", *block).agg(
-        F.first("text").alias("text"), F.first("size").alias("size"),
+    ranked = tokens.join(frequency, "gram").groupBy("uid", "size", *block).agg(
         F.array_sort(F.collect_list(F.when(F.col("width") == 2, F.struct("uses", "gram")))).alias("pairs"),
-        F.array_sort(F.collect_list(F.when(F.col("width") == 1, F.struct("uses", "gram")))).alias("singles"))
-    needed = shared
-    prefix = F.concat(
-        F.transform(F.slice("pairs", F.lit(1), F.greatest(F.size("pairs") - needed + 1, F.lit(0))), lambda g: g["gram"]),
-        F.transform("singles", lambda g: g["gram"]))
-    probes = ranked.withColumn("prefix", prefix).select("item", *block, "text", "size", "prefix", F.explode("prefix").alias("gram"))
-    left = probes.select(*block, "gram", *[F.col(c).alias(f"left_{c}") for c in ("item", "text", "size", "prefix")])
-    right = probes.select(*block, "gram", *[F.col(c).alias(f"right_{c}") for c in ("item", "text", "size", "prefix")])
-    floor = t / (2 - t)
-    # A pair is kept only under the first gram its prefixes share, so no pair comes up twice.
-    return left.join(right, [*block, "gram"]).filter(
-        (F.col("left_item") < F.col("right_item"))
-        & (F.least("left_size", "right_size") >= floor * F.greatest("left_size", "right_size"))
-        & (F.array_min(F.array_intersect("left_prefix", "right_prefix")) == F.col("gram"))
-    ).select(*block, "left_item", "right_item", "left_text", "right_text")
+        F.collect_list(F.when(F.col("width") == 1, F.col("gram"))).alias("singles"))
+    # Shortest total length a partner allows, and from it the bigrams that must be shared.
+    total = F.greatest(F.col("size") * (1 + t / (2 - t)), F.lit(6.0))
+    shared = F.greatest(F.lit(1), F.ceil((1.5 * t - 1) * total - 1 - 1e-6).cast("int"))
+    prefix = F.concat(F.transform(F.slice("pairs", F.lit(1), F.greatest(F.size("pairs") - shared + 1, F.lit(0))), lambda g: g["gram"]), "singles")
+    probes = ranked.select("uid", "size", *block, F.explode(prefix).alias("gram"))
+    side = lambda s: probes.select(*block, "gram", *[F.col(c).alias(f"{s}_{c}") for c in ("uid", "size")])
+    met = side("left").join(side("right"), [*block, "gram"]).filter(
+        (F.col("left_uid") < F.col("right_uid")) & (F.least("left_size", "right_size") >= t / (2 - t) * F.greatest("left_size", "right_size"))
+    ).select("left_uid", "right_uid").distinct()
+    letters = base.select("uid", *block, F.struct("item", "text", "size", _grams(F.col("text"), 1).alias("letters")).alias("x"))
+    pairs = met.join(letters.select(F.col("uid").alias("left_uid"), *block, F.col("x").alias("a")), "left_uid").join(
+        letters.select(F.col("uid").alias("right_uid"), F.col("x").alias("b")), "right_uid")
+    pairs = pairs.filter(F.size(F.array_intersect("a.letters", "b.letters")) >= t / 2 * (F.col("a.size") + F.col("b.size")) - 1e-6)
+    first, second = F.least("a", "b"), F.greatest("a", "b")
+    return pairs.select(*block, first["item"].alias("left_item"), second["item"].alias("right_item"),
+                        first["text"].alias("left_text"), second["text"].alias("right_text"))
 
 
 def similar_pairs(items: DataFrame, item: str, text: str, threshold: float, block: list[str]) -> DataFrame:
