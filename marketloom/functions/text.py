@@ -67,8 +67,11 @@ def first_alias(record: Column, names: list[str]) -> Column:
 
 
 def lower_keys(record: Column) -> Column:
-    """The map with its keys trimmed and lowered, later keys winning."""
-    return F.transform_keys(record, lambda k, _: F.lower(F.trim(k)))
+    """The map with its keys trimmed and lowered; of keys that become alike the last one stays."""
+    lowered = F.transform(F.map_entries(record), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.exists(
+        F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(let(lowered, last))
 
 
 def title_case(value: Column) -> Column:

@@ -380,7 +380,7 @@ def choose_rows(read: DataFrame, generic: bool = True) -> DataFrame:
 
     def with_brand(row: Column) -> Column:
         fill = brand.isNotNull() & X.blank_to_null(F.try_element_at(row["record"], F.lit("brand"))).isNull()
-        extra = lambda m, v: F.when(fill, F.map_concat(m, F.create_map(F.lit("brand"), v))).otherwise(m)
+        extra = lambda m, v: F.when(fill, F.map_concat(F.map_filter(m, lambda k, _: k != "brand"), F.create_map(F.lit("brand"), v))).otherwise(m)
         return F.struct(row["row_no"].alias("row_no"), extra(row["record"], brand).alias("record"),
                         extra(row["sources"], F.lit("page_metadata")).alias("sources"), row["details"].alias("details"))
 

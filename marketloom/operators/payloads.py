@@ -120,9 +120,10 @@ def products_of_pages(chosen: DataFrame, as_of: Column, method: str = "rule", mo
         "raw_page_id", "domain", "url", "source_id", "content_hash", "rule_version",
         fills.alias("fills"), fill_sources.alias("fill_sources"), F.explode("product_rows").alias("row"))
     own = F.map_filter(F.col("row")["record"], lambda k, v: F.coalesce(v, F.lit("")) != "")
+    row_sources = F.map_filter(F.col("row")["sources"], lambda k, v: F.map_contains_key(own, k))
     rows = rows.withColumns({
-        "record": F.map_concat(F.col("fills"), own),
-        "traces": F.map_concat(F.map_filter("fill_sources", lambda k, v: F.map_contains_key(F.col("fills"), k)), F.col("row")["sources"]),
+        "record": F.map_concat(F.map_filter("fills", lambda k, v: ~F.map_contains_key(own, k)), own),
+        "traces": F.map_concat(F.map_filter("fill_sources", lambda k, v: F.map_contains_key(F.col("fills"), k) & ~F.map_contains_key(own, k)), row_sources),
         "row_no": F.col("row")["row_no"]})
     rows = with_payload(rows)
     filled = lambda n: X.blank_to_null(F.col(n).cast("string")).isNotNull()

@@ -29,7 +29,6 @@ def build_session(app: str = "marketloom", master: str | None = None, shuffle_pa
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Page rows are large: bound an Arrow batch by rows, so a Python worker holds few pages.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-        "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.ui.enabled": "false",
