@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import constants as K
@@ -387,3 +388,18 @@ def choose_rows(read: DataFrame, generic: bool = True) -> DataFrame:
     return df.withColumn("product_rows", F.transform("product_rows", with_brand)).drop(
         "listing", "product_detail", "stores", "jsonld_products", "jsonld_stores", "generic_listing", "generic_detail",
         "generic_stores", "located_stores", "selected")
+
+
+class RuleRows:
+    """Table function: one row per item and field of a rule section (JSON text) on a page."""
+
+    def eval(self, html: str, url: str, section: str):
+        if html and section:
+            for row in section_rows(Page(html, url or ""), json.loads(section)):
+                for field in row["fields"]:
+                    yield row["row_no"], field["name"], field["raw"], field["link"]
+
+
+def register_rule_function(spark, name: str = "rule_rows") -> None:
+    """Make ``LATERAL rule_rows(html, url, section_json)`` available to SQL."""
+    spark.udtf.register(name, udtf(RuleRows, returnType="row_no int, name string, raw string, link string"))

@@ -218,13 +218,6 @@ def _(t):
     return t.raw_pages.select("raw_page_id", I.text_hash(F.col("html")).alias("h"))
 
 
-@query("d29_evidence_hash", f"""SELECT domain, substr(sha256('{K.EVIDENCE_VERSION}' || chr(0) || string_agg(url || chr(0) || page_type || chr(0) || {A.clean('html')} || chr(0), '' ORDER BY pk)), 1, 24) AS h
-    FROM raw_pages GROUP BY domain""")
-def _(t):
-    ordered = t.raw_pages.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("pk", "url", "page_type", "html"))).alias("s"))
-    return ordered.select("domain", I.evidence_hash(F.col("s")).alias("h"))
-
-
 @query("d31_labels", """SELECT run_id, CASE status WHEN 'failed' THEN 'Failed' WHEN 'completed' THEN 'Completed' WHEN 'running' THEN 'Processing' WHEN 'blocked' THEN 'Blocked' ELSE 'Partial' END AS label,
     CASE status WHEN 'running' THEN 'processing' ELSE status END AS bucket, lower(trim(kind)) AS hint FROM runs""")
 def _(t):

@@ -11,7 +11,9 @@ from ..operators import extraction as E
 from ..operators import pages as P
 from ..operators import payloads as D
 from ..operators import quality as Q
+from ..sources import files as S
 from ..sources.upsert import upsert
+from ..streaming.run import work_folder
 from . import ansi as A
 from .registry import query
 
@@ -64,14 +66,14 @@ def _(t):
 
 
 def _sitemaps(t):
-    """One sitemap per shop with all its product pages, one nested index and one foreign entry."""
+    """Sitemaps of a bounded number of product pages, each with one nested index and one foreign entry."""
     loc = F.concat(F.lit("<url><loc> "), "product_url", F.lit(" </loc></url>"))
-    files = t.products.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list(loc)), "").alias("l"))
-    return files.select(F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")).alias("url"), F.concat(
+    files = t.products.groupBy("domain", F.floor(F.col("pk") / 1000).cast("string").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(loc)), "").alias("l"))
+    return files.select(F.concat(F.lit("https://"), "domain", F.lit("/sitemap-p"), "k", F.lit(".xml")).alias("url"), F.concat(
         F.lit('<?xml version="1.0"?><urlset xmlns="http://s.org/0.9">'), "l", F.lit("<url><loc>/sitemap-2.xml#x</loc></url><url><loc>https://other.vn/a</loc></url></urlset>")).alias("body"))
 
 
-@query("b11_sitemap_urls", "SELECT product_url AS link, false AS is_index FROM products UNION ALL SELECT DISTINCT 'https://' || domain || '/sitemap-2.xml', true FROM products")
+@query("b11_sitemap_urls", "SELECT product_url AS link, false AS is_index FROM products UNION ALL SELECT 'https://' || domain || '/sitemap-2.xml', true FROM (SELECT DISTINCT domain, floor(pk / 1000) FROM products)")
 def _(t):
     return P.sitemap_urls(_sitemaps(t)).select("link", "is_index")
 
@@ -445,3 +447,60 @@ def _(t):
     stored = t.raw_pages.withColumn("content_type", F.coalesce("content_type", F.lit("html")))
     again = stored.filter("pk % 3 = 0").select("raw_page_id", F.lit("again").alias("content_type"), "captured_at")
     return upsert(stored, again, ["raw_page_id"], ["captured_at"]).select("raw_page_id", "content_type", "url")
+
+
+@query("o2_rule_function", "SELECT raw_page_id, 'product_name' AS name, product_name AS raw, CAST(NULL AS VARCHAR) AS link FROM products UNION ALL SELECT raw_page_id, 'image_url', '/img/' || raw_page_id || '.jpg', 'https://' || domain || '/img/' || raw_page_id || '.jpg' FROM products")
+def _(t):
+    E.register_rule_function(t.spark)
+    section = '{"fields":[{"name":"product_name","selector":"h1"},{"name":"image_url","selector":"img","attr":"data-src"}]}'
+    return t.spark.sql("SELECT raw_page_id, r.name, r.raw, r.link FROM {pages}, LATERAL rule_rows(html, url, '" + section.replace("{", "{{").replace("}", "}}") + "') AS r", pages=_detail_pages(t))
+
+
+# --- files ----------------------------------------------------------------------------------
+
+@query("a2_page_payloads", "SELECT raw_page_id, md5(html) AS digest FROM raw_pages")
+def _(t):
+    half = F.col("pk") % 2 == 0
+    pages = t.raw_pages.select("raw_page_id", F.when(half, F.col("html")).alias("content"), F.when(~half, F.concat("raw_page_id", F.lit(".html"))).alias("object_key"))
+    objects = t.raw_pages.select(F.concat(F.lit("s3://lake/x/"), "raw_page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return S.resolve_payloads(pages, objects=objects).select("raw_page_id", F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+@query("a4_archives", "SELECT raw_page_id AS path, md5(html) AS digest FROM raw_pages")
+def _(t):
+    head = "MIME-Version: 1.0\r\nContent-Type: multipart/related; boundary=BB\r\n\r\n--BB\r\nContent-Type: text/css\r\n\r\na{}\r\n--BB\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"
+    body = F.concat(F.lit(head), F.base64(F.col("html").cast("binary")), F.lit("\r\n--BB--\r\n"))
+    decoded = S.decode_archives(t.raw_pages.select(F.col("raw_page_id").alias("path"), body.cast("binary").alias("content")))
+    return decoded.select("path", F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+@query("a9_output_files", "SELECT product_name AS name, domain AS source, CAST(pk AS VARCHAR) AS price, product_url AS url FROM products")
+def _(t):
+    place = work_folder(t.spark, "outputs")
+    product = F.struct(F.col("product_name").alias("name"), F.col("pk").alias("price"), F.col("product_url").alias("url"))
+    one_file_text = t.products.groupBy("domain", F.floor(F.col("pk") / 1000).alias("k")).agg(F.collect_list(product).alias("products")).select(F.col("domain").alias("source_site"), "products")
+    one_file_text.write.json(place)
+    return S.read_output_files(t.spark, place, multi_line=False).select("name", "source", "price", "url")
+
+
+@query("a10_job_status", "SELECT run_id AS id, CASE WHEN status = 'failed' THEN 'Failed' WHEN status IN ('completed', 'partial') THEN 'Completed' ELSE 'Pending' END AS status FROM runs")
+def _(t):
+    metas = t.runs.select(F.col("run_id").alias("job_id"), F.col("pipeline_id").alias("source"), F.col("created_at").alias("modified_at"))
+    outputs = t.runs.filter("status IN ('completed', 'partial', 'failed')").select(F.col("run_id").alias("job_id"))
+    return S.job_files(metas, outputs, t.runs.filter("status = 'failed'").select(F.col("run_id").alias("job_id"))).select("id", "status")
+
+
+@query("a13_json_lines", "SELECT domain, count(*) AS pages FROM shop_pages GROUP BY domain")
+def _(t):
+    place = work_folder(t.spark, "lines")
+    S.write_json_lines(t.shop_pages.groupBy("domain").agg(F.count("*").alias("pages")), place)
+    return t.spark.read.schema("domain string, pages long").json(place)
+
+
+@query("a17_append", "SELECT run_id, status, count(*) AS n FROM (SELECT run_id, status FROM runs UNION ALL SELECT run_id, status FROM runs WHERE status = 'failed') GROUP BY 1, 2")
+def _(t):
+    place = work_folder(t.spark, "events")
+    rows = t.runs.select("run_id", "status")
+    S.append_rows(rows, place)
+    S.append_rows(rows.filter("status = 'failed'"), place)
+    return t.spark.read.schema(rows.schema).parquet(place).groupBy("run_id", "status").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import clean_price
+from ..functions.ids import evidence_hash
 from ..operators import common as M
 from ..operators import lifecycle as L
 from ..operators import quality as Q
@@ -115,15 +115,28 @@ def _(t):
 _CLASS = A.page_class("page_type", "url")
 
 
-@query("h3_validation_samples", f"""WITH c AS (SELECT raw_page_id, domain, captured_at, {_CLASS} AS class FROM shop_pages),
+def _samples_sql(table, extra=""):
+    return f"""(WITH c AS (SELECT raw_page_id, domain, captured_at{extra}, {_CLASS} AS class FROM {table}),
     r AS (SELECT *, row_number() OVER (PARTITION BY domain, class ORDER BY captured_at DESC, raw_page_id) AS place, greatest(2 - least(count(*) FILTER (class = 'listing') OVER (PARTITION BY domain), 3), 0) AS lg,
       greatest(3 - least(count(*) FILTER (class = 'product_detail') OVER (PARTITION BY domain), 5), 0) AS dg FROM c)
-    SELECT raw_page_id, class, s AS sampled_as FROM (SELECT *, CASE WHEN class = 'store_listing' AND place <= 3 THEN class WHEN class = 'listing' AND place <= 3 THEN class WHEN class = 'product_detail' AND place <= 5 THEN class
-      WHEN class = 'unknown' AND place <= lg THEN 'listing' WHEN class = 'unknown' AND place <= lg + dg THEN 'product_detail' END AS s FROM r) WHERE s IS NOT NULL""")
+    SELECT * FROM (SELECT *, CASE WHEN class = 'store_listing' AND place <= 3 THEN class WHEN class = 'listing' AND place <= 3 THEN class WHEN class = 'product_detail' AND place <= 5 THEN class
+      WHEN class = 'unknown' AND place <= lg THEN 'listing' WHEN class = 'unknown' AND place <= lg + dg THEN 'product_detail' END AS sampled_as FROM r) WHERE sampled_as IS NOT NULL)"""
+
+
+@query("h3_validation_samples", f"SELECT raw_page_id, class, sampled_as FROM {_samples_sql('shop_pages')}")
 def _(t):
     return Q.validation_samples(t.shop_pages, [F.desc("captured_at"), F.col("raw_page_id")]).select("raw_page_id", "class", "sampled_as")
 
 
+@query("d29_evidence_hash", f"""SELECT domain, substr(sha256('{K.EVIDENCE_VERSION}' || chr(0) || string_agg(url || chr(0) || page_type || chr(0) || {A.clean('html')} || chr(0), ''
+    ORDER BY CASE sampled_as WHEN 'store_listing' THEN 0 WHEN 'listing' THEN 1 ELSE 2 END, class = 'unknown', place)), 1, 24) AS h FROM {_samples_sql('raw_pages', ', url, page_type, html')} GROUP BY domain""")
+def _(t):
+    sampled = Q.validation_samples(t.raw_pages, [F.desc("captured_at"), F.col("raw_page_id")])
+    role = F.when(F.col("sampled_as") == "store_listing", 0).when(F.col("sampled_as") == "listing", 1).otherwise(2)
+    order = F.struct(role.alias("role"), (F.col("class") == "unknown").alias("filled"), "place", "url", "page_type", "html")
+    return sampled.groupBy("domain").agg(F.array_sort(F.collect_list(order)).alias("s")).select("domain", evidence_hash(F.col("s")).alias("h"))
+
+
 @query("f15_rule_summaries", "SELECT s.domain, CAST(1 + s.sk % 3 AS INTEGER) AS field_count, coalesce(n, 0) AS raw_page_count, n IS NOT NULL AS has_raw_page FROM sources s LEFT JOIN (SELECT domain, count(*) AS n FROM shop_pages GROUP BY 1) USING (domain)")
 def _(t):
     return L.rule_summaries(_rules(t), t.shop_pages).select("domain", "field_count", "raw_page_count", "has_raw_page")

@@ -148,9 +148,12 @@ OUTPUT = ("source_site string, products array<struct<name:string,product_name:st
           "brand:string,category:string>>")
 
 
-def read_output_files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Products of output files, newest file first; the source defaults to the file name's start."""
-    files = spark.read.schema(OUTPUT).json(path, multiLine=True).select("*", "_metadata.file_name", "_metadata.file_modification_time")
+def read_output_files(spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = True) -> DataFrame:
+    """Products of output files, newest file first; the source defaults to the file name's start.
+
+    ``multi_line=False`` reads files of one JSON document per line, which Spark can split.
+    """
+    files = spark.read.schema(OUTPUT).json(path, multiLine=multi_line).select("*", "_metadata.file_name", "_metadata.file_modification_time")
     p = F.col("p")
     rows = files.select("source_site", "file_name", "file_modification_time", F.explode("products").alias("p")).select(
         X.first_present(p["name"], p["product_name"]).alias("name"),
