@@ -17,20 +17,51 @@ from .common import first_seen, previous_row, top_per_group
 METRICS = ["valid_products", "required_coverage", "brand_coverage", "duplicate_ratio", "median_price"]
 
 
-def metric_columns() -> list[Column]:
-    """The metrics bundle as aggregate columns, for any grouping of product rows."""
+def metric_columns(median: bool = True) -> list[Column]:
+    """The metrics bundle as aggregate columns, for groups the size of a page or a batch.
+
+    The median here keeps a group's distinct prices in one buffer; :func:`page_metrics` leaves it out
+    and finds it by :func:`grouped_upper_median`, which suits groups of any size.
+    """
     whole = F.col("product_name").isNotNull() & (F.col("product_name") != "") & (F.coalesce("product_url", F.lit("")) != "") & F.coalesce(F.col("price_numeric") > 0, F.lit(False))
     share = lambda test: F.round(F.try_divide(F.count_if(test), F.count("*")), 3)
-    return [
+    bundle = [
         F.count("*").alias("valid_products"), share(whole).alias("required_coverage"),
         share(F.coalesce("brand", F.lit("")) != "").alias("brand_coverage"),
         F.round(1 - F.try_divide(F.countDistinct("product_id"), F.count("product_id")), 3).alias("duplicate_ratio"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN price_numeric > 0 THEN price_numeric END DESC)").alias("median_price"),
     ]
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN price_numeric > 0 THEN price_numeric END DESC)")
+    return bundle + [middle.alias("median_price")] if median else bundle
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def grouped_upper_median(rows: DataFrame, keys: list[str], value: str = "price_numeric") -> DataFrame:
+    """Exact upper median of the positive values per group, without gathering any group.
+
+    Values are counted first. Counts per logarithmic bucket tell which bucket holds the middle and
+    at which rank; only the distinct values of that bucket are then put in order.
+    """
+    counts = rows.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn(
+        "_bucket", F.floor(F.log(F.col(value)) * 32))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_held")).withColumns({
+        "_total": F.sum("_held").over(group), "_upto": F.sum("_held").over(upto)})
+    buckets = buckets.withColumn("_rank", F.floor(F.col("_total") / 2) - (F.col("_upto") - F.col("_held"))).filter(
+        (F.col("_rank") >= 0) & (F.col("_rank") < F.col("_held"))).select(*keys, "_bucket", "_rank")
+    inside = _join_null_safe(counts, buckets, [*keys, "_bucket"], "inner")
+    running = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("_run", running).filter("_run > _rank").groupBy(*keys).agg(F.min(value).alias("median_price"))
 
 
 def page_metrics(products: DataFrame, keys: list[str]) -> DataFrame:
-    return products.groupBy(*keys).agg(*metric_columns())
+    """The metrics bundle per page, batch, source or any other grouping."""
+    return _join_null_safe(products.groupBy(*keys).agg(*metric_columns(median=False)), grouped_upper_median(products, keys), keys, "left")
 
 
 def source_metrics(pages: DataFrame, keys: list[str], order: str) -> DataFrame:

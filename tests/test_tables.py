@@ -123,6 +123,16 @@ def test_writer_metrics_use_the_upper_median(spark):
     assert tuple(rows.agg(*Q.metric_columns()).first()) == (3, 0.667, 0.333, 0.333, 300.0)
 
 
+def test_grouped_median_equals_sorting(spark):
+    import random
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, None, rng.randrange(1, 10**6) / 1.0, 5.0])) for _ in range(400)]
+    got = {r["k"]: r["median_price"] for r in Q.grouped_upper_median(spark.createDataFrame(rows, "k string, price_numeric double"), ["k"]).collect()}
+    for key in ("a", "b", None):
+        prices = sorted(p for k, p in rows if k == key and p)
+        assert got[key] == prices[len(prices) // 2]
+
+
 def test_synthetic_rules(spark):
     rows = [("b", 1, "Bia A", "Bia", "10000", "4.5", "https://a.vn", "", "K"), ("b", 2, " bia a ", "bia", "10000", "", "", "", "k"), ("b", 3, "", "Kẹo", "0", "2.5", "nope", "", ""), ("c", 1, "Sữa B", "Sữa", "5", "", "", "", "")]
     checked = Q.check_synthetic(spark.createDataFrame(rows, "batch_id string, position int, name string, category string, price string, rating string, url string, source string, store_name string"), ["Bia", "Sữa"])
