@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,17 @@ def build_session(app: str = "marketloom", master: str | None = None, shuffle_pa
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver was started from. Once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_marketloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/marketloom", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._marketloom_shipped = True
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, an upper bound for filters and projections."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -5,9 +5,11 @@ State is bounded by watermarks or by one entry per key; sinks are idempotent per
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -85,6 +87,8 @@ def drift_stream(runs: DataFrame) -> DataFrame:
     needs the RocksDB state store, which is set here.
     """
     runs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # The operator's set-up process does not see shipped packages, so the class travels by value.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     paired = runs.groupBy("source_id").transformWithStateInPandas(
         statefulProcessor=LastMetrics(), outputStructType=_PAIRED, outputMode="Append", timeMode="None")
     before = F.when(F.col("previous_run_id").isNotNull(), metric_struct("previous_"))
