@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import sharding, url_lists
-from .common import table
+from . import mixing, quality_model, quality_rules, sharding, url_lists
+from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,28 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     sized = table(spark, folder, "documents").select("doc_id", (F.octet_length(text) + sharding.ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     return sharding.sharded(sized, size="size").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op8_mixing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    rows = mixing.mixed_documents(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return rows.select(F.col("k0").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's counts and verdict; cutoffs per language from all labelled documents."""
+    measured = quality_rules.measured_documents(table(spark, folder, "documents"))
+    limits = quality_rules.cutoffs(measured, table(spark, folder, "labels"), "lang")
+    m = F.col("m")
+    return quality_rules.judged(measured, limits, "lang").select("doc_id", *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), quality_rules.base_failed(m).alias("base_failed"), "kept")
+
+
+@query("op4_quality_model")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's chance of label 1."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    weights = quality_model.learn(docs, table(spark, folder, "labels"))
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), quality_model.score(F.col("text"), weights).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality_model.CUTOFF).cast("int"))
