@@ -1,11 +1,11 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with FTRL-proximal updates.
 
-A text's features are the hashes of its words and of its pairs of neighbouring words, each counted
-once, with equal weight and unit length. Training takes a bounded sample of the labelled documents,
-``SAMPLE`` rows of the lowest hash of their id, and makes ``EPOCHS`` passes of the
-follow-the-regularised-leader update; its L1 term keeps most weights at zero. Scoring is a sum of the
-weights at a text's hashes, over whole texts, without a shuffle. The weights are one float per bucket
-(``2 ** BITS``), whatever the corpus.
+A text's tokens are runs of letters and digits and runs of other signs. Its features are the hashes of
+tokens and of pairs of neighbouring tokens, by how often they occur, scaled to unit length. Training
+takes a bounded sample of the labelled documents, ``SAMPLE`` rows of the lowest hash of their id, and
+makes ``EPOCHS`` passes of the follow-the-regularised-leader update; its L1 term keeps most weights at
+zero. Scoring is a sparse dot product over the whole text, without a shuffle. The weights are one float
+per bucket (``2 ** BITS``), whatever the corpus.
 
 Only rows whose ``held_out`` is false are learnt from; language, source and id are no features.
 Defined results: a null text is empty and its score is that of the bias alone; labels with a null id or
@@ -14,6 +14,7 @@ value are not used; an id labelled twice is learnt with each distinct label; wit
 
 from __future__ import annotations
 
+import re
 from zlib import crc32
 
 import numpy as np
@@ -26,53 +27,43 @@ from .common import held_out, texts
 
 BITS = 18
 SAMPLE = 3000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.01
 CUTOFF = 0.3
+_TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+")
 
 
-def features(text: bytes | None) -> np.ndarray:
-    """Sorted distinct buckets of the words and word pairs of a text, bucket 0 being the bias."""
-    words = (text or b"").lower().split()
+def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and their values; the first is bucket 0, the bias, which no token takes."""
+    words = _TOKEN.findall(text or b"")
     if not words:
-        return np.zeros(1, dtype=np.int64)
+        return np.zeros(1, dtype=np.int64), np.ones(1)
     one = np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
     both = np.concatenate((one * np.uint64(0x9E3779B97F4A7C15), two)) >> np.uint64(64 - BITS)
-    held = np.zeros(1 << BITS, dtype=bool) if len(both) > 1 << 14 else None
-    if held is not None:  # long texts: mark buckets instead of sorting
-        held[both] = True
-        held[0] = True
-        return np.flatnonzero(held)
-    return np.union1d(both.astype(np.int64), np.zeros(1, dtype=np.int64))
+    buckets, counts = np.unique(np.maximum(both, 1).astype(np.int64), return_counts=True)
+    values = counts / np.sqrt(np.square(counts, dtype=float).sum())
+    return np.concatenate(([0], buckets)), np.concatenate(([1.0], values))
 
 
-def _margin(weights: np.ndarray, buckets: np.ndarray) -> float:
-    """The sparse dot product: the bias counts in full, the other features by the unit length of the text."""
-    return float(weights[0] + weights[buckets[1:]].sum() / max(1.0, np.sqrt(len(buckets) - 1)))
-
-
-def train(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
-    """Weights after ``epochs`` passes over (buckets, label), in the given order."""
+def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
+    """Weights after ``epochs`` passes over (buckets, values, label), in the given order."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
 
-    def weight(at: np.ndarray) -> np.ndarray:
+    def weight(at) -> np.ndarray:
         own = z[at]
         w = -(own - np.sign(own) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2)
         w[np.abs(own) <= l1] = 0.0
         return w
 
     for _ in range(epochs):
-        for buckets, label in examples:
+        for buckets, values, label in examples:
             w = weight(buckets)
-            value = np.full(len(buckets), 1.0 / max(1.0, np.sqrt(len(buckets) - 1)))
-            value[0] = 1.0
-            p = 1.0 / (1.0 + np.exp(-np.clip((w * value).sum(), -35, 35)))
-            g = (p - label) * value
-            step = (np.sqrt(n[buckets] + g * g) - np.sqrt(n[buckets])) / alpha
-            z[buckets] += g - step * w
+            g = (1.0 / (1.0 + np.exp(-np.clip((w * values).sum(), -35, 35))) - label) * values
+            before = np.sqrt(n[buckets])
             n[buckets] += g * g
-    return weight(np.arange(1 << BITS)).astype(np.float32)
+            z[buckets] += g - (np.sqrt(n[buckets]) - before) / alpha * w
+    return weight(slice(None)).astype(np.float32)
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
@@ -80,10 +71,17 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).select(key, F.col(label).cast("int").alias("label")).distinct()
     order = F.xxhash64(F.lit(11), key, "label")
     chosen = known.orderBy(order, key, "label").limit(sample)
-    hashed = F.arrow_udf(lambda array: pa.array([features(t).astype(np.int32) for t in texts(array)], pa.list_(pa.int32())), T.ArrayType(T.IntegerType()))
-    rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text")).join(chosen, key).select(order.alias("o"), "label", hashed("text").alias("f")).toPandas()
-    rows = rows.assign(n=rows["f"].map(len)).sort_values(["o", "label", "n"], kind="stable")
-    return train([(np.asarray(f, dtype=np.int64), int(y)) for f, y in zip(rows["f"], rows["label"], strict=True)]) if len(rows) else np.zeros(1 << BITS, dtype=np.float32)
+    kind = T.StructType([T.StructField("b", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def hashed(array: pa.Array) -> pa.Array:
+        found = [features(t) for t in texts(array)]
+        return pa.StructArray.from_arrays([pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))], names=["b", "v"])
+
+    own = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
+    rows = own.join(chosen, key).select(order.alias("o"), "label", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"), F.arrow_udf(hashed, kind)("text").alias("f")).select("o", "label", "c", "f.b", "f.v").toPandas()
+    rows = rows.sort_values(["o", "label", "c"], kind="stable")
+    examples = [(np.asarray(b, dtype=np.int64), np.asarray(v), int(y)) for b, v, y in zip(rows["b"], rows["v"], rows["label"], strict=True)]
+    return train(examples) if examples else np.zeros(1 << BITS, dtype=np.float32)
 
 
 def score(text: Column, weights: np.ndarray) -> Column:
@@ -93,9 +91,9 @@ def score(text: Column, weights: np.ndarray) -> Column:
     kept = weights[at]
 
     def scored(array: pa.Array) -> pa.Array:
-        dense = np.zeros(1 << BITS, dtype=np.float32)
+        dense = np.zeros(1 << BITS)
         dense[at] = kept
-        margins = np.array([_margin(dense, features(t)) for t in texts(array)], dtype=np.float64)
+        margins = np.array([(dense[b] * v).sum() for b, v in map(features, texts(array))])
         return pa.array(1.0 / (1.0 + np.exp(-np.clip(margins, -35, 35))), pa.float64())
 
     return F.arrow_udf(scored, T.DoubleType())(text)
