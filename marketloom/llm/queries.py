@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import mixing, quality_model, quality_rules, sharding, url_lists
+from . import decontaminate, language, mixing, quality_model, quality_rules, sharding, url_lists
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,17 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     weights = quality_model.learn(docs, table(spark, folder, "labels"))
     scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), quality_model.score(F.col("text"), weights).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality_model.CUTOFF).cast("int"))
+
+
+@query("op5_language")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's language by the shortest code."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    trees = language.learn(docs)
+    return docs.select("doc_id", held_out("doc_id").alias("held_out"), language.predict(F.col("text"), trees).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+@query("op9_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for every benchmark item found in a document, with its place in bytes."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
