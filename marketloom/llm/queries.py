@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language, minhash, mixing, quality_model, quality_rules, sharding, url_lists
+from . import decontaminate, language, licenses, minhash, mixing, quality_model, quality_rules, sharding, url_lists
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's group of near copies."""
     groups = minhash.grouped(table(spark, folder, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+@query("op1_licenses")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for every paragraph that speaks of a licence: its family, or unknown."""
+    return licenses.scan(table(spark, folder, "documents"))
