@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language, licenses, minhash, mixing, quality_model, quality_rules, sharding, url_lists
+from . import decontaminate, language, licenses, minhash, mixing, quality_model, quality_rules, sharding, suffixes, url_lists
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """A row for every paragraph that speaks of a licence: its family, or unknown."""
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op7_suffixes")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document keeps once its repeated strings are taken out."""
+    return suffixes.digests(table(spark, folder, "documents").select("doc_id", "text"))
