@@ -6,12 +6,13 @@ A text's set is its distinct three-word shingles. Two collections of ``HALVES``
 ``2 * WIDTH * HALVES ** 2``. A pair of similarity s is missed with a chance of at most
 ``2 * (1 - s ** WIDTH) ** HALVES``: 2.5e-4 at 0.85, 2e-5 at 0.9. Every candidate is confirmed on the full sets.
 
-Texts with equal sets are one class and enter the tables once. In a bucket every class is first compared
-with the bucket's least class. Components of the confirmed links are drawn; only where a bucket still
-holds several components are pairs across them compared, those of the members outside the bucket's largest
-component with the rest. While such pairs are many, one more member a bucket is compared with the others
-first, which as a rule joins them. So no link between candidates is lost and no bucket is multiplied out
-whose members are linked already.
+Texts with equal sets are one class and enter the tables once. A group is never multiplied out. The classes of
+a bucket are compared with its smallest set, the lead. If a set x is not similar to the lead, and x is similar to
+some y of the bucket, then x and y share a shingle that the lead lacks: y is no smaller than the lead, so what
+x and y must share beyond the lead's part of x exceeds what y lacks of the lead. So the members of a lead are
+grouped anew by the shingles that the lead lacks, groups with a member that is not linked to the lead get a lead
+of their own, and so on, until no such group is left. Leads grow along the way, so this ends; every pair of a
+bucket is linked, joined through a lead, or proven too far apart.
 
 Buckets are equality joins on hashed keys with partial aggregates below them, so a hot bucket is split.
 Defined results: a null text or one without words has an empty set, links with nothing and is its own
@@ -35,8 +36,6 @@ SHINGLE_WORDS = 3
 SIMILAR_PERCENT = 85
 HALVES = 7
 WIDTH = 2
-#: Rounds in which one more member a bucket is compared, and the pairs per bucket row beyond which they are worth it.
-PEELS, PEEL_FACTOR = 3, 4
 _SEEDS = mixed(np.arange(1, 2 * HALVES * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("u", T.ArrayType(T.LongType())), T.StructField("v", T.ArrayType(T.LongType()))])
 
@@ -99,42 +98,25 @@ def _in_buckets(classes: DataFrame) -> DataFrame:
     return stored(rows.join(shared, "bucket"))
 
 
-def _alike(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= SIMILAR_PERCENT * F.greatest(a, b)
+def _against_leads(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lead, sid, n, linked, outside) of (lead, sid): whether the full sets are similar enough, and the shingles the lead lacks where it has other members."""
+    shared = groups.groupBy("lead").count().filter("count > 1").select("lead", F.lit(True).alias("shared"))
+    one = groups.join(shared, "lead", "left").join(sets.select("sid", "shingles"), "sid")
+    both = one.join(sets.select(F.col("sid").alias("lead"), F.col("shingles").alias("own")), "lead")
+    outside = F.array_except("shingles", "own")
+    common = F.size("shingles") - F.size("outside")
+    found = both.withColumn("outside", outside).withColumn("n", F.size("shingles"))
+    linked = 100 * common >= SIMILAR_PERCENT * (F.col("n") + F.size("own") - common)
+    return found.select("lead", "sid", "n", linked.alias("linked"), F.when(F.col("shared"), F.col("outside")).alias("outside"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) with a < b."""
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    one = pairs.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("right")), "b")
-    both = one.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("left")), "a")
-    common = F.size(F.array_intersect("left", "right"))
-    return both.filter(100 * common >= SIMILAR_PERCENT * (F.size("left") + F.size("right") - common)).select("a", "b")
-
-
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with the component of each class, its own sid where it has no link."""
-    parts = connected_components(links, "a", "b").select(F.col("node").alias("sid"), "component")
-    return members.join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-
-
-def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(bucket, sid, n, component, major) of the buckets that hold several components; major marks the largest."""
-    named = stored(_labelled(members, links))
-    sizes = named.groupBy("bucket", "component").count()
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("largest"), F.count("*").alias("components")).filter("components > 1")
-    return stored(named.join(largest, "bucket").select("bucket", "sid", "n", "component", (F.col("component") == F.col("largest")).alias("major")))
-
-
-def _across(some: DataFrame, rest: DataFrame) -> DataFrame:
-    """Pairs of ``some`` with the classes of other components in their bucket that are not out of reach by size."""
-    left = some.select("bucket", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rest.select("bucket", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return _ordered(left.join(right, "bucket").filter((F.col("ca") != F.col("cb")) & _alike(F.col("na"), F.col("nb"))))
+def _next_groups(met: DataFrame) -> DataFrame:
+    """(lead, sid) of the groups that share a shingle their lead lacks and hold a member that is not linked to it; the new lead is the smallest set."""
+    unlinked = F.sum((~F.col("linked")).cast("int"))
+    open_ = met.groupBy("lead").agg(F.count("*").alias("members"), unlinked.alias("far")).filter("members > 1 and far > 0").select("lead")
+    rows = met.join(open_, "lead").select("lead", "sid", "n", "linked", F.explode("outside").alias("shingle"))
+    groups = rows.groupBy("lead", "shingle").agg(F.count("*").alias("members"), unlinked.alias("far"), F.min(F.struct("n", "sid"))["sid"].alias("next")).filter("members > 1 and far > 0")
+    return rows.join(groups.select("lead", "shingle", "next"), ["lead", "shingle"]).filter("sid <> next").select(F.col("next").alias("lead"), "sid").distinct()
 
 
 def links_of(docs: DataFrame, signatures: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -142,30 +124,20 @@ def links_of(docs: DataFrame, signatures: DataFrame, key: str = "doc_id", text:
     classes = signatures.filter("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("row").alias("row"), F.first("n").alias("n"), F.first("u").alias("u"), F.first("v").alias("v"))
     classes = stored(classes)
     members = _in_buckets(classes)
-    least = members.groupBy("bucket").agg(F.min(F.struct("sid", "n")).alias("lead"))
-    stars = members.join(least, "bucket").filter((F.col("sid") != F.col("lead.sid")) & _alike(F.col("n"), F.col("lead.n")))
-    compared = stored(_ordered(stars.select(F.col("sid").alias("a"), F.col("lead.sid").alias("b"))))
     wanted = members.select("sid").distinct().join(classes, "sid").select(F.col("row").alias("_row"))
     sought = docs.select(row_key(key, text).alias("_row"), F.col(f"`{text}`").alias("_text")).join(wanted, "_row", "left_semi")
     own = F.arrow_udf(_sets, "sid long, shingles array<long>").asNondeterministic()(F.col("_text"))
     sets = stored(sought.select(own.alias("s")).select("s.*").dropDuplicates(["sid"]))
-    links = stored(_confirmed(compared, sets))
-    for peel in range(PEELS + 1):
-        open_ = _open_buckets(members, links)
-        load = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.sum((~F.col("major")).cast("long")).alias("minor")).agg(F.sum(F.col("n") * F.col("minor")).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not load.pairs:
-            break
-        last = peel == PEELS or load.pairs <= PEEL_FACTOR * load.rows
-        minor = open_.filter(~F.col("major"))
-        if not last:
-            drawn = F.struct(F.xxhash64(F.lit(peel), "sid").alias("h"), "sid", "n", "component")
-            minor = minor.groupBy("bucket").agg(F.min(drawn).alias("d")).select("bucket", "d.sid", "d.n", "d.component")
-        pairs = stored(_across(minor, open_).join(compared, ["a", "b"], "left_anti"))
-        links = stored(links.unionByName(_confirmed(pairs, sets)))
-        if last:
-            break
-        compared = compared.unionByName(pairs)
-    return classes, links
+    least = members.groupBy("bucket").agg(F.min(F.struct("n", "sid"))["sid"].alias("lead"))
+    groups = members.join(least, "bucket").filter("sid <> lead").select("lead", "sid").distinct()
+    links = groups.select(F.col("lead").alias("a"), F.col("sid").alias("b")).limit(0)
+    while True:
+        groups = stored(groups)
+        if groups.isEmpty():
+            return classes, links
+        met = stored(_against_leads(groups, sets))
+        links = links.unionByName(met.filter("linked").select(F.col("lead").alias("a"), F.col("sid").alias("b")))
+        groups = _next_groups(met)
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

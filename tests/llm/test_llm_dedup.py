@@ -61,11 +61,20 @@ def test_groups_equal_all_pairs(spark):
     assert {r.component for r in found if r.id is None} == {4, None}  # the null id with the text of others joins them
 
 
-def test_links_across_a_bucket_are_not_lost(spark, monkeypatch):
-    monkeypatch.setattr(M, "PEEL_FACTOR", 0)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_inside_a_bucket_are_not_lost(spark, monkeypatch, seed):
+    """All classes in one bucket: what the leads leave out must still be what brute force leaves out."""
+    monkeypatch.setattr(M, "_in_buckets", lambda classes: classes.select(F.lit(0).alias("bucket"), "sid", "n"))
+    draw, base = random.Random(seed), odd.prose(79, 100).split()
     rows = chained(40)
+    for i in range(60):
+        own = list(base)
+        for k in draw.sample(range(0, 100, 3), draw.randint(2, 9)):
+            own[k:k + 1] = [f"v{k}"] * draw.choice([0, 1, 1, 2])
+        rows.append((5000 + i, " ".join(own)))
     found = {r.id: r.component for r in M.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == dict(zip((i for i, _ in rows), components(rows), strict=True))
+    assert 5 < len(set(found.values())) < len(rows)
 
 
 def test_one_row_of_a_group_stays(spark):
