@@ -55,7 +55,8 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     # The hash of the last sampled row of every language; texts are not read for it.
     rank = Window.partitionBy("lang").orderBy("o")
     last = known.select("lang", "o").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= sample).groupBy("lang").agg(F.max("o").alias("last"))
-    chosen = known.join(last, "lang").filter("o <= last and text is not null").select("lang", "text")
+    # A row per language, as in the model itself; without the hint every text would be shuffled by its language.
+    chosen = known.join(F.broadcast(last), "lang").filter("o <= last and text is not null").select("lang", "text")
 
     def count(batches):
         for batch in batches:
