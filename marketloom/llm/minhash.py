@@ -6,13 +6,14 @@ A text's set is its distinct three-word shingles. Two collections of ``HALVES``
 ``2 * WIDTH * HALVES ** 2``. A pair of similarity s is missed with a chance of at most
 ``2 * (1 - s ** WIDTH) ** HALVES``: 2.5e-4 at 0.85, 2e-5 at 0.9. Every candidate is confirmed on the full sets.
 
-Texts with equal sets are one class and enter the tables once. A group is never multiplied out. The classes of
-a bucket are compared with its smallest set, the lead. If a set x is not similar to the lead, and x is similar to
-some y of the bucket, then x and y share a shingle that the lead lacks: y is no smaller than the lead, so what
-x and y must share beyond the lead's part of x exceeds what y lacks of the lead. So the members of a lead are
-grouped anew by the shingles that the lead lacks, groups with a member that is not linked to the lead get a lead
-of their own, and so on, until no such group is left. Leads grow along the way, so this ends; every pair of a
-bucket is linked, joined through a lead, or proven too far apart.
+Texts with equal sets are one class and enter the tables once. In a bucket every class is compared with a lead,
+the class that meets most others over all its buckets. Where all members are linked to the lead, the bucket is
+settled. Where some are not, a pair x, y of the lead's members is decided by how both differ from the lead: with
+D what a set lacks of the lead and A what it has beyond it, |x and y| = |lead| - |Dx| - |Dy| + |Dx and Dy| + |Ax and Ay|.
+These differences are short, so the pairs with an unlinked member are counted in tasks, as products of 0-1 matrices
+of at most ``BLOCK`` members a side, and only links that join something leave a task. A lead with more members is
+dealt over the pairs of its blocks. So every pair that meets in a bucket is decided exactly, no pair becomes a row,
+and no task holds more than two blocks.
 
 Buckets are equality joins on hashed keys with partial aggregates below them, so a hot bucket is split.
 Defined results: a null text or one without words has an empty set, links with nothing and is its own
@@ -34,6 +35,7 @@ from .common import free, mixed, stored, texts
 
 SHINGLE_WORDS = 3
 SIMILAR_PERCENT = 85
+BLOCK = 512
 HALVES = 7
 WIDTH = 2
 _SEEDS = mixed(np.arange(1, 2 * HALVES * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -99,24 +101,86 @@ def _in_buckets(classes: DataFrame) -> DataFrame:
 
 
 def _against_leads(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(lead, sid, n, linked, outside) of (lead, sid): whether the full sets are similar enough, and the shingles the lead lacks where it has other members."""
-    shared = groups.groupBy("lead").count().filter("count > 1").select("lead", F.lit(True).alias("shared"))
-    one = groups.join(shared, "lead", "left").join(sets.select("sid", "shingles"), "sid")
-    both = one.join(sets.select(F.col("sid").alias("lead"), F.col("shingles").alias("own")), "lead")
-    outside = F.array_except("shingles", "own")
-    common = F.size("shingles") - F.size("outside")
-    found = both.withColumn("outside", outside).withColumn("n", F.size("shingles"))
-    linked = 100 * common >= SIMILAR_PERCENT * (F.col("n") + F.size("own") - common)
-    return found.select("lead", "sid", "n", linked.alias("linked"), F.when(F.col("shared"), F.col("outside")).alias("outside"))
-
+    """(lead, members, sid, n, lead_n, lacks, linked, differs): each member against its lead on the full sets.
 
-def _next_groups(met: DataFrame) -> DataFrame:
-    """(lead, sid) of the groups that share a shingle their lead lacks and hold a member that is not linked to it; the new lead is the smallest set."""
-    unlinked = F.sum((~F.col("linked")).cast("int"))
-    open_ = met.groupBy("lead").agg(F.count("*").alias("members"), unlinked.alias("far")).filter("members > 1 and far > 0").select("lead")
-    rows = met.join(open_, "lead").select("lead", "sid", "n", "linked", F.explode("outside").alias("shingle"))
-    groups = rows.groupBy("lead", "shingle").agg(F.count("*").alias("members"), unlinked.alias("far"), F.min(F.struct("n", "sid"))["sid"].alias("next")).filter("members > 1 and far > 0")
-    return rows.join(groups.select("lead", "shingle", "next"), ["lead", "shingle"]).filter("sid <> next").select(F.col("next").alias("lead"), "sid").distinct()
+    ``differs`` holds the shingles the lead lacks and, with all bits turned, those the member lacks.
+    """
+    members = groups.groupBy("lead").agg(F.count("*").alias("members"))
+    one = groups.join(members, "lead").join(sets.select("sid", "shingles"), "sid")
+    both = one.join(sets.select(F.col("sid").alias("lead"), F.col("shingles").alias("own")), "lead")
+    found = both.select("lead", "members", "sid", F.size("shingles").alias("n"), F.size("own").alias("lead_n"), F.array_except("shingles", "own").alias("more"), F.array_except("own", "shingles").alias("less"))
+    common = F.col("n") - F.size("more")
+    linked = 100 * common >= SIMILAR_PERCENT * (F.col("n") + F.col("lead_n") - common)
+    return found.select("lead", "members", "sid", "n", "lead_n", F.size("less").alias("lacks"), linked.alias("linked"), F.concat("more", F.transform("less", F.bitwise_not)).alias("differs"))
+
+
+def decided(sid: np.ndarray, n: np.ndarray, lead_n: int, lacks: np.ndarray, linked: np.ndarray, side: np.ndarray, differs: list[np.ndarray], cross: bool) -> list[tuple[int, int]]:
+    """Links between members of one lead, at least one of which is not linked to it, as a forest.
+
+    ``cross``: only pairs of one member of either side.
+    """
+    far, size = np.flatnonzero(~linked), len(sid)
+    if not len(far) or size < 2:
+        return []
+    column = np.concatenate(differs)
+    row = np.repeat(np.arange(size), [len(d) for d in differs])
+    _, column, often = np.unique(column, return_inverse=True, return_counts=True)
+    name = np.cumsum(often > 1) - 1  # elements of one member only are in no common part
+    keep = often[column] > 1
+    row, column = row[keep], name[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(far), size), dtype=np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        low, high = np.searchsorted(column, (begin, begin + 4096))
+        part = np.zeros((size, 4096), dtype=np.float32)
+        part[row[low:high], column[low:high] - begin] = 1
+        common += part[far] @ part.T
+    both = lead_n - lacks[far][:, None] - lacks[None, :] + common.astype(np.int64)
+    alike = 100 * both >= SIMILAR_PERCENT * (n[far][:, None] + n[None, :] - both)
+    alike[np.arange(len(far)), far] = False
+    if cross:
+        alike &= side[far][:, None] != side[None, :]
+    # What is linked to the lead is joined through it; of the rest, links that join two parts.
+    up = np.arange(size)
+    near = np.flatnonzero(linked)
+    if len(near):
+        up[near] = near[0]
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(alike), strict=True):
+        a, b = root(far[i]), root(j)
+        if a != b:
+            up[a] = b
+            out.append((int(sid[far[i]]), int(sid[j])))
+    return out
+
+
+def _decided(rows: pa.Table) -> pa.Table:
+    first = rows.slice(0, 1).to_pylist()[0]
+    pick = lambda c: rows[c].to_numpy()
+    flat = rows["differs"].combine_chunks()
+    ends = flat.offsets.to_numpy()
+    values = flat.values.to_numpy()
+    differs = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    links = decided(pick("sid"), pick("n").astype(np.int64), first["lead_n"], pick("lacks").astype(np.int64), rows["linked"].to_numpy(), pick("side"), differs, first["i"] != first["j"])
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _between_members(met: DataFrame) -> DataFrame:
+    """Links (a, b) between members of the leads that are not linked to all of theirs."""
+    open_ = met.filter("members > 1").groupBy("lead").agg(F.bool_and("linked").alias("all")).filter("not all").select("lead")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = met.join(open_, "lead").withColumn("side", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    return dealt.select("lead", "i", "j", "side", "sid", "n", "lead_n", "lacks", "linked", "differs").groupBy("lead", "i", "j").applyInArrow(_decided, "a long, b long")
 
 
 def links_of(docs: DataFrame, signatures: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -128,16 +192,14 @@ def links_of(docs: DataFrame, signatures: DataFrame, key: str = "doc_id", text:
     sought = docs.select(row_key(key, text).alias("_row"), F.col(f"`{text}`").alias("_text")).join(wanted, "_row", "left_semi")
     own = F.arrow_udf(_sets, "sid long, shingles array<long>").asNondeterministic()(F.col("_text"))
     sets = stored(sought.select(own.alias("s")).select("s.*").dropDuplicates(["sid"]))
-    least = members.groupBy("bucket").agg(F.min(F.struct("n", "sid"))["sid"].alias("lead"))
-    groups = members.join(least, "bucket").filter("sid <> lead").select("lead", "sid").distinct()
-    links = groups.select(F.col("lead").alias("a"), F.col("sid").alias("b")).limit(0)
-    while True:
-        groups = stored(groups)
-        if groups.isEmpty():
-            return classes, links
-        met = stored(_against_leads(groups, sets))
-        links = links.unionByName(met.filter("linked").select(F.col("lead").alias("a"), F.col("sid").alias("b")))
-        groups = _next_groups(met)
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    meets = members.join(sizes, "bucket").groupBy("sid").agg(F.sum("size").alias("meets"))
+    ranked = members.join(meets, "sid")
+    leads = ranked.groupBy("bucket").agg(F.max(F.struct("meets", "sid"))["sid"].alias("lead"))
+    groups = stored(members.join(leads, "bucket").filter("sid <> lead").select("lead", "sid").distinct())
+    met = stored(_against_leads(groups, sets))
+    near = met.filter("linked").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
+    return classes, stored(near.unionByName(_between_members(met)))
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

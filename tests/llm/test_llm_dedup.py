@@ -64,6 +64,7 @@ def test_groups_equal_all_pairs(spark):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_links_inside_a_bucket_are_not_lost(spark, monkeypatch, seed):
     """All classes in one bucket: what the leads leave out must still be what brute force leaves out."""
+    monkeypatch.setattr(M, "BLOCK", 30)
     monkeypatch.setattr(M, "_in_buckets", lambda classes: classes.select(F.lit(0).alias("bucket"), "sid", "n"))
     draw, base = random.Random(seed), odd.prose(79, 100).split()
     rows = chained(40)
