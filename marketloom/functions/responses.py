@@ -22,7 +22,8 @@ _ITEM = (
     "category:string,brand:string,store_name:string,store_url:string,address:string,phone:string,"
     "image_url:string,confidence:string,reason:string,review_status:string>"
 )
-ITEMS_SCHEMA = f"struct<domain:string,page_type:string,source_url:string,notes:string,items:array<{_ITEM}>>"
+# Elements are read one by one, so that a stray one spoils no other.
+ITEMS_SCHEMA = "struct<items:array<string>>"
 
 
 def strip_fence(text: Column | str) -> Column:
@@ -84,6 +85,7 @@ def rule_draft(parsed_json: Column | str) -> Column:
 def response_items(parsed_json: Column | str, default_confidence: float = 0.0) -> Column:
     """Normalised items of a response: defaults filled, entity type and confidence kept in range."""
     parsed = F.from_json(col(parsed_json), ITEMS_SCHEMA)
+    held = F.transform(F.filter(parsed["items"], lambda x: F.coalesce(x.startswith("{"), F.lit(False))), lambda x: F.from_json(x, _ITEM))
     text = lambda v: F.trim(F.coalesce(v, F.lit("")))
 
     def item(x: Column) -> Column:
@@ -98,7 +100,7 @@ def response_items(parsed_json: Column | str, default_confidence: float = 0.0) -
             F.greatest(F.lit(0.0), F.least(confidence, F.lit(1.0))).alias("confidence"),
             F.coalesce(blank_to_null(text(x["review_status"])), F.lit("needs_review")).alias("review_status"))
 
-    return F.coalesce(F.transform(parsed["items"], item), F.array())
+    return F.coalesce(F.transform(held, item), F.array())
 
 
 def synthetic_rows(parsed_json: Column | str, columns: Column, row_count: Column) -> Column:

@@ -297,11 +297,11 @@ def apply_store_config(rows: DataFrame, sources: DataFrame, as_of: Column) -> Da
 
 
 def find_by_either_key(rows: DataFrame, wanted: DataFrame, first: str, second: str) -> DataFrame:
-    """Rows whose first or second key is wanted, by two equality joins instead of one OR join."""
-    keys = wanted.select(F.col("job_id"))
-    by_first = rows.join(keys, rows[first] == keys["job_id"])
-    by_second = rows.filter(F.coalesce(F.col(second) != F.col(first), F.lit(True))).join(keys, F.col(second) == keys["job_id"])
-    return by_first.unionByName(by_second)
+    """Rows whose first or second key is wanted, each once, by equality semi joins instead of one OR join."""
+    keys = wanted.select(F.col("job_id").alias("_wanted"))
+    by_first = rows.join(keys, F.col(first) == F.col("_wanted"), "left_semi")
+    rest = rows.join(keys, F.col(first) == F.col("_wanted"), "left_anti")
+    return by_first.unionByName(rest.join(keys, F.col(second) == F.col("_wanted"), "left_semi"))
 
 
 def run_summary(results: DataFrame) -> DataFrame:

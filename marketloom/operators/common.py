@@ -28,10 +28,17 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: in
         F.col("_rank") <= limit).drop("_rank")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equality join in which NULL keys meet, with the keys of the left side."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def first_seen(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Flag ``is_first``: the row is its group's first. A minimum per key joined back, not a sort per key."""
+    """Flag ``is_first``: the row is its group's first; a NULL key is a key. A minimum per key joined back, not a sort per key."""
     lowest = df.groupBy(*keys).agg(F.min(position).alias("_first"))
-    return df.join(lowest, keys).withColumn("is_first", F.col(position) == F.col("_first")).drop("_first")
+    return join_null_safe(df, lowest, keys).withColumn("is_first", F.col(position) == F.col("_first")).drop("_first")
 
 
 def previous_row(df: DataFrame, key: str, order: str, columns: list[str], bucket: Column) -> DataFrame:
@@ -46,7 +53,7 @@ def previous_row(df: DataFrame, key: str, order: str, columns: list[str], bucket
     cut = cut.withColumn("_near", F.lag(row).over(inside))
     edges = cut.groupBy(key, "_bucket").agg(F.max(row).alias("_last")).withColumn(
         "_far", F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket"))).drop("_last")
-    return cut.join(edges, [key, "_bucket"]).withColumn("previous", F.coalesce("_near", "_far")).drop("_bucket", "_near", "_far")
+    return join_null_safe(cut, edges, [key, "_bucket"]).withColumn("previous", F.coalesce("_near", "_far")).drop("_bucket", "_near", "_far")
 
 
 def side_by_side(*frames: DataFrame) -> DataFrame:

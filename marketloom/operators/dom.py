@@ -1,7 +1,8 @@
 """Per-page HTML reading used inside Spark tasks: a flat node table and a small selector subset.
 
 Only what rules need: tag, ``.class``, ``#id``, ``[a]``, ``[a=v]``, ``[a*=v]``, ``[a^=v]``,
-``[a$=v]``, descendant, child and comma. Anything else matches nothing.
+``[a$=v]``, descendant, child and comma. A part of a list that is anything else matches nothing and is
+named by :func:`selector_gaps`; the other parts of the list still match.
 """
 
 from __future__ import annotations
@@ -25,8 +26,16 @@ class Page(HTMLParser):
     """Nodes in document order; node ``i`` spans nodes ``i..last[i]`` and its own slice of texts."""
 
     def __init__(self, html: str, url: str = ""):
+        self.source, self.url, self.error = html, url, None
+        try:
+            self._read(html)
+        except AssertionError as problem:
+            # The parser gives up on unknown marked sections; read as comments of the same length they do no harm.
+            self.error = f"markup: {problem}"
+            self._read(html.replace("<![", "<!?"))
+
+    def _read(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.source, self.url = html, url
         self.tags, self.attrs, self.parent, self.last = ["#page"], [{}], [-1], [0]
         self.text_from, self.text_to, self.texts = [0], [0], []
         self.span = [[0, len(html)]]
@@ -139,16 +148,26 @@ _PART = re.compile(r"\.([\w-]+)|#([\w-]+)|\[\s*([\w:-]+)\s*(?:([*^$]?=)\s*(?:\"(
 _STEP = re.compile(r"\s*(>?)\s*([a-zA-Z][\w-]*|\*)?((?:\.[\w-]+|#[\w-]+|\[(?:\"[^\"]*\"|'[^']*'|[^\]\"'])*\])*)")
 
 
+def selector_gaps(selector: str) -> list[str]:
+    """The parts of a selector list that are not understood."""
+    return [g.strip() for g in _groups(selector) if g.strip() and not parse_selector(g)]
+
+
+def _groups(selector: str) -> list[str]:
+    return re.split(r",(?![^\[]*\])", selector or "")
+
+
 @lru_cache(maxsize=4096)
 def parse_selector(selector: str) -> tuple:
-    """Comma-separated chains of (combinator, (tag, attribute tests)); empty when not understood."""
+    """Comma-separated chains of (combinator, (tag, attribute tests)); parts that are not understood are left out."""
     chains = []
-    for group in re.split(r",(?![^\[]*\])", selector or ""):
+    for group in _groups(selector):
         steps, at, group = [], 0, group.strip()
         while at < len(group):
             step = _STEP.match(group, at)
             if step.end() == at or not (step.group(2) or step.group(3)):
-                return ()
+                steps = []
+                break
             checks = []
             for cls, ident, attr, how, *values in _PART.findall(step.group(3)):
                 if cls:

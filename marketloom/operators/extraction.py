@@ -26,7 +26,7 @@ from ..functions.classify import extraction_target
 from ..functions.ids import text_hash
 from ..functions.urls import without_www
 from ..session import broadcast_if_small
-from .dom import Page
+from .dom import Page, selector_gaps
 
 FIELD = "struct<name:string,selector:string,attr:string,required:boolean,transform:string>"
 SECTION = f"struct<item_selector:string,fields:array<{FIELD}>>"
@@ -46,6 +46,14 @@ _PHONE = re.compile(K.PHONE_PATTERN)
 _LINK_FIELDS = frozenset(K.URL_ALIASES + K.IMAGE_ALIASES + K.STORE_URL_ALIASES)
 
 
+def _joined(base: str, link) -> str | None:
+    """Absolute form of a link, NULL where it is no address at all."""
+    try:
+        return urljoin(base, _text_of(link) or "")
+    except ValueError:
+        return None
+
+
 def _raw_value(page: Page, scope: int, field: dict) -> str | None:
     node = page.first(field.get("selector") or "", scope)
     if node is None:
@@ -62,12 +70,13 @@ def _read_field(page: Page, scope: int, field: dict) -> dict:
     name, attr, raw = field["name"].strip(), field.get("attr"), _raw_value(page, scope, field)
     link = raw is not None and (attr in ("href", "src") or name in _LINK_FIELDS)
     return {"name": name, "selector": field.get("selector"), "attr": attr, "transform": field.get("transform"),
-            "raw": raw, "link": urljoin(page.url, " ".join(raw.split())) if link else None}
+            "raw": raw, "link": _joined(page.url, " ".join(raw.split())) if link else None}
 
 
 def section_rows(page: Page, section: dict | None) -> list[dict]:
     """Raw field values per item of a rule section; the whole page is the item if none is named."""
-    fields = [f for f in (section or {}).get("fields") or [] if f and (f.get("name") or "").strip()]
+    # Of fields with one name the last counts.
+    fields = list({f["name"].strip(): f for f in (section or {}).get("fields") or [] if f and (f.get("name") or "").strip()}.values())
     if not fields:
         return []
     item = section.get("item_selector")
@@ -80,7 +89,7 @@ def _jsonld_nodes(page: Page) -> Iterator[dict]:
     for node in page.select("script[type='application/ld+json']"):
         try:
             stack = [json.loads(page.attrs[node].get("#code") or "{}")]
-        except json.JSONDecodeError:
+        except (ValueError, RecursionError):  # no JSON, or nested too deep to read
             continue
         while stack:
             value = stack.pop()
@@ -110,17 +119,17 @@ def jsonld_records(page: Page) -> tuple[list[dict], list[dict]]:
             price = offer.get("price") or node.get("price")
             number = isinstance(price, (int, float)) and not isinstance(price, bool)
             products.append({
-                "product_name": _text_of(node.get("name")), "product_url": urljoin(page.url, node.get("url") or ""),
+                "product_name": _text_of(node.get("name")), "product_url": _joined(page.url, node.get("url")),
                 "image_url": _text_of(node.get("image")), "price": None if price is None else str(price),
                 "price_number": str(float(price)) if number else None,
-                "currency": offer.get("priceCurrency"), "brand": _text_of(node.get("brand"))})
+                "currency": _text_of(offer.get("priceCurrency")), "brand": _text_of(node.get("brand"))})
         if kinds & {"localbusiness", "store", "organization"}:
             address = node.get("address")
             if isinstance(address, dict):
                 parts = [address.get(k) for k in ("streetAddress", "addressLocality", "addressRegion")]
                 address = ", ".join(" ".join(str(p).split()) for p in parts if p)
             stores.append({"store_name": _text_of(node.get("name")), "store_address": _text_of(address),
-                           "store_phone": _text_of(node.get("telephone")), "store_url": urljoin(page.url, node.get("url") or "")})
+                           "store_phone": _text_of(node.get("telephone")), "store_url": _joined(page.url, node.get("url"))})
     return products, stores
 
 
@@ -158,7 +167,7 @@ def page_facts(page: Page, products: list[dict], stores: list[dict]) -> dict:
         "node_brand": None if brand is None else page.attrs[brand].get("content") or page.text(brand),
         "label_brand": _labelled(page, ("thương hiệu", "brand")),
         "jsonld_store": store.get("store_name"), "site_name": site, "title": text_of("title"),
-        "jsonld_url": store.get("store_url"), "canonical_url": None if canonical is None else urljoin(page.url, canonical),
+        "jsonld_url": store.get("store_url"), "canonical_url": None if canonical is None else _joined(page.url, canonical),
         "jsonld_phone": store.get("store_phone"),
         "tel": None if tel is None else re.sub("^tel:", "", page.attrs[tel].get("href", "")),
         "text_phone": phone.group(0) if phone else None,
@@ -197,7 +206,7 @@ KNOWN_LOCATORS = [
 ]
 _OUTPUT = (
     f"listing {RAW_ROWS}, product_detail {RAW_ROWS}, stores {RAW_ROWS}, jsonld_products {RECORDS}, jsonld_stores {RECORDS}, "
-    f"generic_listing {RAW_ROWS}, generic_detail {RAW_ROWS}, generic_stores {RAW_ROWS}, located_stores {RECORDS}, context {CONTEXT}"
+    f"generic_listing {RAW_ROWS}, generic_detail {RAW_ROWS}, generic_stores {RAW_ROWS}, located_stores {RECORDS}, context {CONTEXT}, read_error string"
 )
 
 
@@ -211,6 +220,19 @@ def rules_from_structures(rules: DataFrame) -> DataFrame:
         (F.col("allowed_targets") if "allowed_targets" in columns else targets).alias("allowed_targets"))
 
 
+def _by_bytes(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of HTML, so a worker holds few large pages at a time."""
+    sizes = [len(v) if v is not None else 0 for v in (x.as_buffer() if x.is_valid else None for x in batch.column(batch.schema.get_field_index("html")))]
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def read_pages(pages: DataFrame, rules: DataFrame, generic: bool = True, locators: DataFrame | None = None) -> DataFrame:
     """Run each page's rule over its HTML. Needs raw_page_id, domain, url, page_type, html.
 
@@ -237,7 +259,7 @@ def read_pages(pages: DataFrame, rules: DataFrame, generic: bool = True, locator
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_bytes(whole)):
             found = [_read_one(*page, generic) for page in zip(
                 *[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("html", "url", "structure", "locator")])]
             columns = [batch.column(batch.schema.get_field_index(n)) for n in kept]
@@ -248,8 +270,27 @@ def read_pages(pages: DataFrame, rules: DataFrame, generic: bool = True, locator
     return prepared.mapInArrow(run, schema)
 
 
+_NOTHING = {c: [] for c in ("listing", "product_detail", "stores", "jsonld_products", "jsonld_stores", "generic_listing", "generic_detail", "generic_stores", "located_stores")}
+
+
 def _read_one(html: str | None, url: str | None, structure: dict | None, locator: dict | None, generic: bool) -> dict:
+    """What one page gives; a page that cannot be read gives no rows and says why, and the others go on."""
+    try:
+        return _read_page(html, url, structure, locator, generic)
+    except Exception as problem:  # noqa: BLE001  any page may be anything
+        return {**_NOTHING, "context": None, "read_error": f"{type(problem).__name__}: {problem}"}
+
+
+def _rule_gaps(structure: dict) -> list[str]:
+    sections = [s for s in structure.values() if isinstance(s, dict)]
+    selectors = [s.get("item_selector") for s in sections] + [f.get("selector") for s in sections for f in s.get("fields") or [] if f]
+    return sorted({g for s in selectors for g in selector_gaps(s)})
+
+
+def _read_page(html: str | None, url: str | None, structure: dict | None, locator: dict | None, generic: bool) -> dict:
     page, structure = Page(html or "", url or ""), structure or {}
+    gaps = _rule_gaps(structure)
+    problems = [p for p in (page.error, "unsupported selector: " + " , ".join(gaps) if gaps else None) if p]
     products, stores = jsonld_records(page) if "application/ld+json" in (html or "") else ([], [])
     out = {t: section_rows(page, structure.get(t)) for t in TARGETS}
     as_map = lambda rows: [[(k, v) for k, v in r.items() if v is not None] for r in rows]
@@ -259,7 +300,7 @@ def _read_one(html: str | None, url: str | None, structure: dict | None, locator
         generic_detail=section_rows(page, _GENERIC["product_detail"]) if generic else [],
         generic_stores=section_rows(page, _GENERIC["stores"]) if generic else [],
         located_stores=as_map(_located_stores(page, locator)) if generic else [],
-        context=page_facts(page, products, stores))
+        context=page_facts(page, products, stores), read_error="; ".join(problems) or None)
     return out
 
 

@@ -125,9 +125,15 @@ def latest_prompts(prompts: DataFrame) -> DataFrame:
 # --- upkeep ---------------------------------------------------------------------------------
 
 def retained_pages(pages: DataFrame, as_of: Column, days: int = 14, per_domain: int = 100) -> DataFrame:
-    """Pages to keep: younger than the limit, then the newest per domain."""
-    young = pages.filter(F.col("captured_at") >= F.timestamp_add("DAY", F.lit(-days), as_of))
-    return top_per_group(young, ["domain"], [F.desc("captured_at"), F.col("raw_page_id")], per_domain) if per_domain > 0 else young
+    """Pages to keep: those not older than the limit, then the newest per domain.
+
+    A page without a capture time is of no known age and stays; like a page without a domain it is in no top list.
+    """
+    young = pages.filter(F.coalesce(F.col("captured_at") >= F.timestamp_add("DAY", F.lit(-days), as_of), F.lit(True)))
+    if per_domain <= 0:
+        return young
+    placed = F.col("captured_at").isNotNull() & F.col("domain").isNotNull()
+    return young.filter(~placed).unionByName(top_per_group(young.filter(placed), ["domain"], [F.desc("captured_at"), F.col("raw_page_id")], per_domain))
 
 
 def daily_prices(observations: DataFrame, before: Column | None = None) -> DataFrame:
@@ -146,9 +152,9 @@ def daily_prices(observations: DataFrame, before: Column | None = None) -> DataF
 
 
 def compact_observations(observations: DataFrame, as_of: Column, retention_days: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(daily rows of what is older than the retention, observations that stay)."""
+    """(daily rows of what is older than the retention, observations that stay); one without a time stays."""
     cutoff = F.timestamp_add("DAY", F.lit(-retention_days), as_of)
-    return daily_prices(observations, cutoff), observations.filter(F.col("observed_at") >= cutoff)
+    return daily_prices(observations, cutoff), observations.filter(F.coalesce(F.col("observed_at") >= cutoff, F.lit(True)))
 
 
 def backfill_schema(products: DataFrame, as_of: Column) -> DataFrame:

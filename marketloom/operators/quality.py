@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..functions.classify import page_class
 from ..functions.urls import is_http
 from ..functions.validity import row_checks, valid_store
-from .common import first_seen, previous_row, top_per_group
+from .common import first_seen, join_null_safe, previous_row, top_per_group
 
 METRICS = ["valid_products", "required_coverage", "brand_coverage", "duplicate_ratio", "median_price"]
 
@@ -34,12 +34,6 @@ def metric_columns(median: bool = True) -> list[Column]:
     return bundle + [middle.alias("median_price")] if median else bundle
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def grouped_upper_median(rows: DataFrame, keys: list[str], value: str = "price_numeric") -> DataFrame:
     """Exact upper median of the positive values per group, without gathering any group.
 
@@ -54,14 +48,14 @@ def grouped_upper_median(rows: DataFrame, keys: list[str], value: str = "price_n
         "_total": F.sum("_held").over(group), "_upto": F.sum("_held").over(upto)})
     buckets = buckets.withColumn("_rank", F.floor(F.col("_total") / 2) - (F.col("_upto") - F.col("_held"))).filter(
         (F.col("_rank") >= 0) & (F.col("_rank") < F.col("_held"))).select(*keys, "_bucket", "_rank")
-    inside = _join_null_safe(counts, buckets, [*keys, "_bucket"], "inner")
+    inside = join_null_safe(counts, buckets, [*keys, "_bucket"], "inner")
     running = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     return inside.withColumn("_run", running).filter("_run > _rank").groupBy(*keys).agg(F.min(value).alias("median_price"))
 
 
 def page_metrics(products: DataFrame, keys: list[str]) -> DataFrame:
     """The metrics bundle per page, batch, source or any other grouping."""
-    return _join_null_safe(products.groupBy(*keys).agg(*metric_columns(median=False)), grouped_upper_median(products, keys), keys, "left")
+    return join_null_safe(products.groupBy(*keys).agg(*metric_columns(median=False)), grouped_upper_median(products, keys), keys, "left")
 
 
 def source_metrics(pages: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -111,13 +105,21 @@ def with_previous_metrics(runs: DataFrame, key: str, order: str, bucket: Column)
     return previous_row(runs, key, order, METRICS, bucket)
 
 
-def route_gate(products: DataFrame, metrics: DataFrame, previous: DataFrame, key: str, group: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Split product rows into (written, quarantined) by the gate verdict of their batch."""
+def route_gate(products: DataFrame, metrics: DataFrame, previous: DataFrame, key: str, group: list[str], sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split product rows into (written, quarantined) by the gate verdict of their batch. NULL keys are batches too.
+
+    ``sources`` (key, quality_gate_enabled) may switch the gate off for a source; without a setting it is on.
+    """
     before = previous.select(key, metric_struct().alias("previous_metrics"))
-    judged = metrics.join(before, key, "left").withColumn("metrics", metric_struct())
-    judged = judged.withColumn("reasons", gate_reasons(F.col("metrics"), F.col("previous_metrics")))
+    judged = join_null_safe(metrics, before, [key], "left").withColumn("metrics", metric_struct())
+    if sources is None:
+        judged = judged.withColumn("_on", F.lit(True))
+    else:
+        gates = sources.groupBy(key).agg(F.bool_and(F.coalesce("quality_gate_enabled", F.lit(True))).alias("_on"))
+        judged = join_null_safe(judged, gates, [key], "left")
+    judged = judged.withColumn("reasons", F.when(F.coalesce("_on", F.lit(True)), gate_reasons(F.col("metrics"), F.col("previous_metrics"))).otherwise(F.array().cast("array<string>")))
     keys = list(dict.fromkeys([*group, key]))
-    rows = products.join(judged.select(*keys, "metrics", "previous_metrics", "reasons"), keys)
+    rows = join_null_safe(products, judged.select(*keys, "metrics", "previous_metrics", "reasons"), keys)
     held = F.size("reasons") > 0
     written = rows.filter(~held).drop("metrics", "previous_metrics", "reasons")
     return written, rows.filter(held).withColumn("reason", F.get("reasons", 0)).drop("reasons")
@@ -188,6 +190,15 @@ def target_results(rows: DataFrame, samples: DataFrame) -> DataFrame:
         & (F.try_divide(F.col("good_samples"), F.col("sample_count")) >= 0.8) & covered).drop(*[f"has_{n}" for n in has])
 
 
+def old_price_consistency(rows: DataFrame) -> DataFrame:
+    """(domain, consistency): share of the valid product rows with an old price whose old price is sound; 1 where none has one."""
+    entry = {n: F.try_element_at("record", F.lit(n)) for n in ("product_name", "price", "product_url", "old_price", "category", "volume_ml", *K.STORE_FIELDS)}
+    c = F.col("_c")
+    checked = rows.filter("target <> 'stores'").withColumns({"_c": row_checks(entry, F.col("domain"), F.col("target")), "_old": X.blank_to_null(entry["old_price"]).isNotNull()})
+    valid = c["product_name"] & c["price"] & (c["product_url"] | (F.col("target") != "listing"))
+    return checked.groupBy("domain").agg(F.coalesce(F.avg(F.when(valid & F.col("_old"), c["old_price"].cast("double"))), F.lit(1.0)).alias("consistency"))
+
+
 def rule_score(coverage: Column, distinct_items: Column, consistency: Column) -> Column:
     diversity = F.least(F.lit(1.0), distinct_items / 5)
     return F.round(coverage * 0.65 + diversity * 0.25 + consistency * 0.10, 3)

@@ -27,10 +27,9 @@ def _(t):
     return t.products.select("product_id", X.clean_price("price_text").alias("price"))
 
 
-@query("d2_clean_price_documents", f"SELECT doc_id, {A.price('text')} AS price FROM documents WHERE length(regexp_extract({A.clean('text')}, '\\d[\\d.,\\s]*')) <= 15")
+@query("d2_clean_price_documents", f"SELECT doc_id, {A.price('text')} AS price FROM documents")
 def _(t):
-    run = F.regexp_extract(X.clean_text("text"), r"\d[\d.,\s]*", 0)
-    return t.documents.filter(F.length(run) <= 15).select("doc_id", X.clean_price("text").alias("price"))
+    return t.documents.select("doc_id", X.clean_price("text").alias("price"))
 
 
 @query("d3_normalize_price", f"SELECT observation_id, count(*) AS n, max(CASE WHEN p > 0 THEN p END) AS price FROM (SELECT observation_id, {A.price('CAST(CAST(price_numeric AS BIGINT) AS VARCHAR)')} AS p FROM observations) GROUP BY 1")

@@ -98,14 +98,14 @@ def _(t):
 
 
 @query("b13_frontier", """WITH links AS (SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS u, 'p' || CAST(l_partkey AS VARCHAR) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT DISTINCT 'p' || CAST(l_partkey AS VARCHAR), 's' || CAST(l_suppkey AS VARCHAR) FROM lineitem),
-    d0 AS (SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS root, 'c' || CAST(c_custkey AS VARCHAR) AS url, 0 AS depth FROM customer WHERE c_acctbal > 9500),
+    d0 AS (SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS root, 'c' || CAST(c_custkey AS VARCHAR) AS url, 0 AS depth FROM customer),
     d1 AS (SELECT DISTINCT root, v AS url, 1 AS depth FROM d0 JOIN links ON url = u), d2 AS (SELECT DISTINCT root, v AS url, 2 AS depth FROM d1 JOIN links ON url = u)
     SELECT root, url, min(depth) AS depth FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) GROUP BY 1, 2""")
 def _(t):
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     links = lines.select(tag("c", "o_custkey").alias("url"), tag("p", "l_partkey").alias("link")).union(t.lineitem.select(tag("p", "l_partkey"), tag("s", "l_suppkey"))).distinct().withColumn("score", F.lit(0))
-    seeds = t.customer.filter("c_acctbal > 9500").select(tag("n", "c_nationkey").alias("root"), tag("c", "c_custkey").alias("url"))
+    seeds = t.customer.select(tag("n", "c_nationkey").alias("root"), tag("c", "c_custkey").alias("url"))
     return P.expand_frontier(seeds, links, 2).select("root", "url", "depth")
 
 
@@ -132,7 +132,7 @@ def _(t):
 
 
 @query("b17_run_pages", f"""WITH here AS (SELECT *, {A.bare('domain')} AS site FROM shop_pages WHERE pk % 10 = 0), w AS (SELECT {A.bare('domain')} AS site, store_locator_url AS loc FROM sources WHERE store_locator_url IS NOT NULL
-      AND {A.bare('domain')} NOT IN (SELECT site FROM here WHERE {_CLASS} = 'store_listing') AND {A.bare('domain')} IN (SELECT site FROM here)),
+      AND {A.bare('domain')} NOT IN (SELECT site FROM here WHERE {_CLASS} = 'store_listing')),
     x AS (SELECT raw_page_id, row_number() OVER (PARTITION BY w.site ORDER BY captured_at DESC, raw_page_id) AS rn FROM shop_pages p JOIN w ON {A.bare('p.domain')} = w.site AND starts_with(regexp_replace(url, '/+$', ''), regexp_replace(loc, '/+$', '')) WHERE pk % 10 <> 0)
     SELECT raw_page_id FROM here UNION ALL SELECT raw_page_id FROM x WHERE rn <= 6""")
 def _(t):
@@ -412,20 +412,29 @@ def _(t):
 
 
 _PASSED = "sample_count >= 1 AND valid_rows >= CASE target WHEN 'listing' THEN 2 ELSE 1 END AND good / sample_count >= 0.8"
+#: Share of the rows with an old price (detail pages carry one) that lies above the price, among the valid rows.
+_CONSISTENT = f"(SELECT domain, coalesce(sum(CASE WHEN old_price >= price_numeric THEN 1.0 ELSE 0.0 END) FILTER ({_OK_PRICE} AND old_price IS NOT NULL) / nullif(count(*) FILTER ({_OK_PRICE} AND old_price IS NOT NULL), 0), 1.0) AS same FROM {_bounds_sql()} GROUP BY domain)"
+_SCORE = f"""round(sum(CASE target WHEN 'listing' THEN 2 * row_count + valid_rows ELSE row_count + valid_rows END) / sum(CASE target WHEN 'listing' THEN 3 * row_count ELSE 2 * row_count END) * 0.65
+      + least(1.0, sum(valid_rows) / 5) * 0.25 + any_value(same) * 0.10, 3)"""
+_VERDICTS = f"""(SELECT domain, {_SCORE} AS score, bool_and({_PASSED}) AND {_SCORE} >= 0.72 AS accepted,
+      concat_ws(',', CASE WHEN bool_or(target = 'listing' AND {_PASSED}) THEN 'listing' END, CASE WHEN bool_or(target = 'product_detail' AND {_PASSED}) THEN 'product_detail' END) AS passed
+      FROM {_target_sql(_bounds_sql())} JOIN {_CONSISTENT} USING (domain) GROUP BY domain)"""
 
 
-@query("f14_rule_verdicts", f"""WITH r AS {_target_sql(_bounds_sql())} SELECT domain, round(sum(CASE target WHEN 'listing' THEN 2 * row_count + valid_rows ELSE row_count + valid_rows END) / sum(CASE target WHEN 'listing' THEN 3 * row_count ELSE 2 * row_count END) * 0.65
-      + least(1.0, sum(valid_rows) / 5) * 0.25 + 0.10, 3) AS score, bool_and({_PASSED}) AND round(sum(CASE target WHEN 'listing' THEN 2 * row_count + valid_rows ELSE row_count + valid_rows END) / sum(CASE target WHEN 'listing' THEN 3 * row_count ELSE 2 * row_count END) * 0.65
-      + least(1.0, sum(valid_rows) / 5) * 0.25 + 0.10, 3) >= 0.72 AS accepted, concat_ws(',', CASE WHEN bool_or(target = 'listing' AND {_PASSED}) THEN 'listing' END, CASE WHEN bool_or(target = 'product_detail' AND {_PASSED}) THEN 'product_detail' END) AS passed FROM r GROUP BY domain""")
+def _verdicts(t):
+    rows, samples = _rule_rows(t)
+    return Q.rule_verdicts(Q.target_results(rows, samples), Q.old_price_consistency(rows))
+
+
+@query("f14_rule_verdicts", f"SELECT domain, score, accepted, passed FROM {_VERDICTS}")
 def _(t):
-    return Q.rule_verdicts(Q.target_results(*_rule_rows(t))).select("domain", "score", "accepted", F.array_join("passed_targets", ",").alias("passed"))
+    return _verdicts(t).select("domain", "score", "accepted", F.array_join("passed_targets", ",").alias("passed"))
 
 
-@query("j7_rule_reuse", f"SELECT domain FROM {_target_sql(_bounds_sql())} WHERE target = 'listing' AND {_PASSED} AND (2 * row_count + valid_rows) / (3 * row_count) * 0.65 + least(1.0, valid_rows / 5) * 0.25 + 0.10 >= 0.72")
+@query("j7_rule_reuse", f"SELECT domain, passed FROM {_VERDICTS} WHERE accepted")
 def _(t):
     from ..operators.lifecycle import reused_rules
-    rows, samples = _rule_rows(t)
-    return reused_rules(Q.rule_verdicts(Q.target_results(rows.filter("target = 'listing'"), samples.filter("target = 'listing'")))).select("domain")
+    return reused_rules(_verdicts(t)).select("domain", F.array_join("allowed_targets", ",").alias("passed"))
 
 
 @query("f13_store_metrics", "SELECT domain, count(*) AS sample_count, count(*) AS valid_rows, true AS passed FROM products GROUP BY domain")

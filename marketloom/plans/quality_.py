@@ -102,12 +102,19 @@ def _(t):
 
 
 @query("k2_gate_routing", f"""WITH m AS (SELECT domain, count(*) AS n, round(avg(CASE WHEN coalesce(price_numeric, 0) > 0 AND pk % 3 <> 1 THEN 1 ELSE 0 END), 3) AS r FROM products GROUP BY domain)
-    SELECT product_id, CASE WHEN r < 0.65 THEN 'required coverage below 65%' ELSE 'written' END AS verdict FROM products JOIN m USING (domain)""")
+    , p AS (SELECT domain, CAST(20 + sum(pk) % 300 AS BIGINT) AS pn FROM products GROUP BY domain HAVING sum(pk) % 2 = 0),
+    g AS (SELECT 'shop' || CAST(s_suppkey % 100 AS VARCHAR) || '.vn' AS domain, bool_and(s_suppkey % 8 <> 0) AS is_on FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1)
+    SELECT product_id, coalesce(CASE WHEN NOT coalesce(is_on, true) THEN 'written' WHEN r < 0.65 THEN 'required coverage below 65%'
+           WHEN pn >= 5 AND n < pn * 0.3 THEN 'product count dropped more than 70% (' || CAST(pn AS VARCHAR) || ' -> ' || CAST(n AS VARCHAR) || ')' END, 'written') AS verdict
+    FROM products JOIN m USING (domain) LEFT JOIN p USING (domain) LEFT JOIN g USING (domain)""")
 def _(t):
     rows = t.products.withColumn("price_numeric", F.when(F.col("pk") % 3 != 1, F.col("price_numeric")))
     metrics = Q.page_metrics(rows, ["domain"])
-    none_before = metrics.filter("false")
-    written, held = Q.route_gate(rows, metrics, none_before, "domain", ["domain"])
+    key = F.sum("pk")
+    before = t.products.groupBy("domain").agg(key.alias("k")).filter("k % 2 = 0").select(
+        "domain", (20 + F.col("k") % 300).cast("long").alias("valid_products"), *[F.lit(None).cast("double").alias(m) for m in Q.METRICS[1:]])
+    gates = t.supplier.filter("s_suppkey % 3 = 0").select(F.concat(F.lit("shop"), (F.col("s_suppkey") % 100).cast("string"), F.lit(".vn")).alias("domain"), (F.col("s_suppkey") % 8 != 0).alias("quality_gate_enabled"))
+    written, held = Q.route_gate(rows, metrics, before, "domain", ["domain"], gates)
     return written.select("product_id", F.lit("written").alias("verdict")).unionByName(held.select("product_id", F.col("reason").alias("verdict")))
 
 
@@ -163,11 +170,11 @@ def _(t):
     return fixed.select("domain", F.size(F.filter(F.col("s")["listing"]["fields"], lambda f: f["required"])).alias("required"))
 
 
-@query("e11_present_targets", f"""WITH seen AS (SELECT DISTINCT domain, CASE class WHEN 'store_listing' THEN 'stores' ELSE class END AS t FROM (SELECT domain, {_CLASS} AS class FROM shop_pages WHERE pk % 40 = 0) WHERE class <> 'unknown'),
+@query("e11_present_targets", f"""WITH seen AS (SELECT DISTINCT domain, CASE class WHEN 'store_listing' THEN 'stores' ELSE class END AS t FROM (SELECT domain, {_CLASS} AS class FROM shop_pages) WHERE class <> 'unknown'),
     g AS (SELECT domain, list(t) AS l FROM seen GROUP BY domain) SELECT s.domain, array_to_string(list_sort(CASE WHEN l IS NULL THEN ['listing', 'stores'] ELSE list_intersect(['listing', 'stores'], l) END), ',') AS targets FROM sources s LEFT JOIN g USING (domain)""")
 def _(t):
     rules = t.sources.select("domain", F.array(F.lit("listing"), F.lit("stores")).alias("targets"))
-    return Q.targets_present(t.shop_pages.filter("pk % 40 = 0"), rules).select("domain", F.array_join("targets", ",").alias("targets"))
+    return Q.targets_present(t.shop_pages, rules).select("domain", F.array_join("targets", ",").alias("targets"))
 
 
 @query("n3_target_sets", "SELECT o_custkey, array_to_string(list_sort(list_intersect(l, ['F', 'P'])), ',') AS common, array_to_string(list_sort(list_filter(['F', 'O', 'P'], lambda x: NOT list_contains(l, x))), ',') AS missing FROM (SELECT o_custkey, list(DISTINCT o_orderstatus) AS l FROM orders GROUP BY 1)")
@@ -445,10 +452,14 @@ def _(t):
     return _bundle(t)["sources_status"].select("source_id", "pages", "pending")
 
 
-@query("a12_category_rules", f"SELECT product_id, {A.labels(A.joined('product_name'), [('Vàng', ['ring', 'vang']), ('Nhựa', ['widget'])], 'Khác')} AS category FROM products")
+_PART_RULES = """SELECT p_type AS category, lower(split_part(p_name, ' ', 1)) AS keyword, max(p_size) OVER (PARTITION BY p_type) AS priority FROM part WHERE p_type <> 'PROMO'"""
+
+
+@query("a12_category_rules", f"""WITH r AS (SELECT DISTINCT * FROM ({_PART_RULES})), n AS (SELECT product_id, lower(product_name) AS name FROM products)
+    SELECT n.product_id, coalesce(min(struct_pack(p := -priority, c := category)).c, 'Khác') AS category FROM n LEFT JOIN r ON contains(name, keyword) GROUP BY n.product_id""")
 def _(t):
-    from ..functions.classify import category
-    top = t.part.agg(F.max("p_size").alias("m"))
-    rule = lambda name, words, priority, active: top.select(F.lit(name).alias("category"), F.array(*[F.lit(w) for w in words]).alias("keywords"), (F.col("m") * 0 + priority).alias("priority"), F.lit(active).alias("is_active"))
-    rules = rule("Nhựa", ["widget"], 5, True).unionByName(rule("Vàng", ["ring", "vang"], 9, True)).unionByName(rule("Tắt", ["a"], 20, False))
-    return t.products.select("product_id", category(F.col("product_name"), rules=S.category_rules(rules)).alias("category"))
+    from ..operators.pages import keyword_category
+    words = F.collect_set(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))))
+    rules = t.part.groupBy(F.col("p_type").alias("category")).agg(words.alias("keywords"), F.max("p_size").alias("priority")).withColumn("is_active", F.col("category") != "PROMO")
+    found = keyword_category(t.products, "product_id", "product_name", S.category_rules(rules), first_of_ties=True)
+    return found.select("product_id", F.coalesce("category", F.lit("Khác")).alias("category"))

@@ -98,12 +98,12 @@ def _(t):
 
 # --- duplicate queue ------------------------------------------------------------------------
 
-_LIST = "(SELECT domain || ':' || product_url AS listing, domain AS source, product_url AS url, lower(category || ' ' || regexp_replace(brand, '[^a-zA-Z0-9]+', ' ', 'g')) AS k FROM products WHERE category <> '')"
+_LIST = "(SELECT domain || ':' || product_url AS listing, domain AS source, product_url AS url, trim(lower(category || ' ' || regexp_replace(brand, '[^a-zA-Z0-9]+', ' ', 'g'))) AS k FROM products)"
 
 
 @query("i1_same_names", f"SELECT substr(sha1(least(listing, head) || '|' || greatest(listing, head)), 1, 12) AS candidate_id, 0.96::DOUBLE AS confidence, 'normalized_name' AS reasons FROM (SELECT listing, min(listing) OVER (PARTITION BY k) AS head FROM {_LIST}) WHERE listing <> head")
 def _(t):
-    listings = t.products.filter("category <> ''").select(F.col("domain").alias("source"), F.col("product_url").alias("url"), F.concat_ws(" ", "category", "brand").alias("name"))
+    listings = t.products.select(F.col("domain").alias("source"), F.col("product_url").alias("url"), F.concat_ws(" ", "category", "brand").alias("name"))
     return R.duplicate_pairs(listings, 1.01).select("candidate_id", F.col("confidence").cast("double").alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
 
 

@@ -70,9 +70,9 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session that has none falls back
-    to a scratch folder; a cluster without the setting is an error, as a machine-local folder
-    would not survive the loss of an executor.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session that has none uses a folder under
+    the warehouse; a cluster without the setting is an error, as a machine-local folder would not survive
+    the loss of an executor.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -81,6 +81,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="spark-")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -28,9 +28,9 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prepared_pages(pages: DataFrame, as_of: Column) -> DataFrame:
-    """Pages ready to store: defaults for id, domain, type, length and time."""
+    """Pages ready to store: defaults for id, domain, type, length and time. A missing id is made of URL and time, so a task that runs again writes the same."""
     return pages.withColumns({
-        "raw_page_id": F.coalesce(X.blank_to_null("raw_page_id"), F.uuid()),
+        "raw_page_id": F.coalesce(X.blank_to_null("raw_page_id"), F.sha1(F.concat_ws("|", "url", F.coalesce("captured_at", as_of).cast("string")).cast("binary"))),
         "domain": F.coalesce(X.blank_to_null("domain"), F.lit("unknown")), "content_type": F.coalesce("content_type", F.lit("mhtml")),
         "content_length": F.octet_length("content").cast("long"), "status": F.coalesce("status", F.lit("pending")),
         "captured_at": F.coalesce("captured_at", as_of)})
@@ -131,15 +131,13 @@ def read_rule_files(spark: SparkSession, path: str) -> DataFrame:
         F.substring(F.sha2(F.to_json("rule").cast("binary"), 256), 1, 16).alias("version"))
 
 
-def category_rules(rules: DataFrame, most: int = 1000) -> list[tuple[str, list[str]]]:
-    """Active category rules, highest priority first; the built-in ones when there are none.
-
-    The result becomes a CASE expression, so a table of more than ``most`` rules is refused.
-    """
-    rows = rules.filter(F.col("is_active") & (F.size("keywords") > 0)).orderBy(F.desc("priority"), "category").limit(most + 1).select("category", "keywords").collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} active category rules")
-    return [(r["category"], list(r["keywords"])) for r in rows] or K.CATEGORY_KEYWORDS
+def category_rules(rules: DataFrame) -> DataFrame:
+    """Keywords of the active category rules as (category, keyword, priority); the built-in ones when there are none."""
+    active = rules.filter("is_active").select("category", F.explode("keywords").alias("keyword"), "priority").withColumn("keyword", F.lower("keyword"))
+    if not active.isEmpty():
+        return active
+    rows = [(name, word, -place) for place, (name, words) in enumerate(K.CATEGORY_KEYWORDS) for word in words]
+    return rules.sparkSession.createDataFrame(rows, "category string, keyword string, priority int")
 
 
 # --- output and job files -------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,13 +12,13 @@ from pyspark.sql import types as T
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for stream output and progress, under ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a scratch folder.
+    Only a local session without that setting gets a folder under the warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="spark-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
