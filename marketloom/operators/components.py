@@ -31,11 +31,11 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:
-    """(node, component) for every node that has an edge; the component is its smallest node."""
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """(node, component) for every node that has an edge; the component is its smallest node. Rounds go on until nothing changes."""
     stars = cut_lineage(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b").distinct())
     before = _fingerprint(stars)
-    for _ in range(max_rounds):
+    while True:
         stars = cut_lineage(_small_star(_large_star(stars)))
         after = _fingerprint(stars)
         if after == before:
@@ -43,4 +43,3 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 roots.select("node", F.col("node").alias("component")))
         before = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -3,8 +3,9 @@
 The ratio is 2*M/T with M the characters in matching blocks and T both lengths together. D = T-2*M
 characters stay unmatched, so there are at most D+1 blocks, and two strings that reach ratio t
 share at least M-(D+1) = (1.5*t-1)*T-1 bigrams. A pair therefore meets in the rarest bigrams of
-each string (prefix filter), and only such pairs are built; nothing is capped. Strings too short for
-that bound to bite also meet on single characters. As M can be no more than the characters the two
+each string (prefix filter), and only such pairs are built; nothing is capped. Strings so short that a partner
+may leave T at or below 1/(1.5*t-1), where the bound says nothing, also meet on single characters; at t of 2/3 and
+below that is every string, which is exact but costly. As M can be no more than the characters the two
 have in common, pairs without enough of those are dropped before the ratio is computed.
 """
 
@@ -47,7 +48,10 @@ def candidate_pairs(items: DataFrame, item: str, text: str, threshold: float, bl
     t = threshold - _SLACK
     base = items.select(F.col(item).alias("item"), F.col(text).alias("text"), F.length(text).alias("size"), *block).filter("size > 0")
     base = base.withColumn("uid", F.substring(F.sha1(F.concat_ws("\x01", "item", *block).cast("binary")), 1, 20))
-    short = F.when(F.col("size") <= 3, F.transform(_grams(F.col("text"), 1), lambda g: F.struct(F.lit(1).alias("width"), g.alias("gram")))).otherwise(
+    # The longest total length for which no shared bigram is promised, and the shortest a partner allows.
+    unbound = 1 / (1.5 * t - 1) if 1.5 * t > 1 else float("inf")
+    least_total = F.col("size") * (1 + t / (2 - t))
+    short = F.when(least_total <= unbound + _SLACK, F.transform(_grams(F.col("text"), 1), lambda g: F.struct(F.lit(1).alias("width"), g.alias("gram")))).otherwise(
         F.array().cast("array<struct<width:int,gram:string>>"))
     tokens = base.select("uid", "size", *block, F.explode(F.concat(
         F.transform(_grams(F.col("text"), 2), lambda g: F.struct(F.lit(2).alias("width"), g.alias("gram"))), short)).alias("token"))
@@ -57,9 +61,8 @@ def candidate_pairs(items: DataFrame, item: str, text: str, threshold: float, bl
     ranked = tokens.join(frequency, "gram").groupBy("uid", "size", *block).agg(
         F.array_sort(F.collect_list(F.when(F.col("width") == 2, F.struct("uses", "gram")))).alias("pairs"),
         F.collect_list(F.when(F.col("width") == 1, F.col("gram"))).alias("singles"))
-    # Shortest total length a partner allows, and from it the bigrams that must be shared.
-    total = F.greatest(F.col("size") * (1 + t / (2 - t)), F.lit(6.0))
-    shared = F.greatest(F.lit(1), F.ceil((1.5 * t - 1) * total - 1 - 1e-6).cast("int"))
+    # The bigrams that must be shared at the shortest total length a partner allows.
+    shared = F.greatest(F.lit(1), F.ceil((1.5 * t - 1) * least_total - 1 - 1e-6).cast("int"))
     prefix = F.concat(F.transform(F.slice("pairs", F.lit(1), F.greatest(F.size("pairs") - shared + 1, F.lit(0))), lambda g: g["gram"]), "singles")
     probes = ranked.select("uid", "size", *block, F.explode(prefix).alias("gram"))
     side = lambda s: probes.select(*block, "gram", *[F.col(c).alias(f"{s}_{c}") for c in ("uid", "size")])

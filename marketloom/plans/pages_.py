@@ -499,6 +499,18 @@ def _(t):
     return S.job_files(metas, outputs, t.runs.filter("status = 'failed'").select(F.col("run_id").alias("job_id"))).select("id", "status")
 
 
+@query("a11_rule_files", "SELECT domain, '.' || CAST(sk % 7 AS VARCHAR) AS item, CAST(1 + sk % 2 AS INTEGER) AS fields FROM sources WHERE sk % 3 <> 0")
+def _(t):
+    place = work_folder(t.spark, "rules")
+    one = F.concat(F.lit('{"name":"f'), F.col("sk").cast("string"), F.lit('","selector":"h3"}'))
+    two = F.when(F.col("sk") % 2 == 1, F.concat(F.lit(","), F.lit('{"name":"price","selector":".p"}'))).otherwise("")
+    item = F.when(F.col("sk") % 5 == 0, "container_selector").otherwise("item_selector")
+    body = F.concat(F.lit('{"domain":"'), F.upper("domain"), F.lit('","listing":{"'), item, F.lit('":".'), (F.col("sk") % 7).cast("string"), F.lit('","fields":['), one, two, F.lit("]}}"))
+    t.sources.select("sk", F.when(F.col("sk") % 3 == 0, "{ no rule").otherwise(body).alias("value")).write.partitionBy("sk").text(place)
+    rules = S.read_rule_files(t.spark, f"{place}/*/*.txt")
+    return rules.select("domain", F.col("structure")["listing"]["item_selector"].alias("item"), F.size(F.col("structure")["listing"]["fields"]).alias("fields"))
+
+
 @query("a13_json_lines", "SELECT domain, count(*) AS pages FROM shop_pages GROUP BY domain")
 def _(t):
     place = work_folder(t.spark, "lines")

@@ -17,11 +17,11 @@ def _observations(t):
                         F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("double").alias("price_numeric"), F.col("l_shipdate").alias("observed_at"))
 
 
-@query("m1_first_captures", "SELECT DISTINCT 'https://a.vn/' || event_type || '/' || CAST(user_id AS VARCHAR) AS url FROM events")
+@query("m1_first_captures", "SELECT DISTINCT 'https://a.vn/' || event_type || '/' || CAST(user_id AS VARCHAR) AS url, CAST(1 AS BIGINT) AS kept FROM events")
 def _(t):
     events = stream_table(t.spark, t.folder, "events")
     pages = events.select(F.concat(F.lit("https://a.vn/"), "event_type", F.lit("/"), F.col("user_id").cast("string")).alias("url"), F.col("ts").alias("captured_at"))
-    return drain(S.first_captures(pages), "captures").select("url").distinct()
+    return drain(S.first_captures(pages), "captures").groupBy("url").agg(F.count("*").alias("kept"))
 
 
 _PRICE = "CAST(floor(l_extendedprice / l_quantity * 100) AS DOUBLE)"
@@ -70,7 +70,8 @@ def _(t):
     place = work_folder(t.spark, "gated")
     rows = stream_table(t.spark, t.folder, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("product_id"), "l_discount")
     good, bad = f"{place}/good", f"{place}/bad"
-    sink = S.write_gated(lambda d: d.write.mode("append").parquet(good), lambda d: d.write.mode("append").parquet(bad),
+    under = lambda place: lambda rows, batch: rows.write.mode("overwrite").parquet(f"{place}/batch={batch}")
+    sink = S.write_gated(under(good), under(bad),
                          lambda d: (d.filter("l_discount < 0.08"), d.filter("l_discount >= 0.08")))
     drain_batches(rows, "gate", sink)
     both = t.spark.read.parquet(good).select("product_id", F.lit(1).alias("w")).unionByName(t.spark.read.parquet(bad).select("product_id", F.lit(0).alias("w")))

@@ -121,13 +121,19 @@ def import_counts(valid: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def read_rule_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rule files, one JSON each: domain from the rule or else the file name; malformed files skipped."""
+    """Rule files, one JSON each: domain from the rule or else the file name; malformed files skipped. A container selector stands in for a missing item selector."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    schema = f"struct<domain:string,{STRUCTURE[len('struct<'):]}"
-    parsed = text.filter(F.try_parse_json("value").isNotNull()).withColumn("rule", F.from_json("value", schema))
+    sections = STRUCTURE.replace("item_selector:string", "item_selector:string,container_selector:string")
+    parsed = text.filter(F.try_parse_json("value").isNotNull()).withColumn("rule", F.from_json("value", f"struct<domain:string,{sections[len('struct<'):]}"))
+
+    def section(name: str) -> Column:
+        s = F.col("rule")[name]
+        item = F.coalesce(X.blank_to_null(s["item_selector"]), X.blank_to_null(s["container_selector"]))
+        return F.when(s.isNotNull(), F.struct(item.alias("item_selector"), s["fields"].alias("fields")))
+
     return parsed.select(
         F.lower(F.coalesce(X.blank_to_null(F.col("rule")["domain"]), F.regexp_replace("file", r"\.json$", ""))).alias("domain"),
-        F.struct(*[F.col("rule")[t].alias(t) for t in ("listing", "product_detail", "stores")]).alias("structure"),
+        F.struct(*[section(t).alias(t) for t in ("listing", "product_detail", "stores")]).alias("structure"),
         F.substring(F.sha2(F.to_json("rule").cast("binary"), 256), 1, 16).alias("version"))
 
 

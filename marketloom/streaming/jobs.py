@@ -1,6 +1,7 @@
 """Structured Streaming forms of capture, price and quality jobs.
 
-State is bounded by watermarks or by one entry per key; sinks are idempotent per batch.
+State is bounded by watermarks or by one entry per key. Sinks are given the batch number and write under it, so a
+batch that is replayed replaces what it wrote before.
 """
 
 from __future__ import annotations
@@ -95,15 +96,15 @@ def drift_stream(runs: DataFrame) -> DataFrame:
     return paired.withColumn("warnings", drift_warnings(metric_struct(), before))
 
 
-def write_gated(written: Callable[[DataFrame], None], held: Callable[[DataFrame], None],
+def write_gated(written: Callable[[DataFrame, int], None], held: Callable[[DataFrame, int], None],
                 route: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink that sends each micro-batch through a gate to two writers."""
+    """foreachBatch sink that sends each micro-batch through a gate to two writers of (rows, batch number)."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             good, bad = route(batch)
-            written(good)
-            held(bad)
+            written(good, batch_id)
+            held(bad, batch_id)
         finally:
             batch.unpersist()
 

@@ -14,12 +14,12 @@ def ratio(a, b):
     return SequenceMatcher(None, a, b).ratio()
 
 
-@pytest.mark.parametrize("threshold", [0.78, 0.88])
+@pytest.mark.parametrize("threshold", [0.55, 0.62, 0.75, 0.78, 0.88])
 def test_similarity_join_equals_brute_force(spark, threshold):
     rng = random.Random(5)
     words = {"".join(rng.choice("abcd ") for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 15]))).strip() for _ in range(150)}
     words |= {w[: len(w) // 2] + rng.choice("xyz") + w[len(w) // 2:] for w in rng.sample(sorted(words), 60)}
-    words = sorted(w for w in words if w)
+    words = sorted({w for w in words if w} | {"axbc", "abyc"})
     want = {(a, b) for a, b in itertools.combinations(words, 2) if ratio(a, b) >= threshold}
     got = similar_pairs(spark.createDataFrame([(w, w) for w in words], "item string, label string"), "item", "label", threshold, [])
     assert {(r["left_item"], r["right_item"]) for r in got.collect()} == want and want
