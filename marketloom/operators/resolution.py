@@ -194,7 +194,8 @@ def duplicate_pairs(listings: DataFrame, min_ratio: float = 0.78) -> DataFrame:
     alike = similar_pairs(names.withColumn("item", F.col("name_key")), "item", "name_key", min_ratio, [])
     side = lambda s: names.select(F.col("name_key").alias(f"{s}_item"), *[F.col("head")[c].alias(f"{s}_{c}") for c in fields])
     fuzzy = alike.select("left_item", "right_item", "ratio").join(side("left"), "left_item").join(side("right"), "right_item")
-    pairs = (linked("url").withColumn("ratio", F.lit(None).cast("double"))
+    # The n-1 links of a URL are scored; those of a name have ratio 1.
+    pairs = (linked("url").withColumn("ratio", match_ratio("left_name_key", "right_name_key"))
              .unionByName(linked("name_key").withColumn("ratio", F.lit(None).cast("double")))
              .unionByName(fuzzy.drop("left_item", "right_item")))
     same_url = F.coalesce((F.col("left_url") != "") & (F.col("left_url") == F.col("right_url")), F.lit(False))

@@ -106,3 +106,9 @@ def test_queue_keeps_decisions(spark):
     found = spark.createDataFrame([("x", 0.9, ["s"], ("a",), ("b",)), ("y", 0.8, ["s"], ("a",), ("c",))], f"candidate_id string, confidence double, reasons array<string>, left_product {empty}, right_product {empty}")
     got = {r["candidate_id"]: r for r in R.refresh_queue(queue, found, F.lit("2024-01-01").cast("timestamp")).collect()}
     assert (got["x"]["status"], got["x"]["note"], got["x"]["confidence"]) == ("merged", "n", 0.9) and got["y"]["status"] == "pending"
+
+
+def test_pairs_on_one_url_also_name_their_likeness(spark):
+    rows = [("a", "https://x/1", "Bia Hanoi lon 330"), ("b", "https://x/1", "Bia Hanoi lon 33"), ("c", "https://x/1", "Sua tuoi")]
+    found = R.duplicate_pairs(spark.createDataFrame(rows, "source string, url string, name string")).collect()
+    assert sorted(tuple(r["reasons"]) for r in found) == [("product_url",), ("product_url", "name_similarity")]
