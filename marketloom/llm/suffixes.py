@@ -13,8 +13,9 @@ anchors, one in about ``SPAN`` / 2, together with the bytes before them that bel
    sorted by the next eight bytes, level by level, which also gives the common prefixes. Two strings at the same
    distance from their anchors are equal if and only if they share enough of both, so what starts twice is read off
    the two orders exactly.
-4. Runs that touch a bucket's boundary are compared across boundaries by the fingerprints of their strings, one row
-   for each different string of a bucket, so a run with a third of all rows is spread over many buckets.
+4. Runs that touch a bucket's boundary are compared across boundaries by fingerprints, so a run with a third of all
+   rows is spread over many buckets: first what each ``GROUP`` neighbouring strings have in common, and only where
+   that stands in two rows the strings themselves.
 5. The strings found give spans of bytes for each text, and the rest is hashed.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` keep all; matches neither cross texts nor
@@ -39,6 +40,7 @@ SPAN = 200
 SHARED = LENGTH - SPAN
 PIECE_BYTES = 1 << 18
 BUCKET_ROWS = 20_000
+GROUP = 8
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,11 +179,11 @@ def _prefix_hashes(strings: list[bytes], size: int) -> np.ndarray:
 
 
 def compare(g: np.ndarray, f: np.ndarray, right: list[bytes], left: list[bytes], low: np.ndarray, high: np.ndarray):
-    """(f, h, low, high) of one bucket.
+    """What starts twice in one bucket, and what has to be compared with other buckets.
 
-    Where h is None: the strings at distances ``low`` to ``high`` before the anchor start twice, the ends do and what lies
-    between them is covered. Elsewhere: the fingerprint of a string of a run at the boundary, its distance, and 1 if the
-    bucket holds it twice.
+    Returns (f, low, high): the strings at distances ``low`` to ``high`` before the anchor, of which the ends start twice
+    and what lies between them is covered; and (f, core, base, strings) of the runs at the boundary: the fingerprint of
+    what ``GROUP`` strings from the distance ``base`` on have in common, and theirs, 0 for those not to be compared.
     """
     n = len(f)
     by_right, after = multikey_sort(_keys(right, LENGTH))
@@ -195,7 +197,8 @@ def compare(g: np.ndarray, f: np.ndarray, right: list[bytes], left: list[bytes],
     at_edge = np.flatnonzero(edge)
     rows = by_right[at_edge]
     tail, head = (_prefix_hashes([x[i] for i in rows], s) for x, s in ((right, LENGTH), (left, SPAN)))
-    crossing = []
+    groups = -(-(SPAN + 1) // GROUP)
+    strings = np.zeros((len(at_edge), groups * GROUP), dtype=np.int64)
     for distance in range(SPAN + 1):
         use = np.flatnonzero((low <= distance) & (distance <= high))
         if not len(use):
@@ -210,27 +213,38 @@ def compare(g: np.ndarray, f: np.ndarray, right: list[bytes], left: list[bytes],
         twice = some[often[which] > 1]
         least[twice] = np.minimum(least[twice], distance)
         most[twice] = np.maximum(most[twice], distance)
-        stands = first[edge[some[first]]]
-        if len(stands):
-            column = np.searchsorted(at_edge, some[stands])
-            h = mixed(tail[LENGTH - distance][column] * _FACTOR + mixed(head[distance][column] + np.uint64(distance)))
-            crossing.append((f[some[stands]], h.view(np.int64), np.full(len(stands), distance), (often[which[stands]] > 1).astype(np.int64)))
+        # Of equal strings one is compared with other buckets.
+        stands = np.searchsorted(at_edge, some[first[edge[some[first]]]])
+        h = mixed(tail[LENGTH - distance][stands] * _FACTOR + mixed(head[distance][stands] + np.uint64(distance)))
+        strings[stands, distance] = h.view(np.int64)
     hit = np.flatnonzero(most >= 0)
-    yield f[hit], None, least[hit], most[hit]
-    yield from crossing
+    cores = []
+    for base in range(0, groups * GROUP, GROUP):
+        own = strings[:, base:base + GROUP]
+        some = np.flatnonzero(own.any(axis=1))
+        if len(some):
+            core = mixed(tail[max(0, LENGTH - base - GROUP + 1)][some] * _FACTOR + mixed(head[min(base, SPAN)][some] + np.uint64(base)))
+            cores.append((f[at_edge[some]], core.view(np.int64), np.full(len(some), base), own[some]))
+    return (f[hit], least[hit], most[hit]), cores
+
+
+FOUND = "f long, low int, high int, core long, strings array<long>"
 
 
 def _compared(batches):
-    kind = pa.schema([("f", pa.int64()), ("h", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+    kind = pa.schema([("f", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("core", pa.int64()), ("strings", pa.list_(pa.int64()))])
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     rows = pa.Table.from_batches(held).combine_chunks()
     numbers = {c: rows[c].to_numpy() for c in ("g", "f", "low", "high")}
-    for f, h, low, high in compare(numbers["g"], numbers["f"], rows["right"].to_pylist(), rows["left"].to_pylist(), numbers["low"], numbers["high"]):
-        if len(f):
-            own = pa.nulls(len(f), pa.int64()) if h is None else pa.array(h)
-            yield pa.RecordBatch.from_arrays([pa.array(f), own, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], schema=kind)
+    (f, low, high), cores = compare(numbers["g"], numbers["f"], rows["right"].to_pylist(), rows["left"].to_pylist(), numbers["low"], numbers["high"])
+    ints = lambda x: pa.array(x.astype(np.int32))
+    if len(f):
+        yield pa.RecordBatch.from_arrays([pa.array(f), ints(low), ints(high), pa.nulls(len(f), pa.int64()), pa.nulls(len(f), pa.list_(pa.int64()))], schema=kind)
+    for f, core, base, strings in cores:
+        lists = pa.ListArray.from_arrays(np.arange(0, strings.size + 1, GROUP, dtype=np.int32), strings.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(f), ints(base), pa.nulls(len(f), pa.int32()), pa.array(core), lists], schema=kind)
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -245,13 +259,15 @@ def spans(docs: DataFrame) -> DataFrame:
     asked = sought.groupBy("row").agg(F.collect_list(F.struct("at", "g", "f")).alias("asked"))
     fetched = docs.join(asked, "row").select("text", "asked").mapInArrow(_fetched, "g long, f long, right binary, left binary, low int, high int")
     ranged = fetched.repartitionByRange(buckets, F.substring("right", 1, 16), "g", F.substring("right", SHARED + 1, 8), "f")
-    found = stored(ranged.mapInArrow(_compared, "f long, h long, low int, high int"))
-    strings = found.filter("h is not null")
+    found = stored(ranged.mapInArrow(_compared, FOUND))
+    cores = found.filter("core is not null")
+    met_cores = cores.join(cores.groupBy("core").count().filter("count > 1").select("core"), "core")
+    strings = met_cores.select("f", "low", F.posexplode("strings").alias("k", "h")).filter("h <> 0").select("f", "h", (F.col("low") + F.col("k")).alias("low"))
     crossed = strings.join(strings.groupBy("h").count().filter("count > 1").select("h"), "h").select("f", "low", F.col("low").alias("high"))
     # Copies through and through start twice at all their distances.
     before, more = F.shiftright("at", 8).bitwiseAND(255).cast("int"), F.col("at").bitwiseAND(255).cast("int")
     copies = kinds.filter("copies > 1").select("f", (before - more).alias("low"), before.alias("high"))
-    twice = found.filter("h is null").select("f", "low", "high").unionByName(crossed).unionByName(copies).groupBy("f").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    twice = found.filter("core is null").select("f", "low", "high").unionByName(crossed).unionByName(copies).groupBy("f").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     anchor = F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255)
     covered = met.join(twice, "f").select("row", F.struct((anchor - F.col("high")).alias("start"), (anchor - F.col("low") + LENGTH).alias("end")).alias("span"))
     return covered.groupBy("row").agg(F.collect_set("span").alias("spans"))
