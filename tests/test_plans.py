@@ -13,7 +13,7 @@ def plan(spark, name):
     return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["e1_search_products", "f4_source_price_comparison", "f19_run_summary", "g1_source_registry", "g12_url_prefix", "h2_newest_per_domain", "k3_drift_warnings", "c7_extracted_products", "j2_work_list", "l1_retention"])
+@pytest.mark.parametrize("name", ["e1_search_products", "f4_source_price_comparison", "f19_run_summary", "g1_source_registry", "g11_keyword_rules", "a12_category_rules", "g12_url_prefix", "h2_newest_per_domain", "k3_drift_warnings", "c7_extracted_products", "j2_work_list", "l1_retention"])
 def test_no_product_joins(spark, name):
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan(spark, name))
 
