@@ -250,10 +250,11 @@ def _compared(batches):
 def spans(docs: DataFrame) -> DataFrame:
     """(row, spans) of the texts of ``docs`` (row, text) that lose bytes; spans (start, end) may overlap."""
     anchors = docs.mapInArrow(_found_anchors, "row long, at long, g long, f long")
-    shared = anchors.groupBy("g").count().filter("count > 1").select("g")
+    # Written first: only a join of two plain shuffles can be split where one fingerprint is hot.
+    shared = stored(anchors.groupBy("g").count().filter("count > 1").select("g"))
     met = stored(anchors.join(shared, "g"))
     kinds = stored(met.groupBy("g", "f").agg(F.min(F.struct("row", "at")).alias("one"), F.count("*").alias("copies")).select("g", "f", "one.row", "one.at", "copies"))
-    several = kinds.groupBy("g").count().filter("count > 1").select("g")
+    several = stored(kinds.groupBy("g").count().filter("count > 1").select("g"))
     sought = stored(kinds.join(several, "g").select("g", "f", "row", "at"))
     buckets = parts(sought.count(), BUCKET_ROWS)
     asked = sought.groupBy("row").agg(F.collect_list(F.struct("at", "g", "f")).alias("asked"))
