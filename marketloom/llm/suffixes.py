@@ -268,7 +268,7 @@ def spans(docs: DataFrame) -> DataFrame:
     # Copies through and through start twice at all their distances.
     before, more = F.shiftright("at", 8).bitwiseAND(255).cast("int"), F.col("at").bitwiseAND(255).cast("int")
     copies = kinds.filter("copies > 1").select("f", (before - more).alias("low"), before.alias("high"))
-    twice = found.filter("core is null").select("f", "low", "high").unionByName(crossed).unionByName(copies).groupBy("f").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    twice = stored(found.filter("core is null").select("f", "low", "high").unionByName(crossed).unionByName(copies).groupBy("f").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     anchor = F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255)
     covered = met.join(twice, "f").select("row", F.struct((anchor - F.col("high")).alias("start"), (anchor - F.col("low") + LENGTH).alias("end")).alias("span"))
     return covered.groupBy("row").agg(F.collect_set("span").alias("spans"))
