@@ -1,14 +1,21 @@
 """Quality rules whose cutoffs come with a bound on good documents lost.
 
 Fixed rules fail a document with too few words or too many repeated ones. Beyond them, each of
-``RULES`` is a share of a text; a cutoff for it is chosen per stratum (by default the language) from a
-fixed grid. All labelled documents that pass the fixed rules are the holdout: the cutoffs come from no
-data, so none of it is used up. For every cutoff the labelled good documents above it are counted, and
-an exact (Clopper-Pearson) upper bound on the chance to lose a good document is drawn from the count.
-The strictest cutoff whose bound is within the rule's part of ``loss`` is taken. The error chance is
-divided by all strata, rules and grid points (Bonferroni), so with probability 1 - ``delta`` no
-stratum loses more than ``loss`` of its good documents. Where the labels are too few to prove it, no
-cutoff is set and the rule rejects nothing.
+``RULES`` is a share of a text; cutoffs for them are chosen per stratum (by default the language) from a
+fixed grid. All labelled documents that pass the fixed rules are the holdout: what is tested comes from no
+data, so none of it is used up. A setting is a cutoff, or none, for every rule; the labelled good documents
+that it rejects by any rule are counted, and an exact (Clopper-Pearson) upper bound on the chance to lose a
+good document is drawn from the count.
+
+Settings are tested in chains fixed beforehand: each tightens one rule step by step through the grid, then the
+next rule, starting with another rule in each chain, and a chain ends at the first setting whose bound is above
+``loss``. In such a fixed order a chain needs no correction for its length, only for the number of chains and
+strata. ``ALONE`` of the error goes to a second proof, for strata with many labels: each rule is tightened by
+itself while its own bound is within its part of ``loss``, and what the rules reach is one more setting. So with
+probability 1 - ``delta`` no tested setting of any stratum that passed loses more than ``loss`` of its good
+documents, and any of them may be taken: the one that rejects most labelled bad documents, of those the one that
+loses fewest good ones, then the strictest. Where the labels are too few to prove any (with four strata about 300
+good ones are needed), no cutoff is set; ``cutoffs`` says so with a row of its own.
 
 Defined results: a null text counts as empty and fails the fixed rules; a null stratum is a stratum of
 its own; unlabelled strata have no cutoffs; labels with a null id or a null or unknown value are not
@@ -35,6 +42,8 @@ REPEAT_WINDOW = 5
 #: Share of good documents that may be lost per stratum, and the chance that any bound fails.
 LOSS = 0.02
 DELTA = 0.05
+#: Of the error chance, the part for rules proven one by one.
+ALONE = 0.25
 RULES = ("symbols", "lines", "repeats", "capitals")
 GRID = tuple(round(0.01 * 1.25 ** i, 6) for i in range(21))
 
@@ -124,30 +133,83 @@ def loss_bound(lost: int, good: int, error: float) -> float:
     return high
 
 
+def _chains() -> list[list[tuple[int, ...]]]:
+    """The settings of every chain in order, loosest first: for each rule the grid point, or len(GRID) for no cutoff."""
+    out = []
+    for first in range(len(RULES)):
+        setting, chain = [len(GRID)] * len(RULES), []
+        for k in range(len(RULES)):
+            for point in reversed(range(len(GRID))):
+                setting[(first + k) % len(RULES)] = point
+                chain.append(tuple(setting))
+        out.append(chain)
+    return out
+
+
 def _chosen(rows: pd.DataFrame, error: float, loss: float) -> pd.DataFrame:
-    """The strictest proven cutoff of every rule of one stratum; rows are (rule, step, good), step the number of grid points below the score."""
-    out, good = [], int(rows.loc[rows["rule"] == RULES[0], "good"].sum())
-    for rule in RULES:
-        per_step = rows[rows["rule"] == rule].groupby("step")["good"].sum()
-        for i, cutoff in enumerate(GRID):
-            lost = int(per_step[per_step.index > i].sum())
-            if good and loss_bound(lost, good, error) <= loss / len(RULES):
-                out.append((rows["stratum"].iloc[0], rule, cutoff, good, lost))
+    """The proven setting of one stratum, a row for every rule; rows are (a step for every rule, good, bad), step the number of grid points below the score."""
+    steps, good, bad = rows[list(RULES)].to_numpy(), rows["good"].to_numpy(), rows["bad"].to_numpy()
+    labelled = int(good.sum())
+    known: dict[tuple[int, float], float] = {}
+
+    def counted(setting: tuple[int, ...]) -> tuple[int, int]:
+        above = (steps > np.array(setting)).any(axis=1)
+        return int(good[above].sum()), int(bad[above].sum())
+
+    def bound(lost: int, chance: float) -> float:
+        if (lost, chance) not in known:
+            known[lost, chance] = loss_bound(lost, labelled, chance)
+        return known[lost, chance]
+
+    off = len(GRID)
+    proven = []  # (setting, bound)
+    chance = (1 - ALONE) * error / len(RULES)
+    for chain in _chains():
+        for setting in chain:
+            if (least := bound(counted(setting)[0], chance)) > loss:
+                break
+            proven.append((setting, least))
+    alone, chance, total = [off] * len(RULES), ALONE * error / len(RULES), 0.0
+    for k in range(len(RULES)):
+        reached = 0.0
+        for point in reversed(range(off)):
+            own = tuple(point if j == k else off for j in range(len(RULES)))
+            if (least := bound(counted(own)[0], chance)) > loss / len(RULES):
                 break
-    return pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "good", "lost"])
+            alone[k], reached = point, least
+        total += reached
+    if min(alone) < off:
+        proven.append((tuple(alone), total))
+
+    def worth(one):
+        lost, caught = counted(one[0])
+        return caught, -lost, -sum(one[0])
+
+    setting, least = max(proven, key=worth, default=((off,) * len(RULES), None))
+    lost, caught = counted(setting)
+    out = []
+    for k, (rule, point) in enumerate(zip(RULES, setting, strict=True)):
+        own = int(good[steps[:, k] > point].sum())
+        out.append((rows["stratum"].iloc[0], rule, GRID[point] if point < off else None, labelled, own, lost, caught, least))
+    return pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "good", "lost", "all_lost", "all_caught", "bound"]).astype({"cutoff": float, "bound": float})
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, key: str = "doc_id", label: str = "quality", loss: float = LOSS, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff, good, lost) from ``measured`` (key, stratum, m) and ``labels`` (key, label)."""
-    marked = labels.filter(F.col(key).isNotNull() & (F.col(label) == 1)).select(key)
-    good = measured.filter(~base_failed(F.col("m"))).join(marked, key)
-    steps = {rule: sum(((score > c).cast("int") for c in GRID), F.lit(0)) for rule, score in scores(F.col("m")).items()}
-    placed = good.select(F.col(stratum).alias("stratum"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), s.alias("step")) for r, s in steps.items()))).alias("x"))
-    counted = stored(placed.groupBy("stratum", "x.rule", "x.step").agg(F.count("*").alias("good")))
-    strata = max(1, counted.select("stratum").distinct().count())
-    error = delta / (strata * len(RULES) * len(GRID))
+    """(stratum, rule, cutoff, good, lost, all_lost, all_caught, bound) from ``measured`` (key, stratum, m) and ``labels`` (key, label).
+
+    A row for every rule and stratum with labels; ``cutoff`` is null where none was proven. ``lost`` are the good rows the rule
+    itself rejects; ``all_lost`` and ``all_caught`` the good and bad ones that all rules of the stratum do, ``bound`` what was proven of the former.
+    """
+    marked = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(key, (F.col(label) == 1).alias("is_good"))
+    met = measured.filter(~base_failed(F.col("m"))).join(marked, key)
+    steps = [sum(((score > c).cast("int") for c in GRID), F.lit(0)).alias(rule) for rule, score in scores(F.col("m")).items()]
+    placed = met.select(F.col(stratum).alias("stratum"), "is_good", *steps)
+    counted = stored(placed.groupBy("stratum", *RULES).agg(F.sum(F.col("is_good").cast("long")).alias("good"), F.sum((~F.col("is_good")).cast("long")).alias("bad")))
+    strata = max(1, counted.filter("good > 0").select("stratum").distinct().count())
+    error = delta / strata
     kind = measured.schema[stratum].dataType
-    schema = T.StructType([T.StructField("stratum", kind), T.StructField("rule", T.StringType()), T.StructField("cutoff", T.DoubleType()), T.StructField("good", T.LongType()), T.StructField("lost", T.LongType())])
+    longs = [T.StructField(c, T.LongType()) for c in ("good", "lost", "all_lost", "all_caught")]
+    schema = T.StructType([T.StructField("stratum", kind), T.StructField("rule", T.StringType()), T.StructField("cutoff", T.DoubleType()), *longs, T.StructField("bound", T.DoubleType())])
     return counted.groupBy("stratum").applyInPandas(lambda rows: _chosen(rows, error, loss), schema)
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import odd
+import pandas as pd
 from marketloom.llm import quality_rules as Q
 from pyspark.sql import functions as F
 
@@ -65,3 +66,34 @@ def test_odd_rows(spark):
     none = Q.rejected_removed(odd.empty(spark), labels)
     assert none.columns == docs.columns and none.count() == 0
     assert Q.rejected_removed(docs, labels.limit(0)).count() == left.count()
+
+
+def settings(good, bad, strata=4):
+    """The cutoffs of one stratum of labelled rows, each a step for every rule."""
+    rows = pd.DataFrame([("x", *steps, n, 0) for steps, n in good] + [("x", *steps, 0, n) for steps, n in bad], columns=["stratum", *Q.RULES, "good", "bad"])
+    return Q._chosen(rows, Q.DELTA / strata, Q.LOSS)
+
+
+def test_a_small_stratum_gets_what_its_labels_prove():
+    clean, junk = (0, 0, 0, 0), (9, 0, 0, 0)
+    out = settings([(clean, 312)], [(junk, 50)])
+    assert out["all_caught"].unique() == [50] and out["bound"].max() <= Q.LOSS and set(out["rule"]) == set(Q.RULES)
+    none = settings([(clean, 218)], [(junk, 50)])
+    assert none["cutoff"].isna().all() and none["bound"].isna().all() and none["good"].unique() == [218]
+
+
+def test_rules_that_stop_midway_are_joined_where_each_is_proven():
+    """Every rule must stop before its strictest cutoff; with many labels all four still get one."""
+    point = lambda k, step: tuple(step if j == k else 0 for j in range(4))
+    out = settings([((0, 0, 0, 0), 20_000)] + [(point(k, 9), 600) for k in range(4)], [(point(k, 20), 10) for k in range(4)])
+    assert out["cutoff"].notna().all() and out["all_caught"].unique() == [40] and out["all_lost"].unique() == [0]
+
+
+def test_settings_rarely_lose_more_than_they_may():
+    """Good rows drawn so that the strictest settings lose 3 %: a setting that loses more than 2 % is taken with a chance below delta."""
+    draw, wrong = random.Random(8), 0
+    for _ in range(200):
+        n = sum(draw.random() < 0.03 for _ in range(400))
+        out = settings([((0, 0, 0, 0), 400 - n), ((1, 1, 1, 1), n)], [((21, 1, 1, 1), 30)], 1)
+        wrong += bool((out["cutoff"] == Q.GRID[0]).any())
+    assert wrong <= 0.05 * 200 * 1.5
