@@ -135,3 +135,9 @@ def test_licences_of_odd_rows(spark, licence_model):
     found = C.scan(docs, model=licence_model).collect()
     assert [(r.doc_id, r.family) for r in found] == [(None, "mit")] * 2 and {r.paragraph for r in found} == {1, 2}
     assert C.scan(odd.empty(spark), model=licence_model).count() == 0
+
+
+def test_reserved_rights_and_other_licences_give_rows(spark, licence_model):
+    lines = ["All rights reserved.", "Copyright 2020 A. Nyone", "Alle Rechte vorbehalten.", "Lizenz: Hausordnung", "Released under the ISC License.", "Licensed under the Eclipse Public License 2.0.", "nothing of the kind"]
+    found = {r.paragraph: r.family for r in C.scan(spark.createDataFrame([(1, "\n\n".join(lines))], "doc_id long, text string"), model=licence_model).collect()}
+    assert found == {0: "unknown", 2: "unknown", 4: "unknown", 6: "unknown", 8: "isc", 10: "epl"}
