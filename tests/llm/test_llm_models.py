@@ -137,6 +137,25 @@ def test_licences_of_odd_rows(spark, licence_model):
     assert C.scan(odd.empty(spark), model=licence_model).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "apache": "Licensed under the Apache\nLicense, Version 2.0.",
+    "gpl": "You may use this file under the GNU\nGeneral Public License, version 3.",
+    "cc-by": "This work is licensed under Creative\nCommons Attribution 4.0 International License.",
+}
+
+
+def test_wrapped_notices_are_compared_whole(spark, licence_model):
+    rows = [(name, f"one two three\n\n{text}\n\nfour five") for name, text in WRAPPED.items()]
+    found = {(r.doc_id, r.paragraph): r.family for r in C.scan(spark.createDataFrame(rows, "doc_id string, text string"), model=licence_model).collect()}
+    assert {name: found.get((name, 2)) for name in WRAPPED} == {name: name for name in WRAPPED}
+    # A blank line ends a notice, and a line takes no part in what the next lines say by themselves.
+    apart = [("a", WRAPPED["bsd"].replace("\n", "\n\n")), ("b", "Licensed under the Rules of our House.\nReleased under the MIT License.")]
+    found = {(r.doc_id, r.paragraph): r.family for r in C.scan(spark.createDataFrame(apart, "doc_id string, text string"), model=licence_model).collect()}
+    assert found == {("a", 0): "unknown", ("b", 0): "unknown", ("b", 1): "mit"}
+
+
 def test_reserved_rights_and_other_licences_give_rows(spark, licence_model):
     lines = ["All rights reserved.", "Copyright 2020 A. Nyone", "Alle Rechte vorbehalten.", "Lizenz: Hausordnung", "Released under the ISC License.", "Licensed under the Eclipse Public License 2.0.", "nothing of the kind"]
     found = {r.paragraph: r.family for r in C.scan(spark.createDataFrame([(1, "\n\n".join(lines))], "doc_id long, text string"), model=licence_model).collect()}
