@@ -186,13 +186,16 @@ def compare(g: np.ndarray, f: np.ndarray, right: list[bytes], left: list[bytes],
     what ``GROUP`` strings from the distance ``base`` on have in common, and theirs, 0 for those not to be compared.
     """
     n = len(f)
-    by_right, after = multikey_sort(_keys(right, LENGTH))
+    keys = _keys(right, LENGTH)
+    by_right, after = multikey_sort(keys)
     by_left, before = multikey_sort(_keys(left, SPAN))
     # All in the order of the suffixes; ``turn`` is the place of each in the order of what stands before.
     place = np.empty(n, dtype=np.int64)
     place[by_left] = np.arange(n)
     turn, f, g, low, high = place[by_right], f[by_right], g[by_right], low[by_right], high[by_right]
-    edge = (g == g[0]) | (g == g[-1])
+    # Buckets are ranged by 16 leading bytes first, so a boundary may cut any run that has the least or greatest of these.
+    lead = keys[by_right, :2]
+    edge = (lead == lead[0]).all(axis=1) | (lead == lead[-1]).all(axis=1)
     least, most = np.full(n, LENGTH, dtype=np.int64), np.full(n, -1, dtype=np.int64)
     at_edge = np.flatnonzero(edge)
     rows = by_right[at_edge]

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import odd
 import pytest
 from marketloom.llm import minhash as M
@@ -152,3 +153,11 @@ def test_multikey_sort():
     for k in range(1, len(got)):
         shared = next((i for i in range(24) if got[k][i] != got[k - 1][i]), 24)
         assert common[k] == shared
+
+
+def test_every_run_with_the_leading_bytes_of_a_boundary_is_compared_with_other_buckets():
+    """Runs that share 16 bytes are dealt by g, not by bytes: any of them may go on in the next bucket."""
+    right = [(b"x" * 16 + bytes([65 + i]) * 400)[:400] for i in range(5)]
+    five, zero = np.arange(5, dtype=np.int64), np.zeros(5, dtype=np.int64)
+    _, cores = S.compare(five + 10, five + 100, right, [b""] * 5, zero, zero)
+    assert {f for own, *_ in cores for f in own.tolist()} == {100, 101, 102, 103, 104}
