@@ -160,3 +160,44 @@ def test_reserved_rights_and_other_licences_give_rows(spark, licence_model):
     lines = ["All rights reserved.", "Copyright 2020 A. Nyone", "Alle Rechte vorbehalten.", "Lizenz: Hausordnung", "Released under the ISC License.", "Licensed under the Eclipse Public License 2.0.", "nothing of the kind"]
     found = {r.paragraph: r.family for r in C.scan(spark.createDataFrame([(1, "\n\n".join(lines))], "doc_id long, text string"), model=licence_model).collect()}
     assert found == {0: "unknown", 2: "unknown", 4: "unknown", 6: "unknown", 8: "isc", 10: "epl"}
+
+
+def plain_grams(tokens, least, most):
+    return {" ".join(tokens[i:i + n]) for n in range(least, most + 1) for i in range(len(tokens) - n + 1)}
+
+
+@pytest.mark.parametrize("least, most", [(1, 3), (2, 2), (1, 2)])
+def test_grams_are_those_of_plain_python(spark, least, most):
+    texts = ["", "one", "one two", "Licensed under the MIT License now", "a a a a b a a a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", C.grams(C.words(F.col("text")), least, most).alias("g")).collect()
+    for r in rows:
+        assert len(r.g) == len(set(r.g)) and set(r.g) == plain_grams(r.text.lower().split(), least, most)
+
+
+def test_similarity_is_a_plain_share(spark):
+    templates = [["a b", "b c", "c d"], ["x y"], ["b c", "c q"]]
+    for own, others in [(["a b", "b c", "z"], []), (["x y", "b c"], ["x y"]), (["q"], []), (["a b", "b c"], ["a b", "b c"])]:
+        shares = [len(set(t) & set(own)) / len(t) for t in templates if len(set(t) & set(own)) > len(set(t) & set(others))]
+        row = spark.createDataFrame([(templates, own, others)], "t array<array<string>>, a array<string>, b array<string>").select(C.similarity(F.col("t"), F.col("a"), F.col("b")).alias("s")).first()
+        assert row.s == pytest.approx(max(shares, default=0.0))
+
+
+FULL = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+}
+
+
+@pytest.mark.parametrize("width", [10**6, 72, 30])
+def test_full_notices_are_confirmed_on_one_line_and_wrapped(spark, licence_model, width):
+    import textwrap
+
+    rows = [(name, "\n".join(textwrap.wrap(text, width))) for name, text in FULL.items()]
+    found = {(r.doc_id, r.paragraph): r for r in C.scan(spark.createDataFrame(rows, "doc_id string, text string"), model=licence_model).collect()}
+    for name in FULL:
+        assert found[name, 0].family == name and found[name, 0].confirmed and found[name, 0].similarity >= 0.8
+
+
+def test_the_gate_loses_no_sampled_paragraph(licence_model):
+    assert licence_model.missed == 0.0 and {"licensed", "reserved", "lizenz", "permission", "redistribution"} <= set(licence_model.triggers)
