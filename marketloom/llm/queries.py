@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language, licenses, minhash, mixing, quality_model, quality_rules, sharding, suffixes, url_lists
+from . import decontaminate, language, licenses, minhash, mixing, quality_model, quality_rules, sharding, suffixes, url_lists, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """What every document keeps once its repeated strings are taken out."""
     return suffixes.digests(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op12_warc", sql="""
+    WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    sized AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM bodies),
+    tops AS (SELECT payload_digest, payload_bytes, max(page_id) AS top FROM sized WHERE payload_bytes >= 1000 GROUP BY payload_digest, payload_bytes)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+    FROM sized LEFT JOIN tops USING (payload_digest, payload_bytes)""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as the archives give it back."""
+    return warc.archived(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
