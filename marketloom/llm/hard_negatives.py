@@ -22,14 +22,12 @@ computed exactly, but the ends of a window are rounded to float64 and scores sto
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, stored
+from .common import batches_of, parts, stored
 
 BLOCK_ROWS = 512
 PART_ROWS = 4096
@@ -42,18 +40,6 @@ CURVE_DIMS, CURVE_BITS = 8, 4
 EXACT = float(1 << 53)
 
 
-@contextmanager
-def batches_of(spark, rows: int):
-    """Jobs started inside read Arrow batches of at most ``rows`` rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     """The place on the curve of every row of ``cells`` (whole numbers below ``2 ** bits``), by Skilling's transform."""
     x = [c.astype(np.uint64) for c in np.ascontiguousarray(cells.T)]

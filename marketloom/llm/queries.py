@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, hard_negatives, language, licenses, minhash, mixing, quality_model, quality_rules, sharding, suffixes, url_lists, warc
+from . import alignment, decontaminate, hard_negatives, language, licenses, minhash, mixing, quality_model, quality_rules, sharding, suffixes, url_lists, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,9 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     """The nearest rows of other labels, for every hundredth id and each of its positives."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), label=label, anchor=F.col("vec_id") % 100 == 0)
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens of two tokenizers, aligned by bytes, with corpus-wide counts of the id pairs."""
+    return alignment.aligned(table(spark, folder, "documents").select("doc_id", "text"))
