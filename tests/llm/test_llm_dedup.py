@@ -12,14 +12,14 @@ from marketloom.llm import suffixes as S
 from pyspark.sql import functions as F
 
 
-def set_of(text):
+def set_of(text, width=3):
     words = (text or "").encode().lower().split()
-    return {tuple(words[i:i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else {tuple(words)} if words else set()
+    return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set()
 
 
-def components(rows):
+def components(rows, width=3, percent=85):
     """rows (id, text) -> the smallest id reachable, by comparing all pairs."""
-    sets, up = [set_of(t) for _, t in rows], list(range(len(rows)))
+    sets, up = [set_of(t, width) for _, t in rows], list(range(len(rows)))
 
     def root(i):
         while up[i] != i:
@@ -29,7 +29,7 @@ def components(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 up[root(i)] = root(j)
     least = defaultdict(list)
     for i, (own, _) in enumerate(rows):
@@ -62,6 +62,16 @@ def test_groups_equal_all_pairs(spark):
     assert {r.component for r in found if r.id is None} == {4, None}  # the null id with the text of others joins them
 
 
+def test_words_and_similarity_are_parameters(spark, monkeypatch):
+    """The pipeline's rule, five words and 0.8, in one bucket; it differs from the other on these rows."""
+    monkeypatch.setattr(M, "_in_buckets", lambda classes: classes.select(F.lit(0).alias("bucket"), "sid", "n"))
+    rows = [(i, t) for i, t in chained(40)] + [(1, "a b c d"), (2, "a b c d"), (3, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.id: (r.component, r.n) for r in M.grouped(df, width=5, percent=80).collect()}
+    assert found == {i: (c, len(set_of(t, 5))) for (i, t), c in zip(rows, components(rows, 5, 80), strict=True)}
+    assert {i: c for i, (c, _) in found.items()} != dict(zip((i for i, _ in rows), components(rows), strict=True))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_links_inside_a_bucket_are_not_lost(spark, monkeypatch, seed):
     """All classes in one bucket: what the leads leave out must still be what brute force leaves out."""
