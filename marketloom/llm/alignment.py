@@ -22,11 +22,13 @@ range. The groups of one text must fit into a row of Spark (about 500 MB of text
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +43,14 @@ from .common import batches_of, free, parts, stored, texts
 FOLDER = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 LONG_BYTES = 1 << 16
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 TEXT_BATCH, UNIT_BATCH = 1000, 4
 FAN = 8
 _CUT = re.compile(r"(?<=\S) ")
+_BLANKS = re.compile(r"\s ")
 _SPACE = "▁"
+#: Fixed value: how byte-level vocabularies of this kind split texts before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @dataclass(frozen=True)
@@ -94,15 +99,20 @@ class Pair:
 
     def __init__(self, a: str, b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(a)
-        self.a.encode_special_tokens = True
+        with open(a, encoding="utf-8") as file:
+            read = json.load(file)
+        special = {t["content"] for t in read.get("added_tokens", ())}
+        own = {t: i for t, i in read["model"]["vocab"].items() if t not in special}
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         letter = _byte_letters()
-        own = {i: t for t, i in self.a.get_vocab().items()}
-        self.a_bytes = [bytes(letter[c] for c in own[i]) if i in own and all(c in letter for c in own[i]) else b"" for i in range(max(own) + 1)]
+        ranks = {bytes(letter[c] for c in t): i for t, i in own.items() if all(c in letter for c in t)}
+        # Ids follow the order of the merges, so the vocabulary is all that merging needs; special tokens are left out.
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            self.a_bytes[i] = t
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         if any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces):
@@ -111,9 +121,9 @@ class Pair:
         self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
 
     def encoded(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a, b = self.a.encode_batch([f" {s}" for s in segments], add_special_tokens=False), self.b.encode(segments, num_threads=1)
+        b = self.b.encode(segments, num_threads=1)
         # An empty segment is a text's last space, to which B adds none.
-        return [e.ids for e in a], [y if s else [self.blank] for s, y in zip(segments, b, strict=True)]
+        return [self.a.encode_ordinary(f" {s}") for s in segments], [y if s else [self.blank] for s, y in zip(segments, b, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -127,23 +137,29 @@ class Aligned:
     def __init__(self, pair: Pair, segments: list[str]):
         a, b = pair.encoded(segments)
         raw = [f" {s}".encode() for s in segments]
-        self.good = np.array([b"".join([pair.a_bytes[i] for i in x]) == r and b"".join([pair.b_bytes[i] for i in y]) == r for x, y, r in zip(a, b, raw, strict=True)], dtype=bool)
-        for k in np.flatnonzero(~self.good):
-            a[k], b[k], raw[k] = [], [], b""
+        size_a, size_b = np.array([len(x) for x in pair.a_bytes], dtype=np.int64), np.array([len(x) for x in pair.b_bytes], dtype=np.int64)
         count = lambda x: np.fromiter(map(len, x), dtype=np.int64, count=len(x))
-        self.n_a, self.n_b = count(a), count(b)
-        flat = lambda x, n: np.fromiter((i for y in x for i in y), dtype=np.int64, count=int(n.sum()))
-        ids_a, ids_b = flat(a, self.n_a), flat(b, self.n_b)
+        flat = lambda x: np.fromiter(chain.from_iterable(x), dtype=np.int64)
+        self.n_a, self.n_b, sizes = count(a), count(b), count(raw)
+        ids_a, ids_b, whole = flat(a), flat(b), b"".join(raw)
+        said = lambda ids, n, size, own: b"".join([own[i] for i in ids.tolist()]) == whole and (_sums(size[ids], np.concatenate(([0], np.cumsum(n)))) == sizes).all()
+        self.good = np.ones(len(segments), dtype=bool)
+        if not (said(ids_a, self.n_a, size_a, pair.a_bytes) and said(ids_b, self.n_b, size_b, pair.b_bytes)):
+            self.good = np.array([b"".join([pair.a_bytes[i] for i in x]) == r and b"".join([pair.b_bytes[i] for i in y]) == r for x, y, r in zip(a, b, raw, strict=True)], dtype=bool)
+            for k in np.flatnonzero(~self.good):
+                a[k], b[k] = [], []
+            self.n_a, self.n_b, sizes, ids_a, ids_b = count(a), count(b), np.where(self.good, sizes, 0), flat(a), flat(b)
+        del a, b, raw, whole
         # Both sides cover the same bytes, so ends count through from segment to segment.
-        size_a, size_b = np.array([len(x) for x in pair.a_bytes], dtype=np.int64), np.array([len(x) for x in pair.b_bytes], dtype=np.int64)
         end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
-        ends = np.union1d(end_a, end_b)
+        ends = np.sort(np.concatenate((end_a, end_b)), kind="stable")
+        twice = ends[1:] == ends[:-1]
+        common, ends = ends[1:][twice], ends[np.append(~twice, np.ones(min(1, len(ends)), dtype=bool))]
         pairs = ids_a[np.searchsorted(end_a, ends)] << 32 | ids_b[np.searchsorted(end_b, ends)]
-        last = np.cumsum(count(raw))
+        last = np.cumsum(sizes)
         self.starts = np.concatenate(([0], np.searchsorted(ends, last, side="right")))
         self.n_links = np.diff(self.starts)
         self.pairs, self.pair = np.unique(pairs, return_inverse=True)
-        common = np.intersect1d(end_a, end_b)
         self.n_groups = np.diff(np.concatenate(([0], np.searchsorted(common, last, side="right"))))
         # The ids of the group that ends at each common end, as text.
         cut_a, cut_b = (np.searchsorted(e, common, side="right").tolist() for e in (end_a, end_b))
@@ -158,6 +174,11 @@ class Aligned:
             at += n
 
 
+def segments(text: str) -> list[str]:
+    """The text cut at every space that follows no white space."""
+    return _CUT.split(text) if text[:1] == " " or _BLANKS.search(text) else text.split(" ")
+
+
 def _ints(x) -> bytes:
     return np.ascontiguousarray(x, dtype=np.int64).tobytes()
 
@@ -172,7 +193,7 @@ def _units(key: T.DataType, a: str, b: str):
     def unit(pair, number, rows):
         place, runs = {}, []
         for _, row, _, text in rows:
-            runs.append([place.setdefault(s, len(place)) for s in _CUT.split(text)] if text or text is not None and row is not None else [])
+            runs.append([place.setdefault(s, len(place)) for s in segments(text)] if text or text is not None and row is not None else [])
         aligned = Aligned(pair, list(place))
         long = [r[1] is not None for r in rows]
         good = [bool(run) and bool(aligned.good[run].all()) for run in runs]
