@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ids import part_id
 from ..operators.common import latest_by
-from ..sources.upsert import replace_table
+from ..sources.keyed import KeyedTable
 from ..streaming import jobs as S
-from ..streaming.run import drain, drain_batches, stream_table, work_folder
+from ..streaming.run import drain, drain_batches, in_batches, stream_table, work_folder
+from ..streaming.writer import WriterJob
 from .registry import query
 
 
@@ -78,20 +80,91 @@ def _(t):
     return both.groupBy("product_id").agg(F.sum("w").alias("written"), F.sum(1 - F.col("w")).alias("held"))
 
 
-@query("m7_newest_offers", "SELECT offer_id, max(struct_pack(updated_at := updated_at, price_numeric := price_numeric)).price_numeric AS price_numeric FROM offers GROUP BY offer_id")
+# Three batches of product rows. In the second, sources with even numbers lose most rows; in the third, some ask ten times the price.
+_GROUP, _SHOP = "CAST(floor(pk / 100) AS BIGINT) % 8", "pk % 100"
+_RUNS = f"""SELECT product_id, product_name, brand, product_url, currency, store_name, store_url, store_address, store_phone, domain, source_id, raw_page_id || '-' || CAST(k AS STRING) AS raw_page_id,
+    CASE WHEN k = 2 AND {_SHOP} % 10 = 3 THEN price_numeric * 10 ELSE price_numeric + 1000 * k END AS price_numeric, k FROM products CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS ks
+    WHERE (k = 0 AND {_GROUP} < 6) OR (k = 1 AND {_GROUP} < CASE WHEN pk % 2 = 0 THEN 1 ELSE 7 END) OR k = 2"""
+
+
+def _verdict(now, before):
+    return f"""CASE WHEN {now}.r < 0.65 THEN 'required coverage below 65%' WHEN {before}.n >= 5 AND {now}.n < {before}.n * 0.3 THEN 'product count dropped more than 70% (' || CAST({before}.n AS VARCHAR) || ' -> ' || CAST({now}.n AS VARCHAR) || ')'
+        WHEN {now}.m <> 0 AND abs({now}.m - {before}.m) / nullif({before}.m, 0) > 0.8 THEN 'median price changed more than 80%' END"""
+
+
+_ACCEPTED = f"""WITH arrivals AS ({_RUNS}),
+    m AS (SELECT source_id, k, count(*) AS n, round(avg(CASE WHEN product_name <> '' AND product_url <> '' AND coalesce(price_numeric, 0) > 0 THEN 1 ELSE 0 END), 3) AS r,
+        list_sort(list(price_numeric) FILTER (price_numeric > 0))[CAST(floor(count(*) FILTER (price_numeric > 0) / 2) AS BIGINT) + 1] AS m FROM arrivals GROUP BY source_id, k),
+    v0 AS (SELECT a.*, CASE WHEN a.r < 0.65 THEN 'required coverage below 65%' END AS reason FROM m a WHERE k = 0),
+    p1 AS (SELECT * FROM v0 WHERE reason IS NULL),
+    v1 AS (SELECT a.*, {_verdict('a', 'p')} AS reason FROM m a LEFT JOIN p1 p ON a.source_id = p.source_id WHERE a.k = 1),
+    p2 AS (SELECT source_id, arg_max(n, k) AS n, arg_max(m, k) AS m FROM (SELECT * FROM v0 UNION ALL SELECT * FROM v1) WHERE reason IS NULL GROUP BY source_id),
+    v2 AS (SELECT a.*, {_verdict('a', 'p')} AS reason FROM m a LEFT JOIN p2 p ON a.source_id = p.source_id WHERE a.k = 2),
+    judged AS (SELECT arrivals.*, v.reason FROM arrivals JOIN (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2) v USING (source_id, k)),
+    kept AS (SELECT * FROM judged WHERE reason IS NULL)
+    """
+
+
+def _stores_of(rows):
+    own = [F.col(c) for c in ("source_id", "domain", "store_name", "store_address", "store_url")]
+    return rows.filter(F.coalesce("store_address", F.lit("")) != "").select(part_id(*own).alias("store_location_id"), "store_name", "store_address", "store_phone", "store_url", "domain", "source_id", "raw_page_id", "updated_at")
+
+
+_WRITTEN: dict[tuple[str, str], WriterJob] = {}
+
+
+def _writer(t):
+    """The writer job after three micro-batches, run once a session and folder. ``updated_at`` is the hour of the batch."""
+    run = (t.spark.sparkContext.applicationId, t.folder)
+    if run not in _WRITTEN:
+        _WRITTEN[run] = _run_writer(t)
+    return _WRITTEN[run]
+
+
+def _run_writer(t):
+    rows = t.spark.sql(_RUNS.replace("FROM products", "FROM {products}"), products=t.products)
+    rows = rows.withColumns({"rule_version": F.lit("v1"), "data_origin": F.lit("crawled"), "updated_at": F.timestamp_seconds(F.lit(1704067200) + 3600 * F.col("k"))})
+    stream = in_batches(rows, "k", 3, "runs")
+    job = WriterJob(t.spark, work_folder(t.spark, "writer"), rows.drop("k").limit(0), _stores_of, buckets=4)
+    drain_batches(stream, "writer", job.sink)
+    return job
+
+
+@query("m6_written_products", _ACCEPTED + "SELECT product_id, arg_max(price_numeric, k) FILTER (price_numeric IS NOT NULL) AS price_numeric, max(raw_page_id) AS raw_page_id, CAST(min(k) AS BIGINT) AS first_batch FROM kept GROUP BY product_id")
 def _(t):
-    lines = stream_table(t.spark, t.folder, "lineitem")
-    price = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("double"))
-    arrived = lines.select(F.concat(F.lit("o"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("offer_id"), price.alias("price_numeric"), F.col("l_shipdate").alias("updated_at"))
-    table = f"{work_folder(t.spark, 'offers')}/table"
-    schema = arrived.schema
+    hour = ((F.unix_timestamp("created_at") - 1704067200) / 3600).cast("long")
+    return _writer(t).products.read().select("product_id", "price_numeric", "raw_page_id", hour.alias("first_batch"))
+
+
+@query("m6_written_offers", _ACCEPTED + "SELECT product_id, domain, arg_max(price_numeric, k) AS price_numeric, max(raw_page_id) AS raw_page_id FROM kept WHERE price_numeric > 0 GROUP BY product_id, domain")
+def _(t):
+    return _writer(t).offers.read().select("product_id", "domain", "price_numeric", "raw_page_id")
+
+
+@query("m6_written_observations", _ACCEPTED + "SELECT product_id, raw_page_id, price_numeric FROM kept WHERE price_numeric > 0")
+def _(t):
+    return _writer(t).observations.read().select("product_id", "raw_page_id", "price_numeric")
+
 
-    def sink(batch, batch_id):
-        current = t.spark.read.schema(schema).parquet(table) if batch_id else batch.limit(0)
-        replace_table(S.newest_offers(current, batch), table)
+@query("m6_written_stores", _ACCEPTED + "SELECT source_id, domain, store_name, store_address, max(k) AS last_batch FROM judged WHERE coalesce(store_address, '') <> '' GROUP BY ALL")
+def _(t):
+    hour = ((F.unix_timestamp("updated_at") - 1704067200) / 3600).cast("int")
+    return _writer(t).stores.read().select("source_id", "domain", "store_name", "store_address", hour.alias("last_batch"))
+
+
+@query("m6_quarantine", _ACCEPTED + "SELECT CAST(k AS BIGINT) AS batch, source_id, product_id, reason FROM judged WHERE reason IS NOT NULL")
+def _(t):
+    return _writer(t).quarantine.read().select("batch", "source_id", F.col("payload")["product_id"].alias("product_id"), "reason")
 
-    drain_batches(arrived, "offers", sink)
-    return t.spark.read.schema(schema).parquet(table).select("offer_id", "price_numeric")
+
+@query("m7_newest_offers", "SELECT offer_id, max(struct_pack(updated_at := updated_at, price_numeric := price_numeric)).price_numeric AS price_numeric FROM offers GROUP BY offer_id")
+def _(t):
+    """Order lines in four micro-batches, in no order of time; each rewrites the buckets it touches."""
+    price = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("double"))
+    arrived = t.lineitem.select(F.concat(F.lit("o"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("offer_id"), price.alias("price_numeric"), F.col("l_shipdate").alias("updated_at"), F.pmod(F.xxhash64("l_orderkey"), F.lit(4)).cast("int").alias("k"))
+    table = KeyedTable(t.spark, work_folder(t.spark, "offers"), arrived.drop("k").schema, ["offer_id"], 16)
+    drain_batches(in_batches(arrived, "k", 4, "arrivals"), "offers", lambda batch, n: table.merge(batch, "offers", n, S.newest_offers))
+    return table.read().select("offer_id", "price_numeric")
 
 
 @query("m7_newest_offers_batch", "SELECT offer_id, max(struct_pack(updated_at := updated_at, price_numeric := price_numeric)).price_numeric AS price_numeric FROM offers GROUP BY offer_id")

@@ -112,8 +112,9 @@ def write_gated(written: Callable[[DataFrame, int], None], held: Callable[[DataF
 
 
 def newest_offers(current: DataFrame, arrived: DataFrame) -> DataFrame:
-    """Current offers after a batch: the latest event time per offer wins, however rows arrive."""
+    """Current offers after a batch: the latest event time per offer wins, and the higher price at one time, however rows arrive."""
     latest = latest_by_map_safe(arrived, ["offer_id"], ["updated_at", "price_numeric"])
-    held = current.select("offer_id", F.col("updated_at").alias("_held"))
-    fresh = latest.join(held, "offer_id", "left").filter(F.col("_held").isNull() | (F.col("updated_at") >= F.col("_held"))).drop("_held")
+    place = F.struct("updated_at", "price_numeric")
+    held = current.select("offer_id", place.alias("_held"))
+    fresh = latest.join(held, "offer_id", "left").filter(F.col("_held").isNull() | (place >= F.col("_held"))).drop("_held")
     return upsert(current, fresh, ["offer_id"])

@@ -45,3 +45,18 @@ def drain_batches(stream: DataFrame, name: str, sink: Callable[[DataFrame, int],
     """Process everything available through a per-batch function."""
     place = work_folder(stream.sparkSession, name)
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start().awaitTermination()
+
+
+def in_batches(rows: DataFrame, part: str, count: int, name: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """``rows`` as a stream of ``count`` micro-batches: those with ``part`` = 0 first, then 1, and so on.
+
+    Every part is written as the same number of files, which is what a micro-batch takes.
+    """
+    spark = rows.sparkSession
+    place = f"{work_folder(spark, name)}/input"
+    held = {r[0]: r[1] for r in rows.groupBy(part).count().collect() if r[0] is not None}
+    files = max(1, min((held.get(k, 0) for k in range(count)), default=0) // rows_per_file)
+    for k in range(count):
+        rows.filter(rows[part] == k).drop(part).repartition(files).write.mode("append").parquet(place)
+    schema = rows.drop(part).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(place)
