@@ -124,12 +124,14 @@ def key_edges(table: DataFrame) -> DataFrame:
     return table.join(lowest, "canonical_key").select("left_profile", F.col("profile").alias("right_profile"))
 
 
-def canonicalize(products: DataFrame, min_score: float = 0.88, decimal_comma: bool = False) -> DataFrame:
-    """(product_id, canonical_product_id, canonical_key, canonical_match_score) for every product."""
+def canonicalize(products: DataFrame, min_score: float | None = 0.88, decimal_comma: bool = False) -> DataFrame:
+    """(product_id, canonical_product_id, canonical_key, canonical_match_score) for every product. With no ``min_score`` only equal keys meet."""
     # Both tables are read many times below: write them once, so no round starts from the raw text.
     features = cut_lineage(canonical_features(products, decimal_comma))
     table = cut_lineage(profiles(features))
-    edges = key_edges(table).union(fuzzy_edges(table, min_score).select("left_profile", "right_profile"))
+    edges = key_edges(table)
+    if min_score is not None:
+        edges = edges.union(fuzzy_edges(table, min_score).select("left_profile", "right_profile"))
     groups = connected_components(edges, "left_profile", "right_profile")
     placed = table.join(groups, table["profile"] == groups["node"], "left").withColumn(
         "component", F.coalesce("component", "profile"))
@@ -151,16 +153,25 @@ def canonicalize(products: DataFrame, min_score: float = 0.88, decimal_comma: bo
         F.when(F.col("product_id") == F.col("head_id"), 1.0).otherwise(F.col("score")).alias("canonical_match_score"))
 
 
-def match_counts(products: DataFrame, min_score: float = 0.88) -> DataFrame:
-    """Scanned products, groups and matching pairs, the pairs counted without building them."""
+def match_counts(products: DataFrame, min_score: float | None = 0.88) -> DataFrame:
+    """Scanned products and matching pairs, the pairs counted without building them."""
     table = cut_lineage(profiles(canonical_features(products)))
     by_key = table.groupBy("canonical_key").agg(F.sum("products").alias("n")).agg(
         F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("key_pairs"), F.sum("n").alias("products_scanned"))
+    if min_score is None:
+        return by_key.select("products_scanned", F.col("key_pairs").alias("candidate_matches"))
     fuzzy = fuzzy_edges(table, min_score).agg(
         F.coalesce(F.sum(F.col("left_products") * F.col("right_products")), F.lit(0)).alias("fuzzy_pairs"))
     return side_by_side(by_key, fuzzy).select("products_scanned", (F.col("key_pairs") + F.col("fuzzy_pairs")).alias("candidate_matches"))
 
 
+def run_counters(canonical: DataFrame, counts: DataFrame, *targets: tuple[str, DataFrame]) -> DataFrame:
+    """One row about a run: products scanned, canonical groups, candidate matches, and of each target (name, propagated rows) how many carry an id."""
+    groups = canonical.select("canonical_product_id").distinct().agg(F.count("*").alias("canonical_groups"))
+    marked = [rows.agg(F.count("canonical_product_id").alias(f"{name}_updated")) for name, rows in targets]
+    return side_by_side(counts.select("products_scanned", "candidate_matches"), groups, *marked)
+
+
 def propagate(target: DataFrame, canonical: DataFrame, as_of: Column) -> DataFrame:
     """Write canonical ids onto products or offers by product_id; other rows keep theirs."""
     fields = ["canonical_product_id", "canonical_key", "canonical_match_score"]

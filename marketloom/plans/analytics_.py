@@ -10,6 +10,7 @@ from ..operators import analytics as O
 from ..operators import common as M
 from . import ansi as A
 from .registry import query
+from .resolution_ import CANONICAL, canonical
 
 
 
@@ -198,11 +199,10 @@ def _(t):
     return O.dashboard(t.products, t.offers, t.raw_pages, AS_OF())
 
 
-@query("f21_product_master", """SELECT 'cp_' || brand AS canonical_product_id, min(struct_pack(product_id := product_id, product_name := product_name)).product_name AS canonical_name, brand, count(*) AS listing_count, min(price_numeric) AS min_price, max(price_numeric) AS max_price
-    FROM products GROUP BY brand""")
+@query("f21_product_master", f"""SELECT canonical_product_id, arg_min(product_name, product_id) AS canonical_name, arg_min(brand, product_id) AS brand, count(*) AS listing_count, min(price_numeric) AS min_price, max(price_numeric) AS max_price
+    FROM products JOIN {CANONICAL} c USING (product_id) GROUP BY canonical_product_id""")
 def _(t):
-    master = O.product_master(t.products.withColumn("canonical_product_id", F.concat(F.lit("cp_"), "brand")))
-    return master.drop("category")
+    return O.product_master(t.products.join(canonical(t).select("product_id", "canonical_product_id"), "product_id")).drop("category")
 
 
 # --- joins ----------------------------------------------------------------------------------

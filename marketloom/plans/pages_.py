@@ -12,7 +12,6 @@ from ..operators import pages as P
 from ..operators import payloads as D
 from ..operators import quality as Q
 from ..sources import files as S
-from ..sources.upsert import upsert
 from ..streaming.run import work_folder
 from . import ansi as A
 from .registry import query
@@ -455,7 +454,7 @@ def _(t):
 def _(t):
     stored = t.raw_pages.withColumn("content_type", F.coalesce("content_type", F.lit("html")))
     again = stored.filter("pk % 3 = 0").select("raw_page_id", F.lit("again").alias("content_type"), "captured_at")
-    return upsert(stored, again, ["raw_page_id"], ["captured_at"]).select("raw_page_id", "content_type", "url")
+    return S.merged_pages(stored, again).select("raw_page_id", "content_type", "url")
 
 
 @query("o2_rule_function", "SELECT raw_page_id, 'product_name' AS name, product_name AS raw, CAST(NULL AS VARCHAR) AS link FROM products UNION ALL SELECT raw_page_id, 'image_url', '/img/' || raw_page_id || '.jpg', 'https://' || domain || '/img/' || raw_page_id || '.jpg' FROM products")

@@ -14,6 +14,7 @@ from ..sources import files as S
 from ..sources import upsert as U
 from . import ansi as A
 from .registry import query
+from .resolution_ import CANONICAL, canonical
 
 
 def _as_of(text: str):
@@ -428,11 +429,21 @@ def _(t):
 def _bundle(t):
     from ..operators.resolution import canonical_features
     features = canonical_features(t.products).select("product_id", "volume_ml", "abv_percent", "pack_size")
-    products = t.products.join(features, "product_id").withColumn("canonical_product_id", F.concat(F.lit("cp_"), "brand"))
+    products = t.products.join(features, "product_id").join(canonical(t).select("product_id", "canonical_product_id"), "product_id", "left")
     return X.dataset_bundle(products, t.offers, t.observations, t.sources, t.shop_pages)
 
 
-@query("a19_bundle_listings", "SELECT offer_id, canonical, count(*) AS n, max(price_numeric) AS top FROM (SELECT o.*, 'cp_' || brand AS canonical FROM offers o LEFT JOIN products p ON o.product_id = p.product_id) GROUP BY 1, 2")
+@query("a19_bundle_products", f"SELECT canonical_product_id, arg_min(product_name, product_id) AS canonical_name, count(*) AS listing_count, max(price_numeric) AS max_price FROM products LEFT JOIN {CANONICAL} c USING (product_id) GROUP BY canonical_product_id")
+def _(t):
+    return _bundle(t)["products"].select("canonical_product_id", "canonical_name", "listing_count", "max_price")
+
+
+@query("a19_bundle_price_history", "SELECT observation_id, product_id, domain, price_numeric FROM observations")
+def _(t):
+    return _bundle(t)["price_history"].select("observation_id", "product_id", "domain", "price_numeric")
+
+
+@query("a19_bundle_listings", f"SELECT offer_id, canonical, count(*) AS n, max(price_numeric) AS top FROM (SELECT o.*, canonical_product_id AS canonical FROM offers o LEFT JOIN {CANONICAL} c ON o.product_id = c.product_id) GROUP BY 1, 2")
 def _(t):
     return _bundle(t)["listings"].groupBy("offer_id", F.col("canonical_product_id").alias("canonical")).agg(F.count("*").alias("n"), F.max("price_numeric").alias("top"))
 

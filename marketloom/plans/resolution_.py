@@ -10,6 +10,7 @@ from ..operators import payloads as D
 from ..operators import resolution as R
 from ..operators.components import connected_components
 from ..operators.similarity import match_ratio
+from ..session import cut_lineage
 from . import ansi as A
 from .registry import query
 
@@ -82,18 +83,37 @@ def _(t):
     return R.canonical_features(t.products).groupBy("brand").agg(F.min(F.struct("canonical_key", "product_id"))["product_id"].alias("product_id"))
 
 
-def _by_brand(t):
-    return t.products.filter("price_numeric IS NOT NULL").select("product_id", F.concat(F.lit("cp_"), "brand").alias("canonical_product_id"), F.col("brand").alias("canonical_key"), F.lit(1.0).alias("canonical_match_score"))
+_CANONICAL: dict = {}
 
 
-@query("i7_propagation", "SELECT product_id, CASE WHEN price_numeric IS NOT NULL THEN 'cp_' || brand END AS canonical_product_id, CASE WHEN price_numeric IS NOT NULL THEN 1.0 END AS score FROM products")
+def canonical(t):
+    """The canonical groups of the priced products by equal keys, written once a session and folder. The fuzzy groups have no SQL form."""
+    run = (t.spark.sparkContext.applicationId, t.folder)
+    if run not in _CANONICAL:
+        _CANONICAL[run] = cut_lineage(R.canonicalize(t.products.filter("price_numeric IS NOT NULL"), min_score=None))
+    return _CANONICAL[run]
+
+
+#: The same groups in SQL: an id is made of the key.
+CANONICAL = f"(SELECT product_id, canonical_key, 'cp_' || substr(sha1(canonical_key), 1, 20) AS canonical_product_id FROM ({A.features()}) WHERE product_id IN (SELECT product_id FROM products WHERE price_numeric IS NOT NULL))"
+
+
+@query("i7_propagation", f"SELECT p.product_id, canonical_product_id, canonical_key, CASE WHEN canonical_key IS NOT NULL THEN 1.0 END AS score FROM products p LEFT JOIN {CANONICAL} c USING (product_id)")
+def _(t):
+    return R.propagate(t.products, canonical(t), _when("2024-06-01")).select("product_id", "canonical_product_id", "canonical_key", F.col("canonical_match_score").alias("score"))
+
+
+@query("g6_offer_propagation", f"SELECT o.product_id, canonical_product_id, count(*) AS offers FROM offers o LEFT JOIN {CANONICAL} c ON o.product_id = c.product_id GROUP BY 1, 2")
 def _(t):
-    return R.propagate(t.products, _by_brand(t), _when("2024-06-01")).select("product_id", "canonical_product_id", F.col("canonical_match_score").alias("score"))
+    return R.propagate(t.offers, canonical(t), _when("2024-06-01")).groupBy("product_id", "canonical_product_id").agg(F.count("*").alias("offers"))
 
 
-@query("g6_offer_propagation", "SELECT o.product_id, CASE WHEN p.price_numeric IS NOT NULL THEN 'cp_' || brand END AS canonical_product_id, count(*) AS offers FROM offers o LEFT JOIN products p ON o.product_id = p.product_id GROUP BY 1, 2")
+@query("i6_run_counters", f"""SELECT (SELECT count(*) FROM {CANONICAL}) AS products_scanned, (SELECT CAST(sum(n * (n - 1) / 2) AS BIGINT) FROM (SELECT count(*) AS n FROM {CANONICAL} GROUP BY canonical_key)) AS candidate_matches,
+    (SELECT count(DISTINCT canonical_product_id) FROM {CANONICAL}) AS canonical_groups, (SELECT count(*) FROM {CANONICAL}) AS products_updated, (SELECT count(*) FROM offers JOIN {CANONICAL} USING (product_id)) AS offers_updated""")
 def _(t):
-    return R.propagate(t.offers, _by_brand(t), _when("2024-06-01")).groupBy("product_id", "canonical_product_id").agg(F.count("*").alias("offers"))
+    priced = t.products.filter("price_numeric IS NOT NULL")
+    as_of = _when("2024-06-01")
+    return R.run_counters(canonical(t), R.match_counts(priced, min_score=None), ("products", R.propagate(t.products, canonical(t), as_of)), ("offers", R.propagate(t.offers, canonical(t), as_of)))
 
 
 # --- duplicate queue ------------------------------------------------------------------------
