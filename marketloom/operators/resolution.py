@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ from .similarity import match_ratio, similar_pairs
 
 PROFILE = ["canonical_key", "category", "brand", "label", "volume_ml", "abv_percent", "pack_size"]
 BRAND, VOLUME, STRENGTH, PACK, CATEGORY, NAME = 0.15, 0.10, 0.05, 0.05, 0.05, 0.60
+WEIGHTS = {"brand": BRAND, "volume_ml": VOLUME, "abv_percent": STRENGTH, "pack_size": PACK, "category": CATEGORY}
+#: Scores are rounded to three places, so half a step below still counts.
+HALF_STEP = 0.0005
 
 
 def canonical_features(products: DataFrame, decimal_comma: bool = False) -> DataFrame:
@@ -85,7 +91,7 @@ def _edges_in_block(table: DataFrame, block: Column, most: float, min_score: flo
     """Matching profile pairs inside one kind of block, where bonuses add up to ``most`` at best."""
     rows = table.withColumn("block", block).filter("block IS NOT NULL")
     labels = rows.select("block", "label").distinct().withColumn("item", F.col("label"))
-    near = similar_pairs(labels, "item", "label", (min_score - 0.0005 - most) / NAME, ["block"])
+    near = similar_pairs(labels, "item", "label", (min_score - HALF_STEP - most) / NAME, ["block"])
     near = near.select("block", "left_text", "right_text", "ratio").union(
         labels.select("block", "label", "label", F.lit(1.0)))
     side = lambda s: rows.select("block", *[
@@ -96,26 +102,45 @@ def _edges_in_block(table: DataFrame, block: Column, most: float, min_score: flo
     return pairs.withColumn("score", match_score(F.col("ratio"))).filter(F.col("score") >= min_score)
 
 
+def lossless_blocks(min_score: float) -> list[tuple[tuple[str, ...], list[tuple[str, ...]], float]]:
+    """Blocks in which every pair of ``min_score`` is found: (fields that are equal, blocks before it, highest bonus).
+
+    A pair earns its name's share and the weights of the fields it agrees on. The smallest sets of fields with which
+    a full name share reaches the score are the blocks; strength, which agrees within a tolerance, is left out of
+    their keys. A pair belongs to the first block whose fields it shares, so a later block needs to look only at what
+    is left of the bonuses.
+    """
+    weight = lambda fields: sum(WEIGHTS[f] for f in fields)
+    sets = [frozenset(s) for n in range(len(WEIGHTS) + 1) for s in combinations(WEIGHTS, n)]
+    enough = [s for s in sets if NAME + weight(s) >= min_score - HALF_STEP - 1e-9]
+    keys = {s - {"abv_percent"} for s in enough}
+    smallest = sorted((k for k in keys if not any(o < k for o in keys)), key=lambda k: (-round(weight(k), 6), "volume_ml" not in k, sorted(k)))
+    blocks = []
+    for i, key in enumerate(smallest):
+        most = max(weight(s) for s in enough if key <= s and not any(o <= s for o in smallest[:i]))
+        blocks.append((tuple(sorted(key)), [tuple(sorted(o)) for o in smallest[:i]], most))
+    return blocks
+
+
 def fuzzy_edges(table: DataFrame, min_score: float = 0.88) -> DataFrame:
-    """Profile pairs whose score reaches ``min_score`` though their keys differ.
+    """Profile pairs whose score reaches ``min_score`` though their keys differ, sought in :func:`lossless_blocks`.
 
-    Lossless blocks follow from the weights. Without a shared brand a pair scores at most 0.85. With
-    it, 0.88 still needs 0.13 of other bonuses: a shared volume, or else a shared strength, pack and
-    category all together. So pairs are sought within (brand, volume) and (brand, pack, category).
+    At 0.88 these are (brand, volume) and (brand, category, pack). The lower the score, the wider the blocks: from
+    0.6 down nothing needs to be shared but the name. Where other fields alone reach the score, which they do
+    up to 0.4, every pair of a block would match whatever its names are; that is refused.
     """
-    if min_score <= 0.8505:
-        raise ValueError("a shared brand is implied only for scores above 0.85")
-    if min_score - 0.0005 <= NAME + BRAND + STRENGTH + PACK:
-        raise ValueError("the blocks are lossless only for scores above 0.8505")
-    branded = table.filter(F.col("brand") != "")
-    by_volume = F.when(F.col("volume_ml") != 0, F.concat_ws("|", "brand", F.col("volume_ml").cast("string")))
-    by_pack = F.when((F.col("pack_size") != 0) & (F.col("abv_percent") != 0) & (F.col("category") != ""),
-                     F.concat_ws("|", "brand", F.col("pack_size").cast("string"), "category"))
-    other = STRENGTH + PACK + CATEGORY
-    same_volume = F.coalesce((F.col("left_volume_ml") != 0) & (F.col("left_volume_ml") == F.col("right_volume_ml")), F.lit(False))
+    if min_score - HALF_STEP <= sum(WEIGHTS.values()):
+        raise ValueError("names must count: min_score has to be above 0.4005")
     fields = ["left_profile", "right_profile", "left_products", "right_products", "score"]
-    return _edges_in_block(branded, by_volume, BRAND + VOLUME + other, min_score).select(*fields).union(
-        _edges_in_block(branded, by_pack, BRAND + other, min_score).filter(~same_volume).select(*fields))
+    found = [table.select(F.col("profile").alias(fields[0]), F.col("profile").alias(fields[1]), F.col("products").alias(fields[2]),
+                          F.col("products").alias(fields[3]), F.lit(0.0).alias(fields[4])).limit(0)]
+    shared = lambda names: reduce(lambda a, b: a & b, [_both(n, lambda x, y: x == y) for n in names], F.lit(True))
+    for key, earlier, most in lossless_blocks(min_score):
+        known = reduce(lambda a, b: a & b, [F.col(n) != (F.lit("") if n in ("category", "brand") else F.lit(0)) for n in key], F.lit(True))
+        block = F.when(known, F.to_json(F.struct(F.lit(0).alias("_"), *key)))
+        pairs = _edges_in_block(table, block, most, min_score)
+        found.append(reduce(lambda df, other: df.filter(~shared(other)), earlier, pairs).select(*fields))
+    return reduce(lambda a, b: a.union(b), found)
 
 
 def key_edges(table: DataFrame) -> DataFrame:

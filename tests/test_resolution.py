@@ -57,7 +57,8 @@ def test_same_product_over_two_sites(spark):
     assert got["3"]["canonical_product_id"] != got["4"]["canonical_product_id"]
 
 
-def test_groups_equal_all_pairs_scoring(spark):
+@pytest.mark.parametrize("least", [0.58, 0.70, 0.80, 0.88])
+def test_groups_equal_all_pairs_scoring(spark, least):
     rng = random.Random(8)
     stems = ["grand reserve cabernet", "grand reserva cabernet", "golden lager", "golden lagers", "black label", "black labels x"]
     rows = [(f"p{i:03}", f"{rng.choice(stems)} {rng.choice(['750ml', '330ml', ''])} {rng.choice(['14%', '40%', ''])} {rng.choice(['6 lon', ''])}", rng.choice(["Aa", "Bb", None]), rng.choice(["Rượu", "Bia", ""])) for i in range(120)]
@@ -82,17 +83,24 @@ def test_groups_equal_all_pairs_scoring(spark):
 
     matches = 0
     for a, b in itertools.combinations(items, 2):
-        if a["canonical_key"] == b["canonical_key"] or score(a, b) >= 0.88:
+        if a["canonical_key"] == b["canonical_key"] or score(a, b) >= least:
             matches += 1
             x, y = find(a["product_id"]), find(b["product_id"])
             parent[max(x, y)] = min(x, y)
-    got = {r["product_id"]: r["canonical_product_id"] for r in R.canonicalize(df).collect()}
+    got = {r["product_id"]: r["canonical_product_id"] for r in R.canonicalize(df, min_score=least).collect()}
     for a, b in itertools.combinations(sorted(parent), 2):
         assert (find(a) == find(b)) == (got[a] == got[b]), (a, b)
-    counts = R.match_counts(df).first()
+    counts = R.match_counts(df, least).first()
     assert (counts["products_scanned"], counts["candidate_matches"]) == (120, matches)
 
 
+def test_scores_that_names_cannot_decide_are_refused(spark):
+    table = R.profiles(R.canonical_features(spark.createDataFrame([("1", "Bia", None, None)], PRODUCT)))
+    assert R.lossless_blocks(1.1) == [] and R.fuzzy_edges(table, 1.1).count() == 0
+    with pytest.raises(ValueError):
+        R.fuzzy_edges(table, 0.4)
+
+
 def test_duplicate_queue(spark):
     rows = [("a.vn", "https://a.vn/1", "Bia Sài Gòn"), ("b.vn", "https://b.vn/1", "bia  sài gòn!"), ("c.vn", "https://a.vn/1", "Khác hẳn"), ("d.vn", "https://d.vn/9", "Bia Sài Gòn 2"), ("e.vn", None, "Sữa")]
     got = {(r["left_product"]["source"], r["right_product"]["source"]): (r["confidence"], r["reasons"]) for r in R.duplicate_pairs(spark.createDataFrame(rows, "source string, url string, name string")).collect()}
