@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.keyed import KeyedTable
 from .common import latest_by_map_safe, top_per_group
 
 RULE = ["structure", "version", "score", "candidate_id"]
@@ -136,27 +137,61 @@ def retained_pages(pages: DataFrame, as_of: Column, days: int = 14, per_domain:
     return young.filter(~placed).unionByName(top_per_group(young.filter(placed), ["domain"], [F.desc("captured_at"), F.col("raw_page_id")], per_domain))
 
 
-def daily_prices(observations: DataFrame, before: Column | None = None) -> DataFrame:
-    """Daily low, high, mean, latest and count per product, of positive prices before a cutoff."""
+#: A day of one product, in figures that can be added to those of other observations of that day.
+DAY_SUMMARY = ("product_id string, date date, price_sum double, observation_count long, min_price double, max_price double, "
+               "last struct<observed_at:timestamp,observation_id:string,price_numeric:double,domain:string,source_id:string,currency:string>")
+
+
+def day_summaries(observations: DataFrame, before: Column | None = None) -> DataFrame:
+    """:data:`DAY_SUMMARY` rows of observations before a cutoff. Prices that are not positive count for the latest only."""
     rows = observations.filter(F.col("product_id").isNotNull() & F.col("observed_at").isNotNull())
     if before is not None:
         rows = rows.filter(F.col("observed_at") < before)
-    price = F.when(F.col("price_numeric") > 0, F.col("price_numeric"))
+    number = F.col("price_numeric").cast("double")
+    price = F.when(number > 0, number)
+    last = F.struct(F.col("observed_at").cast("timestamp").alias("observed_at"), F.col("observation_id").cast("string").alias("observation_id"),
+                    number.alias("price_numeric"), "domain", "source_id", "currency")
     return rows.groupBy("product_id", F.to_date("observed_at").alias("date")).agg(
-        F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.round(F.avg(price), 2).alias("avg_price"),
-        F.max(F.struct("observed_at", "observation_id", "price_numeric", "domain", "source_id", "currency")).alias("l"), F.count(price).alias("observation_count")
-    ).filter("observation_count > 0").select(
-        "product_id", "date", F.col("l")["domain"].alias("domain"), F.col("l")["source_id"].alias("source_id"),
-        F.coalesce(F.col("l")["currency"], F.lit("VND")).alias("currency"), "min_price", "max_price", "avg_price",
-        F.col("l")["price_numeric"].alias("latest_price"), "observation_count")
+        F.coalesce(F.sum(price), F.lit(0.0)).alias("price_sum"), F.count(price).alias("observation_count"),
+        F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.max(last).alias("last"))
+
+
+def merge_summaries(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored days with fresh ones added: sums and counts add up, extremes and the latest observation compare."""
+    return stored.unionByName(fresh.select(*stored.columns)).groupBy("product_id", "date").agg(
+        *[F.sum(c).alias(c) for c in ("price_sum", "observation_count")], F.min("min_price").alias("min_price"), F.max("max_price").alias("max_price"), F.max("last").alias("last"))
+
+
+def as_daily(summaries: DataFrame) -> DataFrame:
+    """Daily rows of the days that have a positive price."""
+    last = F.col("last")
+    return summaries.filter("observation_count > 0").select(
+        "product_id", "date", last["domain"].alias("domain"), last["source_id"].alias("source_id"), F.coalesce(last["currency"], F.lit("VND")).alias("currency"),
+        "min_price", "max_price", F.round(F.col("price_sum") / F.col("observation_count"), 2).alias("avg_price"), last["price_numeric"].alias("latest_price"), "observation_count")
+
+
+def daily_prices(observations: DataFrame, before: Column | None = None) -> DataFrame:
+    """Daily low, high, mean, latest and count per product, of positive prices before a cutoff."""
+    return as_daily(day_summaries(observations, before))
 
 
 def compact_observations(observations: DataFrame, as_of: Column, retention_days: int = 90) -> tuple[DataFrame, DataFrame]:
     """(daily rows of what is older than the retention, observations that stay); one without a time stays."""
-    cutoff = F.timestamp_add("DAY", F.lit(-retention_days), as_of)
+    cutoff = F.timestamp_add("DAY", F.lit(-max(1, retention_days)), as_of)
     return daily_prices(observations, cutoff), observations.filter(F.coalesce(F.col("observed_at") >= cutoff, F.lit(True)))
 
 
+def compact_into(table: KeyedTable, observations: DataFrame, as_of: Column, run: int, retention_days: int = 90) -> DataFrame:
+    """Add what is older than the retention to a table of :data:`DAY_SUMMARY` rows keyed by product; returns the observations that stay.
+
+    A day that is there already takes late observations in. ``run`` numbers the compactions: one that is started again
+    after it was published, before its observations were removed, adds nothing twice.
+    """
+    cutoff = F.timestamp_add("DAY", F.lit(-max(1, retention_days)), as_of)
+    table.merge(day_summaries(observations, cutoff), "compaction", run, merge_summaries)
+    return observations.filter(F.coalesce(F.col("observed_at") >= cutoff, F.lit(True)))
+
+
 def backfill_schema(products: DataFrame, as_of: Column) -> DataFrame:
     """Bring legacy product rows to the present schema; rows already there stay as they are."""
     legacy_store = F.coalesce(F.map_contains_key("raw_data", F.lit("store_id")), F.lit(False)) | (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,23 +35,43 @@ def metric_columns(median: bool = True) -> list[Column]:
     return bundle + [middle.alias("median_price")] if median else bundle
 
 
-def grouped_upper_median(rows: DataFrame, keys: list[str], value: str = "price_numeric") -> DataFrame:
-    """Exact upper median of the positive values per group, without gathering any group.
+def _at_rank(level: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The step of each (group, wanted place) that holds the place, by running counts; ``_rank`` becomes the place inside the step."""
+    running = Window.partitionBy(*keys, "_at").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    level = level.withColumn("_upto", F.sum("_held").over(running))
+    before = F.col("_upto") - F.col("_held")
+    return level.filter((F.col("_rank") >= before) & (F.col("_rank") < F.col("_upto"))).withColumn("_rank", F.col("_rank") - before)
+
 
-    Values are counted first. Counts per logarithmic bucket tell which bucket holds the middle and
-    at which rank; only the distinct values of that bucket are then put in order.
+def grouped_order_statistics(rows: DataFrame, keys: list[str], places: Callable[[Column], list[Column]], value: str = "price_numeric") -> DataFrame:
+    """(keys, _at, value): the positive values of each group at the places (from 0) that ``places`` makes of the group's size.
+
+    No group is gathered or put in order. Values are counted first. Counts per logarithmic bucket tell which bucket holds a
+    place; counts per bucket a thousand times finer inside it, which step; only the values of that step are put in order. So
+    a window sees some thousand rows whatever the size of a group, also where all rows are one group.
     """
-    counts = rows.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn(
-        "_bucket", F.floor(F.log(F.col(value)) * 32))
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_held")).withColumns({
-        "_total": F.sum("_held").over(group), "_upto": F.sum("_held").over(upto)})
-    buckets = buckets.withColumn("_rank", F.floor(F.col("_total") / 2) - (F.col("_upto") - F.col("_held"))).filter(
-        (F.col("_rank") >= 0) & (F.col("_rank") < F.col("_held"))).select(*keys, "_bucket", "_rank")
-    inside = join_null_safe(counts, buckets, [*keys, "_bucket"], "inner")
-    running = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("_run", running).filter("_run > _rank").groupBy(*keys).agg(F.min(value).alias("median_price"))
+    log = F.log(F.col(value))
+    counts = rows.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.count("*").alias("_held")).withColumns({
+        "_coarse": F.floor(log * 32), "_fine": F.floor(log * 32768)})
+    coarse = counts.groupBy(*keys, "_coarse").agg(F.sum("_held").alias("_held"))
+    coarse = coarse.withColumn("_total", F.sum("_held").over(Window.partitionBy(*keys)))
+    coarse = coarse.withColumn("_at", F.explode(F.array_distinct(F.array(*places(F.col("_total"))))))
+    found = _at_rank(coarse.withColumn("_rank", F.col("_at")), keys, "_coarse").select(*keys, "_coarse", "_at", "_rank")
+    fine = join_null_safe(counts, found, [*keys, "_coarse"]).groupBy(*keys, "_at", "_rank", "_fine").agg(F.sum("_held").alias("_held"))
+    found = _at_rank(fine, keys, "_fine").select(*keys, "_fine", "_at", "_rank")
+    return _at_rank(join_null_safe(counts, found, [*keys, "_fine"]), keys, value).select(*keys, "_at", value)
+
+
+def grouped_upper_median(rows: DataFrame, keys: list[str], value: str = "price_numeric") -> DataFrame:
+    """Exact upper median of the positive values per group, without gathering any group."""
+    found = grouped_order_statistics(rows, keys, lambda n: [F.floor(n / 2)], value)
+    return found.select(*keys, F.col(value).alias("median_price"))
+
+
+def grouped_median(rows: DataFrame, keys: list[str], value: str = "price_numeric") -> DataFrame:
+    """Exact median of the positive values per group: the mean of the two middle values where their number is even."""
+    found = grouped_order_statistics(rows, keys, lambda n: [F.floor((n - 1) / 2), F.floor(n / 2)], value)
+    return found.groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias("median_price"))
 
 
 def page_metrics(products: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,54 +170,96 @@ def validation_samples(pages: DataFrame, order: list[Column]) -> DataFrame:
     return ranked.withColumn("sampled_as", role).filter("sampled_as IS NOT NULL").drop("_listing_gap", "_detail_gap")
 
 
+_RULE_COLUMNS = ("product_name", "price", "product_url", "old_price", "category", "volume_ml", *K.STORE_FIELDS)
+
+
+def sample_targets(samples: DataFrame, targets: DataFrame) -> DataFrame:
+    """The pages on which each section of a rule is tried: (domain, raw_page_id, target, class).
+
+    ``samples``: domain, raw_page_id, class; ``targets``: domain, target, one per section with fields. A section is tried on
+    the pages of its class. A product section without any is tried on the pages of unknown class, and so is a store section
+    if its rule has no product section. A section left without pages has one row with no page.
+    """
+    product = F.col("target") != "stores"
+    wanted = F.when(product, F.col("target")).otherwise("store_listing")
+    rules = targets.groupBy("domain").agg(F.bool_or(product).alias("_products"))
+    classes = samples.groupBy("domain", "class").agg(F.count("*").alias("_pages"))
+    tried = targets.select("domain", "target").distinct().join(rules, "domain").withColumn("class", wanted).join(classes, ["domain", "class"], "left")
+    use = F.when(F.col("_pages").isNotNull(), F.col("class")).when(product | ~F.col("_products"), "unknown")
+    tried = tried.select("domain", "target", use.alias("class"))
+    return tried.join(samples.select("domain", "class", "raw_page_id"), ["domain", "class"], "left").select("domain", "raw_page_id", "target", "class")
+
+
+def _checked_rows(rows: DataFrame) -> DataFrame:
+    """Rule rows (domain, raw_page_id, target, record) with ``passes`` of the ``needed`` checks, ``valid`` and the ``item`` they name."""
+    entry = {n: F.try_element_at("record", F.lit(n)) for n in _RULE_COLUMNS}
+    rows = rows.withColumn("_c", row_checks(entry, F.col("domain"), F.col("target")))
+    c, listing, store = F.col("_c"), F.col("target") == "listing", F.col("target") == "stores"
+    passes = c["product_name"].cast("int") + c["price"].cast("int") + F.when(listing, c["product_url"].cast("int")).otherwise(0)
+    rows = rows.withColumns({"passes": F.when(store, valid_store(entry).cast("int")).otherwise(passes), "needed": F.when(store, 1).when(listing, 3).otherwise(2)})
+    key_text = F.when(store, X.first_present(entry["store_address"], entry["store_url"], entry["store_name"])).otherwise(
+        X.first_present(entry["product_url"], entry["product_name"]))
+    return rows.withColumns({"valid": F.col("passes") == F.col("needed"), "item": F.lower(X.clean_text(key_text))})
+
+
+def sample_results(rows: DataFrame, samples: DataFrame) -> DataFrame:
+    """Per page tried: rows found, valid rows and their share. ``samples`` as :func:`sample_targets` gives them."""
+    found = _checked_rows(rows).groupBy("domain", "target", "raw_page_id").agg(F.count("*").alias("row_count"), F.count_if("valid").alias("valid_rows"))
+    tried = samples.filter("raw_page_id IS NOT NULL").join(found, ["domain", "target", "raw_page_id"], "left")
+    n, good = F.coalesce("row_count", F.lit(0)), F.coalesce("valid_rows", F.lit(0))
+    return tried.select("domain", "target", "raw_page_id", F.col("class").alias("page_type"), n.alias("row_count"), good.alias("valid_rows"),
+                        F.coalesce(F.round(F.try_divide(good, n), 3), F.lit(0.0)).alias("coverage"))
+
+
 def target_results(rows: DataFrame, samples: DataFrame) -> DataFrame:
     """Per (domain, target) figures of a rule tried on its samples.
 
     ``rows``: domain, raw_page_id, target and a record map, one per extracted row. ``samples``:
-    domain, raw_page_id, target and class, one per page tried. Two-level: page, then target.
+    domain, raw_page_id, target and class, one per page tried (:func:`sample_targets`). Two-level: page, then target.
     """
-    entry = {n: F.try_element_at("record", F.lit(n)) for n in ("product_name", "price", "product_url", "old_price", "category", "volume_ml", *K.STORE_FIELDS)}
-    checks = row_checks(entry, F.col("domain"), F.col("target"))
-    required = F.when(F.col("target") == "listing", 3).otherwise(2)
-    rows = rows.withColumn("_c", checks)
-    c = F.col("_c")
-    passes = c["product_name"].cast("int") + c["price"].cast("int") + F.when(F.col("target") == "listing", c["product_url"].cast("int")).otherwise(0)
+    rows = _checked_rows(rows)
     store = F.col("target") == "stores"
-    rows = rows.withColumns({"passes": F.when(store, valid_store(entry).cast("int")).otherwise(passes), "needed": F.when(store, 1).otherwise(required)})
-    rows = rows.withColumn("valid", F.col("passes") == F.col("needed"))
-    key_text = F.when(store, X.first_present(entry["store_address"], entry["store_url"], entry["store_name"])).otherwise(
-        X.first_present(entry["product_url"], entry["product_name"]))
     has = {n: F.count_if(F.col("valid") & X.blank_to_null(F.try_element_at("record", F.lit(n))).isNotNull()).alias(f"has_{n}")
            for n in ("product_name", "price", "product_url", "brand", *K.STORE_FIELDS)}
     by_page = rows.groupBy("domain", "target", "raw_page_id").agg(
         F.count("*").alias("row_count"), F.count_if("valid").alias("valid_rows"), F.sum("passes").alias("passes"), F.sum("needed").alias("needed"), *has.values())
-    unique = rows.filter("valid").groupBy("domain", "target").agg(F.countDistinct(F.lower(X.clean_text(key_text))).alias("unique_items"))
+    unique = rows.filter("valid").groupBy("domain", "target").agg(F.countDistinct("item").alias("unique_items"))
     by_sample = samples.join(by_page, ["domain", "target", "raw_page_id"], "left")
     total = by_sample.groupBy("domain", "target").agg(
-        F.count("*").alias("sample_count"), F.count_if(F.col("class") == F.when(store, "store_listing").otherwise(F.col("target"))).alias("own_samples"),
+        F.count("raw_page_id").alias("sample_count"), F.count_if(F.col("class") == F.when(store, "store_listing").otherwise(F.col("target"))).alias("own_samples"),
         F.coalesce(F.sum("valid_rows"), F.lit(0)).alias("valid_rows"), F.coalesce(F.sum("passes"), F.lit(0)).alias("passes"),
         F.coalesce(F.sum("needed"), F.lit(0)).alias("needed"), F.count_if(F.col("valid_rows") > 0).alias("good_samples"),
         *[F.coalesce(F.sum(f"has_{n}"), F.lit(0)).alias(f"has_{n}") for n in has])
     total = total.join(unique, ["domain", "target"], "left").withColumn("unique_items", F.coalesce("unique_items", F.lit(0)))
     cover = lambda n: F.coalesce(F.round(F.try_divide(F.col(f"has_{n}"), F.col("valid_rows")), 3), F.lit(0.0))
-    total = total.withColumns({
-        "sample_success": F.round(F.try_divide(F.col("good_samples"), F.col("sample_count")), 3),
-        **{f"cover_{n}": cover(n) for n in has}})
+    success = F.coalesce(F.try_divide(F.col("good_samples"), F.col("sample_count")), F.lit(0.0))
+    total = total.withColumns({"sample_success": F.round(success, 3), **{f"cover_{n}": cover(n) for n in has}})
     least = F.when(F.col("target") == "listing", K.MIN_SAMPLES["listing"]).when(store, 1).otherwise(K.MIN_SAMPLES["product_detail"])
     covered = F.when(store, F.col("cover_store_address") >= 0.8).otherwise(
         (F.col("cover_product_name") >= 0.8) & (F.col("cover_price") >= 0.8) & ((F.col("target") != "listing") | (F.col("cover_product_url") >= 0.8)))
     return total.withColumn("minimum_samples", F.greatest(F.lit(1), F.least(least, F.when(store, 1).otherwise(F.col("own_samples"))))).withColumn(
         "passed", (F.col("sample_count") >= F.col("minimum_samples")) & (F.col("unique_items") >= F.when(F.col("target") == "listing", 2).otherwise(1))
-        & (F.try_divide(F.col("good_samples"), F.col("sample_count")) >= 0.8) & covered).drop(*[f"has_{n}" for n in has])
+        & (success >= 0.8) & covered).drop(*[f"has_{n}" for n in has])
+
 
+def rule_metrics(rows: DataFrame) -> DataFrame:
+    """Per domain, over the valid rows of a rule: products and stores, distinct ones of each, share with a brand, soundness of old prices, median price.
 
-def old_price_consistency(rows: DataFrame) -> DataFrame:
-    """(domain, consistency): share of the valid product rows with an old price whose old price is sound; 1 where none has one."""
-    entry = {n: F.try_element_at("record", F.lit(n)) for n in ("product_name", "price", "product_url", "old_price", "category", "volume_ml", *K.STORE_FIELDS)}
-    c = F.col("_c")
-    checked = rows.filter("target <> 'stores'").withColumns({"_c": row_checks(entry, F.col("domain"), F.col("target")), "_old": X.blank_to_null(entry["old_price"]).isNotNull()})
-    valid = c["product_name"] & c["price"] & (c["product_url"] | (F.col("target") != "listing"))
-    return checked.groupBy("domain").agg(F.coalesce(F.avg(F.when(valid & F.col("_old"), c["old_price"].cast("double"))), F.lit(1.0)).alias("consistency"))
+    An item that listing and detail pages both show counts once. The old price is sound in a domain without any.
+    """
+    rows = _checked_rows(rows).select("domain", F.when(F.col("target") == "stores", "stores").otherwise("products").alias("kind"), "valid", "item", "record", "_c")
+    entry = lambda n: X.blank_to_null(F.try_element_at("record", F.lit(n)))
+    product = F.col("valid") & (F.col("kind") == "products")
+    flat = rows.filter("valid").withColumn("price_numeric", F.when(product, X.clean_price(F.try_element_at("record", F.lit("price"))))).withColumn(
+        "sound", F.when(product & entry("old_price").isNotNull(), F.col("_c")["old_price"].cast("double")))
+    distinct = flat.filter("item <> ''").groupBy("domain", "kind", "item").agg(F.count("*").alias("_n")).groupBy("domain").agg(
+        F.count_if(F.col("kind") == "products").alias("product_items"), F.count_if(F.col("kind") == "stores").alias("store_items"))
+    figures = flat.groupBy("domain").agg(
+        F.count_if(product).alias("valid_products"), F.count_if(~product).alias("valid_stores"),
+        F.round(F.try_divide(F.count_if(product & entry("brand").isNotNull()), F.count_if(product)), 3).alias("brand_coverage"), F.avg("sound").alias("consistency"))
+    return figures.join(distinct, "domain", "left").join(grouped_median(flat, ["domain"]), "domain", "left").select(
+        "domain", "valid_products", "valid_stores", F.coalesce("product_items", F.lit(0)).alias("product_items"), F.coalesce("store_items", F.lit(0)).alias("store_items"),
+        F.coalesce("brand_coverage", F.lit(0.0)).alias("brand_coverage"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"), "median_price")
 
 
 def rule_score(coverage: Column, distinct_items: Column, consistency: Column) -> Column:
@@ -208,8 +271,11 @@ def store_rule_score(address_coverage: Column, distinct_items: Column) -> Column
     return F.round(address_coverage * 0.75 + F.least(F.lit(1.0), distinct_items / 5) * 0.25, 3)
 
 
-def rule_verdicts(targets: DataFrame, consistency: DataFrame | None = None) -> DataFrame:
-    """Score and acceptance per domain; a rule with store rows only is scored as a store rule."""
+def rule_verdicts(targets: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """Score, acceptance and metrics per domain; a rule with store rows only is scored as a store rule.
+
+    ``metrics`` as :func:`rule_metrics` gives them; without them items are counted per target and no old price is unsound.
+    """
     product = F.col("target") != "stores"
     per = targets.groupBy("domain").agg(
         F.sum(F.when(product, F.col("passes"))).alias("passes"), F.sum(F.when(product, F.col("needed"))).alias("needed"),
@@ -218,18 +284,22 @@ def rule_verdicts(targets: DataFrame, consistency: DataFrame | None = None) -> D
         F.bool_and(F.when(product, F.col("passed"))).alias("products_pass"), F.bool_and(F.when(~product, F.col("passed"))).alias("stores_pass"),
         F.max(F.when(~product, F.col("cover_store_address"))).alias("address_coverage"),
         F.collect_set(F.when(F.col("passed"), F.col("target"))).alias("passed_targets"))
-    if consistency is not None:
-        per = per.join(consistency, "domain", "left")
+    measured = ["product_items", "store_items", "brand_coverage", "consistency", "median_price"]
+    if metrics is not None:
+        per = per.drop("product_items", "store_items").join(metrics.select("domain", *measured), "domain", "left")
     else:
-        per = per.withColumn("consistency", F.lit(1.0))
+        per = per.withColumns({"brand_coverage": F.lit(0.0), "consistency": F.lit(1.0), "median_price": F.lit(None).cast("double")})
     zero = lambda n: F.coalesce(F.col(n), F.lit(0))
     store_only = (zero("valid_stores") > 0) & (zero("valid_products") == 0)
-    score = F.when(store_only, store_rule_score(F.coalesce("address_coverage", F.lit(0.0)), zero("store_items"))).otherwise(
-        rule_score(F.coalesce(F.try_divide(F.col("passes"), F.col("needed")), F.lit(0.0)), zero("product_items"), F.coalesce("consistency", F.lit(1.0))))
+    coverage = F.when(store_only, F.coalesce("address_coverage", F.lit(0.0))).otherwise(F.coalesce(F.try_divide(F.col("passes"), F.col("needed")), F.lit(0.0)))
+    items = F.when(store_only, zero("store_items")).otherwise(zero("product_items"))
+    score = F.when(store_only, store_rule_score(coverage, items)).otherwise(rule_score(coverage, items, F.coalesce("consistency", F.lit(1.0))))
     return per.withColumn("score", score).withColumn("accepted", F.coalesce(
         F.when(store_only, F.col("stores_pass")).otherwise(F.col("products_pass")) & (F.col("score") >= K.MIN_ACCEPT_SCORE), F.lit(False))).select(
         "domain", "score", "accepted", zero("valid_products").alias("valid_products"), zero("valid_stores").alias("valid_stores"),
-        F.array_sort("passed_targets").alias("passed_targets"))
+        F.array_sort("passed_targets").alias("passed_targets"), F.round(coverage, 3).alias("required_coverage"),
+        F.when(store_only, 0.0).otherwise(F.coalesce("brand_coverage", F.lit(0.0))).alias("brand_coverage"),
+        F.round(1 - F.least(F.lit(1.0), items / 5), 3).alias("duplicate_ratio"), F.when(~store_only, F.col("median_price")).alias("median_price"))
 
 
 def draft_results(previews: DataFrame) -> DataFrame:
@@ -245,6 +315,22 @@ def draft_results(previews: DataFrame) -> DataFrame:
         F.array_sort(F.array_except(wanted, "_names")).alias("missing_recommended"))
 
 
+def draft_verdicts(results: DataFrame) -> DataFrame:
+    """Per page: whether a drafted rule is accepted, how many targets pass, and what its targets lack, as warnings in order of target.
+
+    A draft is accepted by a product target whose required fields all match; a store target alone does not do.
+    """
+    place = F.when(F.col("target") == "listing", 0).when(F.col("target") == "product_detail", 1).otherwise(2)
+    warning = F.when(F.size("missing_recommended") > 0, F.struct(place.alias("place"), F.concat(
+        "target", F.lit(": missing "), F.array_join("missing_recommended", ", ")).alias("text")))
+    passed = F.col("required_pass")
+    return results.groupBy("raw_page_id").agg(
+        F.count_if(passed).alias("accepted_targets"), F.count_if(passed & (F.col("target") != "stores")).alias("accepted_product_targets"),
+        F.array_sort(F.collect_list(warning)).alias("_w")).select(
+        "raw_page_id", (F.col("accepted_product_targets") > 0).alias("accepted"), "accepted_targets", "accepted_product_targets",
+        F.transform("_w", lambda w: w["text"]).alias("warnings"))
+
+
 def enforce_contract(structure: Column) -> Column:
     """Rule with ``required`` set by target contract; store fields are never required."""
     def section(target: str) -> Column:

@@ -11,6 +11,7 @@ from ..operators import extraction as E
 from ..operators import pages as P
 from ..operators import payloads as D
 from ..operators import quality as Q
+from ..session import cut_lineage
 from ..sources import files as S
 from ..streaming.run import work_folder
 from . import ansi as A
@@ -194,6 +195,16 @@ def _(t):
     return Q.draft_results(_previews(t)).select("raw_page_id", "target", "required_pass", F.col("field_score").cast("double").alias("field_score"), F.array_join("missing_recommended", ",").alias("missing"))
 
 
+_LACKS = """concat_ws(', ', 'brand', CASE WHEN NOT coalesce(bool_or(name = 'price' AND matches > 0), false) THEN 'price' END, CASE WHEN NOT coalesce(bool_or(name = 'product_name' AND matches > 0), false) THEN 'product_name' END, 'product_url')"""
+
+
+@query("c15_draft_verdicts", f"""WITH per AS (SELECT raw_page_id, target, coalesce(bool_and(matches > 0) FILTER (required), false) AS ok, target || ': missing ' || {_LACKS} AS warning FROM ({_PREVIEW}) GROUP BY 1, 2)
+    SELECT raw_page_id, bool_or(ok) AS accepted, count(*) FILTER (ok) AS accepted_targets, string_agg(warning, '; ' ORDER BY target) AS warnings FROM per GROUP BY 1""")
+def _(t):
+    verdicts = Q.draft_verdicts(Q.draft_results(_previews(t)))
+    return verdicts.select("raw_page_id", "accepted", "accepted_targets", F.array_join("warnings", "; ").alias("warnings"))
+
+
 @query("c16_evidence_excerpt")
 def _(t):
     return P.evidence_excerpt(_detail_pages(t).select("raw_page_id", "html"))
@@ -201,10 +212,10 @@ def _(t):
 
 # --- shop pages with products ---------------------------------------------------------------
 
-def _spread(rows, key):
+def _spread(rows, *key):
     """Rows over all cores before pages are made of them: reading pages costs CPU, and the product
     table may be one small file. Stored pages come in many splits and need none of this."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *key)
 
 
 def _detail_pages(t):
@@ -223,7 +234,7 @@ def _listing_pages(t):
     """Listing pages of up to ten products each, per shop."""
     link = F.regexp_replace("product_url", "^https://[^/]+", "")
     item = F.concat(F.lit('<div class="product-item"><h3><a href="'), link, F.lit('">'), F.col("product_name"), F.lit('</a></h3><p class="price">'), F.col("price_text"), F.lit("</p></div>"))
-    pages = _spread(t.products, "domain").groupBy("domain", F.floor(F.col("pk") / 1000).alias("k")).agg(F.array_sort(F.collect_list(F.struct("pk", item.alias("i")))).alias("l"))
+    pages = _spread(t.products.withColumn("k", F.floor(F.col("pk") / 1000)), "domain", "k").groupBy("domain", "k").agg(F.array_sort(F.collect_list(F.struct("pk", item.alias("i")))).alias("l"))
     return pages.select(F.concat("domain", F.lit("#"), F.col("k").cast("string")).alias("raw_page_id"), "domain", F.concat(F.lit("https://"), "domain", F.lit("/danh-muc/tat-ca?page="), F.col("k").cast("string")).alias("url"),
                         F.lit("unknown").alias("page_type"), F.concat(F.lit("<html><body><ul class=menu><li>x<li>y</ul>"), F.array_join(F.transform("l", lambda x: x["i"]), ""), F.lit("</body></html>")).alias("html"))
 
@@ -382,14 +393,21 @@ def _(t):
     return P.classify_captures(t.raw_pages.withColumn("depth", F.lit(0))).select("raw_page_id", "page_type")
 
 
+#: Shops whose detail pages nobody has classified, so that their rules are tried on pages of unknown class.
+_UNDECIDED = "CAST(regexp_extract(domain, '([0-9]+)', 1) AS INTEGER) % 5 = 0"
+
+
 def _rule_rows(t):
     """Rule rows of both kinds of shop pages, with the samples they were tried on."""
-    pages = _listing_pages(t).unionByName(_detail_pages(t)).withColumn("class", page_class("page_type", "url"))
+    details = _detail_pages(t).withColumn("class", F.when(F.expr(_UNDECIDED), "unknown").otherwise(page_class("page_type", "url")))
+    pages = _listing_pages(t).withColumn("class", page_class("page_type", "url")).unionByName(details)
     read = _read(t, pages)
-    each = [read.select("domain", "raw_page_id", F.lit(n).alias("target"), F.explode(E.finished_rows(F.col(n))).alias("r")).filter(F.col("target") == n) for n in ("listing", "product_detail")]
-    rows = each[0].join(pages.filter("class = 'listing'").select("raw_page_id"), "raw_page_id", "left_semi").unionByName(each[1].join(pages.filter("class = 'product_detail'").select("raw_page_id"), "raw_page_id", "left_semi"))
-    samples = pages.filter("class IN ('listing', 'product_detail')").select("domain", "raw_page_id", F.col("class").alias("target"), "class")
-    return rows.select("domain", "raw_page_id", "target", F.col("r")["record"].alias("record")), samples
+    targets = pages.select("domain").distinct().select("domain", F.explode(F.array(F.lit("listing"), F.lit("product_detail"))).alias("target"))
+    samples = Q.sample_targets(pages.select("domain", "raw_page_id", "class"), targets)
+    sections = F.array(*[F.struct(F.lit(n).alias("target"), F.transform(E.finished_rows(F.col(n)), lambda r: r["record"]).alias("records")) for n in ("listing", "product_detail")])
+    rows = read.select("domain", "raw_page_id", F.explode(sections).alias("s")).select("domain", "raw_page_id", F.col("s")["target"].alias("target"), F.explode(F.col("s")["records"]).alias("record"))
+    # Every figure below goes over these rows: read the pages once.
+    return cut_lineage(rows.join(samples.select("raw_page_id", "target"), ["raw_page_id", "target"], "left_semi")), samples
 
 
 _OK_PRICE = "coalesce(price_numeric BETWEEN low AND high, false)"
@@ -405,9 +423,16 @@ def _bounds_sql():
     return bounds_table("CAST(NULL AS VARCHAR)")
 
 
-@query("f12_target_metrics", f"SELECT domain, target, sample_count, valid_rows, valid_rows AS unique_items, round(good / sample_count, 3) AS sample_success FROM {_target_sql(_bounds_sql())}")
+@query("f12_target_metrics", f"""SELECT domain, target, sample_count, valid_rows, valid_rows AS unique_items, round(good / sample_count, 3) AS sample_success,
+    CASE WHEN target = 'listing' THEN least({K.MIN_SAMPLES['listing']}, sample_count) WHEN {_UNDECIDED} THEN 1 ELSE least({K.MIN_SAMPLES['product_detail']}, sample_count) END AS minimum_samples FROM {_target_sql(_bounds_sql())}""")
+def _(t):
+    return Q.target_results(*_rule_rows(t)).select("domain", "target", "sample_count", "valid_rows", "unique_items", "sample_success", F.col("minimum_samples").cast("long").alias("minimum_samples"))
+
+
+@query("f12_sample_results", f"""SELECT domain || '#' || CAST(CAST(floor(pk / 1000) AS BIGINT) AS VARCHAR) AS raw_page_id, 'listing' AS target, 'listing' AS page_type, count(*) AS row_count, count(*) FILTER ({_OK_PRICE}) AS valid_rows, round(count(*) FILTER ({_OK_PRICE}) / count(*), 3) AS coverage FROM {_bounds_sql()} GROUP BY 1
+    UNION ALL SELECT raw_page_id, 'product_detail', CASE WHEN {_UNDECIDED} THEN 'unknown' ELSE 'product_detail' END, 1, CASE WHEN {_OK_PRICE} THEN 1 ELSE 0 END, CASE WHEN {_OK_PRICE} THEN 1.0 ELSE 0.0 END FROM {_bounds_sql()}""")
 def _(t):
-    return Q.target_results(*_rule_rows(t)).select("domain", "target", "sample_count", "valid_rows", "unique_items", "sample_success")
+    return Q.sample_results(*_rule_rows(t)).drop("domain")
 
 
 _PASSED = "sample_count >= 1 AND valid_rows >= CASE target WHEN 'listing' THEN 2 ELSE 1 END AND good / sample_count >= 0.8"
@@ -422,7 +447,7 @@ _VERDICTS = f"""(SELECT domain, {_SCORE} AS score, bool_and({_PASSED}) AND {_SCO
 
 def _verdicts(t):
     rows, samples = _rule_rows(t)
-    return Q.rule_verdicts(Q.target_results(rows, samples), Q.old_price_consistency(rows))
+    return Q.rule_verdicts(Q.target_results(rows, samples), Q.rule_metrics(rows))
 
 
 @query("f14_rule_verdicts", f"SELECT domain, score, accepted, passed FROM {_VERDICTS}")
@@ -430,6 +455,13 @@ def _(t):
     return _verdicts(t).select("domain", "score", "accepted", F.array_join("passed_targets", ",").alias("passed"))
 
 
+# A listing names its items by URL, a detail page without one in its rule by name.
+@query("f14_rule_metrics", f"""SELECT domain, count(*) FILTER ({_OK_PRICE}) * 2 AS valid_products, round(1 - least(1.0, count(*) FILTER ({_OK_PRICE}) * 2 / 5), 3) AS duplicate_ratio, median(price_numeric) FILTER ({_OK_PRICE}) AS median_price,
+    round((3 * count(*) + 2 * count(*) FILTER ({_OK_PRICE})) / (5 * count(*)), 3) AS required_coverage FROM {_bounds_sql()} GROUP BY domain""")
+def _(t):
+    return _verdicts(t).select("domain", "valid_products", "duplicate_ratio", "median_price", "required_coverage")
+
+
 @query("j7_rule_reuse", f"SELECT domain, passed FROM {_VERDICTS} WHERE accepted")
 def _(t):
     from ..operators.lifecycle import reused_rules
@@ -498,6 +530,20 @@ def _(t):
     return S.job_files(metas, outputs, t.runs.filter("status = 'failed'").select(F.col("run_id").alias("job_id"))).select("id", "status")
 
 
+@query("a10_job_files", "SELECT 'j' || CAST(sk AS VARCHAR) || 'x' AS id, name AS source, CASE WHEN sk % 5 = 0 THEN 'Failed' WHEN sk % 2 = 0 THEN 'Completed' ELSE 'Pending' END AS status FROM sources WHERE sk % 7 <> 0")
+def _(t):
+    place = work_folder(t.spark, "jobs")
+    k = F.col("sk")
+    job = F.concat(F.lit("j"), k.cast("string"), F.lit("x"))
+    meta = F.when(k % 7 == 0, "{ no file facts").otherwise(F.to_json(F.struct(F.col("name").alias("domain"))))
+    files = t.sources.select(F.explode(F.array_compact(F.array(
+        F.struct(F.concat(F.lit("raw/"), "domain", F.lit("/"), job, F.lit(".meta.json")).alias("path"), meta.alias("text")),
+        F.when(k % 5 == 0, F.struct(F.concat(F.lit("raw/"), "domain", F.lit("/"), job, F.lit(".error")).alias("path"), F.lit("x").alias("text"))),
+        F.when(k % 2 == 0, F.struct(F.concat(F.lit("outputs/out_"), job, F.lit("_2024.json")).alias("path"), F.lit("[]").alias("text")))))).alias("f")).select("f.*")
+    S.write_named_files(files, place)
+    return S.scan_jobs(t.spark, f"{place}/raw", f"{place}/outputs").select("id", "source", "status")
+
+
 @query("a11_rule_files", "SELECT domain, '.' || CAST(sk % 7 AS VARCHAR) AS item, CAST(1 + sk % 2 AS INTEGER) AS fields FROM sources WHERE sk % 3 <> 0")
 def _(t):
     place = work_folder(t.spark, "rules")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import constants as K
 from ..functions.ids import evidence_hash
@@ -12,6 +13,8 @@ from ..operators import quality as Q
 from ..sources import exports as X
 from ..sources import files as S
 from ..sources import upsert as U
+from ..sources.keyed import KeyedTable
+from ..streaming.run import work_folder
 from . import ansi as A
 from .registry import query
 from .resolution_ import CANONICAL, canonical
@@ -334,6 +337,16 @@ def _(t):
     return M.side_by_side(daily.agg(F.count("*").alias("daily_rows"), F.sum("observation_count").alias("compacted")), kept.agg(F.count("*").alias("kept")))
 
 
+@query("l2_daily_table", _DAILY.format(where="observed_at < TIMESTAMP '2000-01-01' - INTERVAL 90 DAY"))
+def _(t):
+    """Two compactions into one table, the second with observations that came late, and the second once more."""
+    table = KeyedTable(t.spark, work_folder(t.spark, "daily"), StructType.fromDDL(L.DAY_SUMMARY), ["product_id", "date"], buckets=8)
+    late = F.pmod(F.xxhash64("observation_id"), F.lit(3)) == 0
+    for run, part in ((1, ~late), (2, late), (2, late)):
+        L.compact_into(table, t.observations.filter(part), _as_of("2000-01-01"), run)
+    return L.as_daily(table.read()).select(*_DAY_FIELDS).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
 @query("l3_backfill", "SELECT product_id, CASE WHEN pk % 4 = 0 OR pk % 5 = 0 OR pk % 6 = 0 THEN 'legacy' ELSE 'crawled' END AS data_origin, CASE WHEN pk % 4 = 0 OR pk % 5 = 0 OR pk % 6 = 0 THEN 'NOT_APPLICABLE' ELSE 'FOUND' END AS address_status, CASE WHEN pk % 5 <> 0 THEN store_name END AS store_address, 0 AS store_ids FROM products")
 def _(t):
     pk = F.col("pk")

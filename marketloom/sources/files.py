@@ -182,18 +182,55 @@ def job_files(metas: DataFrame, outputs: DataFrame, errors: DataFrame) -> DataFr
         F.col("modified_at").alias("timestamp"))
 
 
-def scan_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """Jobs of a folder tree of ``<id>.meta.json``, ``<id>.error`` and output ``<id>*.json`` files."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    named = listing.withColumn("file", name)
-    metas = named.filter(F.col("file").endswith(".meta.json")).select(
-        F.regexp_replace("file", r"\.meta\.json$", "").alias("job_id"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("source"),
-        F.col("modificationTime").alias("modified_at"))
-    outputs = named.filter(F.col("file").endswith(".json") & ~F.col("file").endswith(".meta.json")).select(
-        F.regexp_replace("file", r"\.json$", "").alias("job_id"))
-    errors = named.filter(F.col("file").endswith(".error")).select(F.regexp_replace("file", r"\.error$", "").alias("job_id"))
-    return job_files(metas, outputs, errors)
+def scan_jobs(spark: SparkSession, raw: str, outputs: str | None = None, limit: int | None = None) -> DataFrame:
+    """Jobs of a folder tree of ``<id>.meta.json`` files, newest first with a ``limit``.
+
+    The source is the ``domain`` a meta file names or else its folder; a meta file that is no JSON object is no job. A job has failed
+    if ``<id>.error`` lies beside its meta file, and is complete if the name of an output file holds its id anywhere.
+    Only meta files are opened; the other files are known by the listing. ``outputs`` defaults to ``raw``.
+    """
+    decoded = lambda c: F.url_decode(F.replace(F.regexp_replace(c, "^file:/+", "/"), F.lit("+"), F.lit("%2B"))).alias("path")
+    tree = lambda reader, pattern: reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    # A scan leaves out empty files, which an error mark may be, so the names come from Spark's own index of the folder.
+    listed = lambda folder, pattern: spark.createDataFrame(
+        [(name,) for name in tree(spark.read.format("binaryFile"), pattern).load(folder).inputFiles()], "path string").select(decoded("path"))
+    stem = lambda suffix: F.regexp_replace("file", suffix, "")
+    named = lambda df: df.withColumns({"file": F.regexp_extract("path", r"([^/]+)$", 1), "folder": F.regexp_extract("path", r"^(.*)/[^/]+$", 1)})
+    metas = tree(spark.read, "*.meta.json").text(raw, wholetext=True).select(
+        "value", decoded("_metadata.file_path"), F.col("_metadata.file_modification_time").alias("modified_at"))
+    domain = F.get_json_object("value", "$.domain")
+    metas = named(metas.filter(F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{"))).select(
+        stem(r"\.meta\.json$").alias("job_id"), "folder", F.coalesce(domain, F.regexp_extract("folder", r"([^/]+)$", 1)).alias("source"), "modified_at")
+    errors = named(listed(raw, "*.error")).select(stem(r"\.error$").alias("job_id"), "folder").distinct().withColumn("failed", F.lit(True))
+    # An id inside a name: the name's pieces of the lengths that ids have, which file systems keep under 256.
+    lengths = sorted(r[0] for r in metas.select(F.length("job_id")).distinct().collect())
+    files = named(listed(outputs or raw, "*.json")).filter(~F.col("file").endswith(".meta.json")).select("file").distinct()
+    none = F.array().cast("array<string>")
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("file") - (n - 1))
+        return F.when(F.length("file") >= n, F.transform(starts, lambda i: F.substr(F.col("file"), i, F.lit(n)))).otherwise(none)
+
+    done = files.select(F.explode(F.flatten(F.array(none, *[pieces(n) for n in lengths]))).alias("job_id")).distinct().withColumn("done", F.lit(True))
+    jobs = metas.join(errors, ["job_id", "folder"], "left").join(done, "job_id", "left").select(
+        F.col("job_id").alias("id"), F.col("job_id").alias("filename"), "source",
+        F.when(F.col("failed"), "Failed").when(F.col("done"), "Completed").otherwise("Pending").alias("status"), F.col("modified_at").alias("timestamp"))
+    return jobs if limit is None else jobs.orderBy(F.desc("timestamp"), "id").limit(limit)
+
+
+def write_named_files(files: DataFrame, folder: str) -> None:
+    """Write one file per row (path below ``folder``, text), in the tasks; a task that runs again writes the same files."""
+    base = folder if "://" in folder or not folder.startswith("file:") else folder[len("file:"):]
+
+    def run(rows) -> None:
+        from pyarrow import fs
+        store, root = fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base)
+        for row in rows:
+            store.create_dir(f"{root}/{row.path}".rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(f"{root}/{row.path}") as out:
+                out.write(row.text.encode())
+
+    files.select("path", "text").foreachPartition(run)
 
 
 def write_json_lines(results: DataFrame, folder: str) -> None:

@@ -53,45 +53,78 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class LastMetrics(StatefulProcessor):
-    """Keeps each source's last accepted metrics and pairs every new run with them."""
+    """Pairs each run of a source, in order of time, with the source's last accepted metrics.
 
-    SCHEMA = "run_id string, valid_products long, required_coverage double, brand_coverage double, duplicate_ratio double, median_price double"
+    A run waits in a list until the watermark has passed its time, so runs that arrive out of order, also in later
+    micro-batches, are paired in order. Of a source only the runs inside the allowed lateness are held.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.SCHEMA)
+    LAST = "run_id string, valid_products long, required_coverage double, brand_coverage double, duplicate_ratio double, median_price double"
+    WAITING = f"run_at timestamp, quarantined boolean, {LAST}"
+    NAMES = ["run_id", *METRICS]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("run_id")
-        names = ["run_id", *METRICS]
-        last = tuple(self.last.get()) if self.last.exists() else None
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.LAST)
+        self.waiting = handle.getListState("waiting", self.WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = set()
+        for frame in rows:
+            frame = frame[["run_at", "quarantined", *self.NAMES]].astype(object)
+            self.waiting.appendList([tuple(None if pd.isna(v) else v for v in row) for row in frame.itertuples(index=False)])
+            times |= {_millis(t) for t in frame["run_at"]}
+        known = set(self.handle.listTimers())
+        for time in times - known:
+            self.handle.registerTimer(time)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(w) for w in self.waiting.get()]
+        ready = sorted((w for w in waiting if _millis(w[0]) <= passed), key=lambda w: (w[0], w[2]))
+        if not ready:
+            return  # An earlier timer of this micro-batch has released them.
+        late = [w for w in waiting if _millis(w[0]) > passed]
+        if late:
+            self.waiting.put(late)
+        else:
+            self.waiting.clear()
+        last = tuple(self.last.get()) if self.last.exists() else (None,) * len(self.NAMES)
         out = []
-        for row in frame.to_dict("records"):
-            before = last or (None,) * len(names)
-            out.append({"source_id": key[0], **{n: row[n] for n in names}, **{f"previous_{n}": b for n, b in zip(names, before)}})
-            if not row["quarantined"]:
-                last = tuple(None if pd.isna(row[n]) else row[n] for n in names)
-        if last:
+        for run_at, quarantined, *values in ready:
+            out.append((key[0], run_at, *values, *last))
+            if not quarantined:
+                last = tuple(values)
+        if last[0] is not None:
             self.last.update(last)
-        yield pd.DataFrame(out)
+        yield pd.DataFrame(out, columns=["source_id", "run_at", *self.NAMES, *[f"previous_{n}" for n in self.NAMES]]).astype(
+            {f"{p}valid_products": "Int64" for p in ("", "previous_")})
 
     def close(self) -> None:
         pass
 
 
-_PAIRED = ", ".join(["source_id string", *[f"{p}{c.strip()}" for p in ("", "previous_") for c in LastMetrics.SCHEMA.split(",")]])
+def _millis(time) -> int:
+    """Milliseconds of a time, rounded up, so that a timer never fires before it."""
+    return -(-pd.Timestamp(time).value // 1_000_000)
+
+
+_PAIRED = ", ".join(["source_id string", "run_at timestamp", *[f"{p}{c.strip()}" for p in ("", "previous_") for c in LastMetrics.LAST.split(",")]])
 
 
-def drift_stream(runs: DataFrame) -> DataFrame:
-    """Drift warnings of a stream of run metrics (source_id, run_id, metrics, quarantined).
+def drift_stream(runs: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """Drift warnings of a stream of run metrics (source_id, run_id, run_at, metrics, quarantined).
 
-    A row is one run of one source, so a micro-batch holds few rows per key. The state operator
+    A run is paired once no run that is at most ``lateness`` older can still come; later ones are dropped, and so is a
+    run without a time, which has no place in the order. Runs of one time go by their id. The state operator
     needs the RocksDB state store, which is set here.
     """
     runs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # The operator's set-up process does not see shipped packages, so the class travels by value.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    paired = runs.groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=LastMetrics(), outputStructType=_PAIRED, outputMode="Append", timeMode="None")
+    paired = runs.filter("run_at IS NOT NULL").withWatermark("run_at", lateness).groupBy("source_id").transformWithStateInPandas(
+        statefulProcessor=LastMetrics(), outputStructType=_PAIRED, outputMode="Append", timeMode="EventTime")
     before = F.when(F.col("previous_run_id").isNotNull(), metric_struct("previous_"))
     return paired.withColumn("warnings", drift_warnings(metric_struct(), before))
 

@@ -1,7 +1,10 @@
 import json
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marketloom.operators import analytics as O
 from marketloom.operators import common as M
@@ -11,8 +14,9 @@ from marketloom.operators import quality as Q
 from marketloom.sources import exports as X
 from marketloom.sources import files as S
 from marketloom.sources import upsert as U
+from marketloom.sources.keyed import KeyedTable
 from marketloom.streaming import jobs as T
-from marketloom.streaming.run import drain
+from marketloom.streaming.run import drain, in_batches
 
 NOW = "2024-06-01"
 
@@ -98,6 +102,38 @@ def test_output_rule_and_job_files(spark, tmp_path):
         (jobs / "a.vn" / name).write_text("{}")
     got = {r["id"]: (r["status"], r["source"]) for r in S.scan_jobs(spark, str(jobs)).collect()}
     assert got == {"j1": ("Completed", "a.vn"), "j2": ("Failed", "a.vn"), "j3": ("Pending", "a.vn")}
+    other = tmp_path / "raw2"
+    S.write_named_files(spark.createDataFrame([("raw/b/k 1+.meta.json", '{"domain": "shop"}'), ("raw/c/k 1+.meta.json", "{}"), ("raw/c/k 1+.error", ""), ("raw/c/bad.meta.json", "{"),
+                                               ("raw/c/list.meta.json", "[1]"), ("out/x_k 1+_2.json", "")], "path string, text string"), str(other))
+    got = sorted((r["id"], r["status"], r["source"]) for r in S.scan_jobs(spark, f"{other}/raw", f"{other}/out").collect())
+    assert got == [("k 1+", "Completed", "shop"), ("k 1+", "Failed", "c")]
+    assert S.scan_jobs(spark, f"{other}/raw", f"{other}/out", limit=1).count() == 1
+
+
+def test_sections_fall_back_to_unknown_pages(spark):
+    pages = spark.createDataFrame([("a", "1", "listing"), ("a", "2", "unknown"), ("b", "3", "unknown"), ("c", "4", "product_detail"), ("d", "5", "unknown")], "domain string, raw_page_id string, class string")
+    rules = spark.createDataFrame([("a", "listing"), ("a", "product_detail"), ("a", "stores"), ("b", "stores"), ("c", "listing"), ("e", "listing")], "domain string, target string")
+    got = sorted((r["domain"], r["target"], r["raw_page_id"], r["class"]) for r in Q.sample_targets(pages, rules).collect())
+    want = [("a", "listing", "1", "listing"), ("a", "product_detail", "2", "unknown"), ("a", "stores", None, None), ("b", "stores", "3", "unknown"), ("c", "listing", None, "unknown"), ("e", "listing", None, "unknown")]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and got[1][3] == got[3][3] == "unknown"
+    none = spark.createDataFrame([], "domain string, raw_page_id string, target string, record map<string,string>")
+    results = Q.target_results(none, Q.sample_targets(pages, rules))
+    assert {(r["domain"], r["target"]): r["sample_count"] for r in results.collect()}[("c", "listing")] == 0
+    assert not any(r["accepted"] for r in Q.rule_verdicts(results, Q.rule_metrics(none)).collect())
+
+
+def test_median_of_even_and_odd_groups(spark):
+    rng = random.Random(4)
+    groups = {k: [rng.choice([rng.randrange(1, 9), round(rng.uniform(1000, 1001), 4), rng.randrange(1, 10 ** 7)]) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 501), ("d", 500), (None, 4))}
+    rows = [(k, float(v)) for k, values in groups.items() for v in [*values, 0, -5]] + [("e", None), ("f", 0.0)]
+    got = {r["k"]: r["median_price"] for r in Q.grouped_median(spark.createDataFrame(rows, "k string, price_numeric double"), ["k"]).collect()}
+    assert got == {k: pytest.approx(statistics.median(v)) for k, v in groups.items()}
+
+
+def test_drafts_need_a_product_target(spark):
+    rows = [("1", "stores", True, ["brand"]), ("1", "listing", False, ["price", "url"]), ("2", "product_detail", True, []), ("3", "stores", True, [])]
+    got = {r["raw_page_id"]: (r["accepted"], r["accepted_targets"], r["warnings"]) for r in Q.draft_verdicts(spark.createDataFrame(rows, "raw_page_id string, target string, required_pass boolean, missing_recommended array<string>")).collect()}
+    assert got == {"1": (False, 1, ["listing: missing price, url", "stores: missing brand"]), "2": (True, 1, []), "3": (False, 1, [])}
 
 
 def metrics(count, required, brand, duplicate, median):
@@ -183,6 +219,44 @@ def test_links_sitemaps_and_budget(spark):
     assert reach() == [("0", 0), ("1", 1), ("2", 1), ("3", 2)] and reach(page_budget=2) == [("0", 0), ("2", 1)]
 
 
+def test_full_roots_are_followed_no_further(spark):
+    rng = random.Random(9)
+    edges = sorted({(str(rng.randrange(40)), str(rng.randrange(40)), rng.randrange(4)) for _ in range(140)})
+    seeds = [("r", "0"), ("r", "1"), ("q", "2"), ("many", "3"), ("many", "4"), ("many", "5"), ("many", "6")]
+    budget, want = 3, set()
+    for root in {r for r, _ in seeds}:
+        level, seen = {u: 0 for r, u in seeds if r == root}, {}
+        for depth in range(4):
+            order = sorted(level, key=lambda u: (-level[u], u))[: budget - len(seen)]
+            seen |= {u: depth for u in order}
+            level = {v: max(s for a, b, s in edges if b == v and a in order) for u in order for a, v, _ in edges if a == u and v not in seen}
+        want |= {(root, u, d) for u, d in seen.items()}
+    got = P.expand_frontier(spark.createDataFrame(seeds, "root string, url string"), spark.createDataFrame(edges, "url string, link string, score int"), 3, budget)
+    assert {(r["root"], r["url"], r["depth"]) for r in got.collect()} == want
+
+
+def test_compaction_again_adds_nothing(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "daily"), StructType.fromDDL(L.DAY_SUMMARY), ["product_id", "date"], 4)
+    row = lambda n, day, price: (f"o{n}", "p", price, f"2024-01-{day:02} 0{n}:00:00", "d", "s", None)
+    make = lambda rows: spark.createDataFrame(rows, "observation_id string, product_id string, price_numeric double, observed_at string, domain string, source_id string, currency string").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    first, late = make([row(1, 1, 10.0), row(2, 1, 20.0), row(3, 2, 0.0), row(4, 30, 5.0), ("x", None, 1.0, "2024-01-01", "d", "s", None)]), make([row(5, 1, 30.0), row(6, 2, 7.0)])
+    as_of = F.lit("2024-02-03").cast("timestamp")
+    assert [r["observation_id"] for r in L.compact_into(table, first, as_of, 1, 20).collect()] == ["o4"]
+    for _ in range(2):
+        L.compact_into(table, late, as_of, 2, 20)
+    got = {r["date"].day: (r["min_price"], r["max_price"], r["avg_price"], r["latest_price"], r["observation_count"], r["currency"]) for r in L.as_daily(table.read()).collect()}
+    assert got == {1: (10.0, 30.0, 20.0, 30.0, 3, "VND"), 2: (7.0, 7.0, 7.0, 7.0, 1, "VND")}
+
+
+def test_runs_are_paired_in_order_of_time(spark):
+    rows = [(0, "s", "r2", 2, 20, False), (0, "s", "r4", 4, 40, False), (1, "s", "r3", 3, 9, True), (1, "s", "r1", 1, 30, False), (1, "t", "u1", 5, 7, False), (2, "s", "r9", 28, 1, False), (2, "t", None, None, 1, False)]
+    frame = spark.createDataFrame(rows, "part int, source_id string, run_id string, day int, valid_products long, quarantined boolean").withColumn("run_at", F.expr("TIMESTAMP '2024-01-01' + make_dt_interval(day)"))
+    frame = frame.drop("day").withColumns({c: F.lit(1.0) for c in Q.METRICS[1:]})
+    got = drain(T.drift_stream(in_batches(frame, "part", 3, "order"), "10 days"), "order").collect()
+    assert {(r["run_id"], r["previous_run_id"]) for r in got} == {("r1", None), ("r2", "r1"), ("r3", "r2"), ("r4", "r2"), ("u1", None)}
+    assert [r["warnings"][0] for r in got if r["run_id"] == "r3"] == ["product count dropped from 20 to 9"]
+
+
 def test_newest_offers_ignore_late_rows(spark):
     current = spark.sql("SELECT 'a' AS offer_id, 5.0D AS price_numeric, TIMESTAMP '2024-01-05' AS updated_at")
     arrived = spark.sql("SELECT * FROM VALUES ('a', 1.0D, TIMESTAMP '2024-01-01'), ('b', 2.0D, TIMESTAMP '2024-01-01'), ('b', 3.0D, TIMESTAMP '2024-01-02') AS t(offer_id, price_numeric, updated_at)")
