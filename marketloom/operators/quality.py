@@ -190,11 +190,16 @@ def sample_targets(samples: DataFrame, targets: DataFrame) -> DataFrame:
     return tried.join(samples.select("domain", "class", "raw_page_id"), ["domain", "class"], "left").select("domain", "raw_page_id", "target", "class")
 
 
-def _checked_rows(rows: DataFrame) -> DataFrame:
-    """Rule rows (domain, raw_page_id, target, record) with ``passes`` of the ``needed`` checks, ``valid`` and the ``item`` they name."""
+def checked_rows(rows: DataFrame) -> DataFrame:
+    """Rule rows (domain, raw_page_id, target, record) with ``passes`` of the ``needed`` checks, ``valid`` and the ``item`` they name.
+
+    The figures below check rows that are not checked yet; where several of them are wanted, check once and write the rows.
+    """
+    if "checks" in rows.columns:
+        return rows
     entry = {n: F.try_element_at("record", F.lit(n)) for n in _RULE_COLUMNS}
-    rows = rows.withColumn("_c", row_checks(entry, F.col("domain"), F.col("target")))
-    c, listing, store = F.col("_c"), F.col("target") == "listing", F.col("target") == "stores"
+    rows = rows.withColumn("checks", row_checks(entry, F.col("domain"), F.col("target")))
+    c, listing, store = F.col("checks"), F.col("target") == "listing", F.col("target") == "stores"
     passes = c["product_name"].cast("int") + c["price"].cast("int") + F.when(listing, c["product_url"].cast("int")).otherwise(0)
     rows = rows.withColumns({"passes": F.when(store, valid_store(entry).cast("int")).otherwise(passes), "needed": F.when(store, 1).when(listing, 3).otherwise(2)})
     key_text = F.when(store, X.first_present(entry["store_address"], entry["store_url"], entry["store_name"])).otherwise(
@@ -204,7 +209,7 @@ def _checked_rows(rows: DataFrame) -> DataFrame:
 
 def sample_results(rows: DataFrame, samples: DataFrame) -> DataFrame:
     """Per page tried: rows found, valid rows and their share. ``samples`` as :func:`sample_targets` gives them."""
-    found = _checked_rows(rows).groupBy("domain", "target", "raw_page_id").agg(F.count("*").alias("row_count"), F.count_if("valid").alias("valid_rows"))
+    found = checked_rows(rows).groupBy("domain", "target", "raw_page_id").agg(F.count("*").alias("row_count"), F.count_if("valid").alias("valid_rows"))
     tried = samples.filter("raw_page_id IS NOT NULL").join(found, ["domain", "target", "raw_page_id"], "left")
     n, good = F.coalesce("row_count", F.lit(0)), F.coalesce("valid_rows", F.lit(0))
     return tried.select("domain", "target", "raw_page_id", F.col("class").alias("page_type"), n.alias("row_count"), good.alias("valid_rows"),
@@ -217,7 +222,7 @@ def target_results(rows: DataFrame, samples: DataFrame) -> DataFrame:
     ``rows``: domain, raw_page_id, target and a record map, one per extracted row. ``samples``:
     domain, raw_page_id, target and class, one per page tried (:func:`sample_targets`). Two-level: page, then target.
     """
-    rows = _checked_rows(rows)
+    rows = checked_rows(rows)
     store = F.col("target") == "stores"
     has = {n: F.count_if(F.col("valid") & X.blank_to_null(F.try_element_at("record", F.lit(n))).isNotNull()).alias(f"has_{n}")
            for n in ("product_name", "price", "product_url", "brand", *K.STORE_FIELDS)}
@@ -247,11 +252,11 @@ def rule_metrics(rows: DataFrame) -> DataFrame:
 
     An item that listing and detail pages both show counts once. The old price is sound in a domain without any.
     """
-    rows = _checked_rows(rows).select("domain", F.when(F.col("target") == "stores", "stores").otherwise("products").alias("kind"), "valid", "item", "record", "_c")
+    rows = checked_rows(rows).select("domain", F.when(F.col("target") == "stores", "stores").otherwise("products").alias("kind"), "valid", "item", "record", "checks")
     entry = lambda n: X.blank_to_null(F.try_element_at("record", F.lit(n)))
     product = F.col("valid") & (F.col("kind") == "products")
     flat = rows.filter("valid").withColumn("price_numeric", F.when(product, X.clean_price(F.try_element_at("record", F.lit("price"))))).withColumn(
-        "sound", F.when(product & entry("old_price").isNotNull(), F.col("_c")["old_price"].cast("double")))
+        "sound", F.when(product & entry("old_price").isNotNull(), F.col("checks")["old_price"].cast("double")))
     distinct = flat.filter("item <> ''").groupBy("domain", "kind", "item").agg(F.count("*").alias("_n")).groupBy("domain").agg(
         F.count_if(F.col("kind") == "products").alias("product_items"), F.count_if(F.col("kind") == "stores").alias("store_items"))
     figures = flat.groupBy("domain").agg(

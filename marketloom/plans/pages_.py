@@ -11,7 +11,6 @@ from ..operators import extraction as E
 from ..operators import pages as P
 from ..operators import payloads as D
 from ..operators import quality as Q
-from ..session import cut_lineage
 from ..sources import files as S
 from ..streaming.run import work_folder
 from . import ansi as A
@@ -406,8 +405,11 @@ def _rule_rows(t):
     samples = Q.sample_targets(pages.select("domain", "raw_page_id", "class"), targets)
     sections = F.array(*[F.struct(F.lit(n).alias("target"), F.transform(E.finished_rows(F.col(n)), lambda r: r["record"]).alias("records")) for n in ("listing", "product_detail")])
     rows = read.select("domain", "raw_page_id", F.explode(sections).alias("s")).select("domain", "raw_page_id", F.col("s")["target"].alias("target"), F.explode(F.col("s")["records"]).alias("record"))
-    # Every figure below goes over these rows: read the pages once.
-    return cut_lineage(rows.join(samples.select("raw_page_id", "target"), ["raw_page_id", "target"], "left_semi")), samples
+    # Every figure below goes over these rows: read the pages once and write what they hold.
+    place = work_folder(t.spark, "rule_rows")
+    rows = Q.checked_rows(rows.join(samples.select("raw_page_id", "target"), ["raw_page_id", "target"], "left_semi"))
+    rows.write.parquet(place)
+    return t.spark.read.schema(rows.schema).parquet(place), samples
 
 
 _OK_PRICE = "coalesce(price_numeric BETWEEN low AND high, false)"
