@@ -2,18 +2,28 @@
 
 A passage of m bytes with at most e edits still shares ``m + 1 - q (e + 1)`` of its q-grams with the
 benchmark item, and all of them lie on diagonals (place in the text less place in the item) that differ
-by at most e. So, per document: all q-grams are looked up in the items' q-grams, the hits are counted per
-item in bands of 2 (e + 1) diagonals that overlap by half, and only bands that reach the bound are kept;
-a banded alignment of the item with the region then gives the least number of edits or refutes it. The
-filter loses nothing within the edit budget, and the alignment confirms every hit.
-
-Texts are read whole, once, and not moved. The items travel to the tasks in blocks of at most
-``BLOCK_BYTES`` of text; a larger benchmark takes more passes, never a larger block. Case of A-Z and the
-kind of white space do not count as edits.
-
-Defined results: items that are null or shorter than ``MIN_ITEM_BYTES`` are no evidence and not sought; an
-item occurring several times in the table is sought once under its smallest id; a null item id is
-reported as null; a null or empty text has no hits; equal distances are reported at the first place.
+by at most e. So q-grams shared by a text and an item are counted per item in bands of 2 (e + 1) diagonals
+that overlap by half, and only bands that reach the bound are kept; a banded alignment of the item with the
+region then gives the least number of edits or refutes it. The filter loses nothing within the edit budget,
+and the alignment confirms every hit.
+
+Which texts and items are counted at all is a join. An item is cut into pieces, each of which gives one seed: its q-gram
+that the benchmark holds least often. At least ``pieces - e`` pieces stay whole, so a text that holds the item
+has as many of its seeds. Texts are read once, whole, whatever the size of the benchmark: a Bloom filter of at most
+``FILTER_BITS`` tells which q-grams may be seeds, and those alone are joined with the table of seeds. Only texts with
+enough seeds of an item move, once each, however many rows hold them; the items that one text meets are
+worked on in parts of ``BLOCK_BYTES``. A benchmark too large for the filter lets more q-grams through to the join and
+changes no result. Case of A-Z and the kind of white space do not count as edits.
+
+An item of over twice ``WINDOW_BYTES`` is also sought by windows of that length that overlap by half, each with a budget
+of its own, so that a text that quotes a part of it is found.
+
+Defined results: null and empty items are not sought; an item of fewer than Q bytes is found in texts that are
+nothing else; an item of fewer than 2 Q bytes is found without edits only; an item
+occurring several times in the table is sought once under its smallest id; a null item id is
+reported as null; a null or empty text has no hits; equal distances are reported at the first place; an item
+found whole is not reported by its windows, and of several windows the one with the fewest edits is, then the first.
+Rows that are repeated have their hits each.
 """
 
 from __future__ import annotations
@@ -24,15 +34,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, mixed, parts, slices, texts
+from ..session import broadcast_if_small
+from .common import batches_of, free, mixed, slices, stored, texts
 
 Q = 12
 EDIT_RATE = 0.05
-MIN_ITEM_BYTES = 24
+PIECE_BYTES = 16
+WINDOW_BYTES = 512
 BLOCK_BYTES = 2 << 20
 SLICE_BYTES = 1 << 18
+FILTER_BITS = 1 << 29
+CHUNK_BITS = 1 << 16
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
-HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+PASSAGE = T.StructType([T.StructField("nth", T.IntegerType()), T.StructField("passage", T.BinaryType()), T.StructField("need", T.IntegerType()), T.StructField("pieces", T.ArrayType(T.ArrayType(T.LongType())))])
+_HIT = pa.struct([("item_id", pa.int64()), ("item", pa.string()), ("part", pa.bool_()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+HITS = "array<struct<item_id:bigint,item:string,part:boolean,edits:int,start:bigint,end:bigint>>"
 
 
 def folded(text: bytes | None) -> bytes:
@@ -93,7 +109,7 @@ def aligned(item: bytes, region: bytes, low: int, high: int, most: int) -> tuple
 
 
 class Items:
-    """One block of items with their q-grams."""
+    """Some items, each with an id of any kind, and their q-grams."""
 
     def __init__(self, ids: list, passages: list[bytes], rate: float):
         self.ids, self.passages = ids, passages
@@ -115,9 +131,6 @@ class Items:
             self._there[(self._gram >> np.uint64(64 - self._bits)).astype(np.int64)] = True
         return self
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
-
     def regions(self, run: list[bytes]) -> dict[tuple[int, int], list[tuple[int, int]]]:
         """(text, item) -> ranges of starts within the text where the shared q-grams reach the bound."""
         lengths = np.array([len(t) for t in run])
@@ -156,9 +169,11 @@ class Items:
 
     def hits(self, run: list[bytes]) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in run]
-        if not len(self._gram):
-            return out
-        for (doc, i), ranges in self.regions(run).items():
+        for i, passage in enumerate(self.passages):
+            if 0 < len(passage) < Q:
+                for doc in (d for d, text in enumerate(run) if text == passage):
+                    out[doc].append({"item_id": self.ids[i], "edits": 0, "start": 0, "end": len(passage)})
+        for (doc, i), ranges in (self.regions(run) if len(self._gram) else {}).items():
             most, best = int(self.budget[i]), None
             for low, high in ranges:
                 # Starts may lie off the counted diagonals by as many bytes as the budget inserts before the first shared q-gram.
@@ -172,39 +187,150 @@ class Items:
         return [sorted(h, key=lambda x: (x["start"], x["end"])) for h in out]
 
 
-def blocks(items: DataFrame, key: str = "item_id", text: str = "text", rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES):
-    """The benchmark in blocks of bounded size, one at a time on the driver."""
-    kept = items.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).filter(F.octet_length("t") >= MIN_ITEM_BYTES).groupBy("t").agg(F.min("id").alias("id"))
-    total = kept.agg(F.sum(F.octet_length("t")).alias("b")).first().b or 0
-    n = parts(total, block_bytes / 2)
-    for i in range(n):
-        rows = kept.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == i).orderBy("id", "t").collect() if total else []
-        yield Items([r.id for r in rows], [folded(r.t.encode()) for r in rows], rate)
+def signed(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.int64)
 
 
-def hits_of(text: Column, block: Items) -> Column:
-    """array<struct<item_id, edits, start, end>> of a text column: the items of a block found in it, with byte places."""
-    def searched(array: pa.Array) -> pa.Array:
-        items, found = block.opened(), []
-        for _, run in slices(map(folded, texts(array)), SLICE_BYTES):
-            found += items.hits(run)
-        return pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])))
+def whole(data: bytes) -> np.ndarray:
+    """The one seed of data with fewer than Q bytes."""
+    return mixed(np.array([int.from_bytes(data, "little") % (1 << 64) ^ len(data) << 56], dtype=np.uint64))
 
-    return F.arrow_udf(searched, HITS).asNondeterministic()(text)
 
+def passages_of(item: bytes, window: int = WINDOW_BYTES) -> list[bytes]:
+    """The item, then its windows if it is longer than two of them."""
+    if len(item) <= 2 * window:
+        return [item]
+    last = len(item) - window
+    return [item] + [item[i:i + window] for i in (*range(0, last, max(1, window // 2)), last)]
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(key, item_id, edits, start, end): a row for every item found in a document."""
-    out = None
-    for block in blocks(items, **options):
-        found = docs.select(F.col(f"`{key}`").alias(key), F.inline(hits_of(F.col(f"`{text}`"), block)))
-        out = found if out is None else out.unionByName(found)
+
+def pieces_of(passage: bytes, rate: float = EDIT_RATE) -> tuple[int, list[np.ndarray]]:
+    """(seeds that a text must have, the q-grams of every piece): at most one piece is lost to an edit."""
+    if len(passage) < Q:
+        return 1, [whole(passage)]
+    edits = budget(len(passage), rate)
+    size = min(PIECE_BYTES, len(passage) // (edits + 1))
+    count, own = len(passage) // size, grams(passage)
+    return count - edits, [np.unique(own[i * size:i * size + size - Q + 1]) for i in range(count)]
+
+
+def passages(items: DataFrame, key: str = "item_id", text: str = "text", rate: float = EDIT_RATE, window: int = WINDOW_BYTES) -> DataFrame:
+    """(item_id, item, nth, passage, need, pieces): the items and their windows as a table; ``item`` stands for the text."""
+    def cut(array: pa.Array) -> pa.Array:
+        out = []
+        for data in texts(array):
+            rows = []
+            for nth, passage in enumerate(passages_of(folded(data), window)):
+                need, own = pieces_of(passage, rate)
+                rows.append({"nth": nth, "passage": passage, "need": need, "pieces": [signed(g).tolist() for g in own]})
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.struct([("nth", pa.int32()), ("passage", pa.binary()), ("need", pa.int32()), ("pieces", pa.list_(pa.list_(pa.int64())))])))
+
+    kept = items.select(F.col(f"`{key}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("t")).filter("t <> ''").groupBy("t").agg(F.min("item_id").alias("item_id"))
+    cuts = F.arrow_udf(cut, T.ArrayType(PASSAGE)).asNondeterministic()("t")
+    return kept.select("item_id", F.sha2("t", 256).alias("item"), F.inline(cuts)).withColumn("pid", F.concat_ws("-", "item", "nth"))
+
+
+def seeds(cuts: DataFrame) -> DataFrame:
+    """(seed, pid, need): for every piece of a passage its q-gram that is rarest in the benchmark."""
+    each = cuts.select("pid", "need", F.posexplode("pieces").alias("piece", "own")).select("pid", "need", "piece", F.explode("own").alias("seed"))
+    often = each.groupBy("seed").agg(F.count("*").alias("often"))
+    return each.join(often, "seed").groupBy("pid", "piece").agg(F.min(F.struct("often", "seed"))["seed"].alias("seed"), F.max("need").alias("need")).select("seed", "pid", "need")
+
+
+def seed_filter(table: DataFrame) -> np.ndarray:
+    """A Bloom filter over the seeds with two probes, as bytes. Its chunks are built in tasks; what comes to the driver is at most FILTER_BITS."""
+    count = table.count()
+    bits = min(FILTER_BITS, max(CHUNK_BITS, 1 << (64 * count).bit_length()))
+    top, low = F.shiftrightunsigned("seed", 64 - (bits.bit_length() - 1)), F.col("seed").bitwiseAND(F.lit(bits - 1))
+
+    def packed(chunk: pa.Table) -> pa.Table:
+        marks = np.zeros(CHUNK_BITS, dtype=np.uint8)
+        marks[chunk["place"].to_numpy()] = 1
+        return pa.table({"chunk": chunk["chunk"][:1], "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    places = table.select(F.explode(F.array(top, low)).alias("at")).select(F.floor(F.col("at") / CHUNK_BITS).cast("long").alias("chunk"), (F.col("at") % CHUNK_BITS).alias("place")).distinct()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for row in places.groupBy("chunk").applyInArrow(packed, "chunk long, marks binary").toLocalIterator():
+        out[row.chunk * CHUNK_BITS // 8:(row.chunk + 1) * CHUNK_BITS // 8] = np.frombuffer(row.marks, dtype=np.uint8)
+    return out
+
+
+def passing(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that may be seeds."""
+    width = (len(held) * 8).bit_length() - 1
+    there = lambda at: held[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+    first = np.flatnonzero(there((hashes >> np.uint64(64 - width)).astype(np.int64)))
+    return first[there((hashes[first] & np.uint64((1 << width) - 1)).astype(np.int64))]
+
+
+def seeds_in(run: list[bytes], held: np.ndarray) -> list[np.ndarray]:
+    """The distinct q-grams of every text that may be seeds. A text longer than a slice is read in slices that overlap by Q - 1 bytes."""
+    if len(run) == 1 and len(run[0]) > SLICE_BYTES:
+        found = [(own := grams(run[0][i:i + SLICE_BYTES + Q - 1]))[passing(held, own)] for i in range(0, len(run[0]), SLICE_BYTES)]
+        return [np.unique(np.concatenate(found))]
+    starts = np.concatenate(([0], np.cumsum([len(t) for t in run])))
+    own = grams(b"".join(run))
+    place = passing(held, own)
+    text = np.searchsorted(starts, place, side="right") - 1
+    inside = place + Q <= starts[text + 1]  # q-grams over the end of a text are none
+    place, text = place[inside], text[inside]
+    cut = np.searchsorted(text, np.arange(len(run) + 1))
+    out = [np.unique(own[place[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    for i, data in enumerate(run):
+        if 0 < len(data) < Q:
+            own_seed = whole(data)
+            out[i] = own_seed[passing(held, own_seed)]
     return out
 
 
+def found_in(docs: DataFrame, items: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, rate: float = EDIT_RATE, window: int = WINDOW_BYTES, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(tid, item_id, part, edits, start, end): a row for every item found in a text, whose SHA-256 is ``tid``."""
+    spark = docs.sparkSession
+    cuts = stored(passages(items, item_key, item_text, rate, window))
+    table = stored(seeds(cuts))
+    held = spark.sparkContext.broadcast(seed_filter(table))
+
+    def looked_up(array: pa.Array) -> pa.Array:
+        out = []
+        for _, run in slices(map(folded, texts(array)), SLICE_BYTES):
+            out += seeds_in(run, held.value)
+        ends = np.cumsum([0, *map(len, out)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(out)) if out else np.zeros(0, dtype=np.int64), pa.int64()))
+
+    def compared(array: pa.Array, meets: pa.Array) -> pa.Array:
+        out = []
+        for data, met in zip(texts(array), meets.to_pylist(), strict=True):
+            group = Items(list(range(len(met))), [m["passage"] for m in met], rate).opened()
+            (hits,) = group.hits([folded(data)])
+            out.append([{**h, "item_id": (m := met[h["item_id"]])["item_id"], "item": m["item"], "part": m["nth"] > 0} for h in hits])
+        return pa.array(out, pa.list_(_HIT))
+
+    own = F.arrow_udf(looked_up, T.ArrayType(T.LongType())).asNondeterministic()("t")
+    seen = stored(docs.select(F.col(f"`{text}`").alias("t")).withColumn("own", own).filter(F.size("own") > 0).withColumn("tid", F.sha2("t", 256)))
+    # Every piece has one seed and a text's seeds are distinct, so rows count pieces.
+    meets = seen.select("tid", "own").distinct().select("tid", F.explode("own").alias("seed")).join(broadcast_if_small(table), "seed").groupBy("tid", "pid").agg(
+        F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("tid", "pid")
+    meets = stored(meets.join(broadcast_if_small(cuts.select("pid", "item_id", "item", "nth", "passage")), "pid"))
+    load = meets.groupBy("tid").agg(F.ceil(F.sum(F.octet_length("passage")) / block_bytes).alias("blocks"))
+    work = meets.join(load, "tid").groupBy("tid", F.pmod(F.xxhash64("pid"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("item_id", "item", "nth", "passage")).alias("meets"))
+    one = seen.join(broadcast_if_small(meets.select("tid")), "tid", "left_semi").groupBy("tid").agg(F.any_value("t").alias("t"))
+    with batches_of(spark, 64):
+        hits = stored(work.join(one, "tid").select("tid", F.inline(F.arrow_udf(compared, HITS).asNondeterministic()("t", "meets"))))
+    # Windows of one item count once, and not at all where the item was found whole.
+    best = hits.groupBy("tid", "item").agg(F.min(F.struct("part", "edits", "start", "end", "item_id")).alias("hit"))
+    return stored(best.select("tid", *[F.col("hit")[c].alias(c) for c in ("item_id", "part", "edits", "start", "end")]))
+
+
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(key, item_id, edits, start, end, part): a row for every item found in a document, with byte places; ``part`` where only a window of it is there."""
+    hits = found_in(docs, items, text, **options)
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.sha2(F.col(f"`{text}`"), 256).alias("tid"))
+    return rows.join(broadcast_if_small(hits), "tid").select(F.col("k").alias(key), "item_id", "edits", "start", "end", "part")
+
+
 def leaks_removed(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose text holds an item."""
-    (hits,) = free(docs, "hits")
-    for block in blocks(items, **options):
-        docs = docs.withColumn(hits, hits_of(F.col(f"`{text}`"), block)).filter(F.size(hits) == 0).drop(hits)
-    return docs
+    """``docs`` without the rows whose text holds an item or a window of one."""
+    (tid,) = free(docs, "tid")
+    hits = found_in(docs, items, text, **options).select(F.col("tid").alias(tid)).distinct()
+    return docs.withColumn(tid, F.sha2(F.col(f"`{text}`"), 256)).join(broadcast_if_small(hits), tid, "left_anti").drop(tid)

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import odd
 from marketloom.llm import decontaminate as D
 from marketloom.llm import url_lists as U
@@ -102,6 +103,36 @@ def test_blocks_find_what_one_block_finds(spark):
     assert D.leaks_removed(docs, items, block_bytes=600).count() == 0
 
 
+def test_parts_of_long_items_and_short_items_are_found(spark):
+    long = odd.prose(500, 400)
+    item_rows = [(1, long), (2, "Yes"), (3, "a short item"), (4, "twenty bytes of item")]
+    docs = [(1, odd.prose(1, 20) + " " + long[700:1500] + " " + odd.prose(2, 20)), (2, long.upper()), (3, "yes"), (4, "yes or no"), (5, "Here is a short\titem."), (6, "a shorx item"), (7, "xx twenty bytes of item"), (8, "twenty bytes uf item"), (9, long[:300] + odd.prose(3, 40))]
+    found = {(r.doc_id, r.item_id): (r.part, r.edits, r.start) for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(item_rows, "item_id long, text string")).collect()}
+    assert set(found) == {(1, 1), (2, 1), (3, 2), (5, 3), (7, 4)}
+    assert found[1, 1][0] and found[1, 1][1] == 0 and not found[2, 1][0] and found[7, 4] == (False, 0, 3)
+
+
+def test_every_piece_that_stays_whole_has_its_seed(monkeypatch):
+    draw = random.Random(9)
+    monkeypatch.setattr(D, "SLICE_BYTES", 64)
+    every = np.full(D.CHUNK_BITS // 8, 255, dtype=np.uint8)
+    for n in range(300):
+        passage = odd.prose(n, draw.randint(3, 60)).encode()
+        need, pieces = D.pieces_of(passage)
+        text = edited(draw, passage.decode(), draw.randint(0, D.budget(len(passage)))).encode()
+        (own,) = D.seeds_in([text], every)
+        assert need >= 1 and sum(bool(np.isin(p, own).any()) for p in pieces) >= need
+        assert set(own) == set(D.grams(text)) if len(text) >= D.Q else len(own) == 1
+
+
+def test_filter_holds_every_seed(spark, monkeypatch):
+    monkeypatch.setattr(D, "FILTER_BITS", 1 << 18)
+    hashes = D.mixed(np.arange(1, 20_000, dtype=np.uint64))
+    held = D.seed_filter(spark.createDataFrame([(int(h),) for h in D.signed(hashes)], "seed long"))
+    assert len(held) == 1 << 15 and len(D.passing(held, hashes)) == len(hashes)
+    assert len(D.passing(held, D.mixed(np.arange(1 << 40, (1 << 40) + 20_000, dtype=np.uint64)))) < 2000
+
+
 def test_odd_rows_for_leaks(spark):
     docs = odd.table(spark)
     items = spark.createDataFrame([(1, odd.prose(2, 60_000)[1000:1300]), (None, odd.prose(4, 12)), (3, "")], "item_id long, text string")
