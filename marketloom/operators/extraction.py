@@ -432,11 +432,16 @@ def choose_rows(read: DataFrame, generic: bool = True) -> DataFrame:
 
 
 class RuleRows:
-    """Table function: one row per item and field of a rule section (JSON text) on a page."""
+    """Table function: one row per item and field of a rule section (JSON text) on a page. A section is parsed once, not for every page."""
+
+    def __init__(self):
+        self._text = self._section = None
 
     def eval(self, html: str, url: str, section: str):
         if html and section:
-            for row in section_rows(Page(html, url or ""), json.loads(section)):
+            if section != self._text:
+                self._text, self._section = section, json.loads(section)
+            for row in section_rows(Page(html, url or ""), self._section):
                 for field in row["fields"]:
                     yield row["row_no"], field["name"], field["raw"], field["link"]
 

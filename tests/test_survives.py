@@ -5,7 +5,7 @@ from datetime import datetime
 from marketloom.functions import responses
 from marketloom.operators import analytics, common, extraction, lifecycle, quality
 from marketloom.operators.dom import selector_gaps
-from marketloom.operators.pages import keyword_category
+from marketloom.operators.pages import evidence_excerpt, keyword_category, selector_previews
 from marketloom.sources.files import prepared_pages
 from marketloom.sources.upsert import recover_table, upsert
 from pyspark.sql import functions as F
@@ -89,3 +89,21 @@ def test_keyword_rules_equal_a_plain_search(spark):
     rules = [("beer", "bia", 5), ("wine", "vang đỏ", 9), ("can", "lon", 5), ("x", "z", 1), ("none", None, 99)]
     found = keyword_category(spark.createDataFrame(texts, "k long, t string"), "k", "t", spark.createDataFrame(rules, "category string, keyword string, priority int"))
     assert {r.k: r.category for r in found.collect()} == {1: "can", 2: "wine", 3: None, 4: None, None: None, 5: "x"}
+
+
+def test_previews_name_what_a_selector_lacks(spark):
+    pages = spark.createDataFrame([("1", "www.a.vn", "<h1>Bia</h1><p class=x>9</p>"), ("2", "a.vn", None)], "raw_page_id string, domain string, html string")
+    fields = [("listing", "name", "h1", None, True), ("listing", "price", ".x:first-child", None, False)]
+    rules = spark.createDataFrame([("a.vn", fields)], "domain string, fields array<struct<target:string,name:string,selector:string,attr:string,required:boolean>>")
+    got = {(r.raw_page_id, r.name): (r.matches, r.sample, r.gaps) for r in selector_previews(pages, rules).collect()}
+    assert got[("1", "name")] == (1, "Bia", []) and got[("2", "name")] == (0, None, [])
+    assert got[("1", "price")] == (0, None, [".x:first-child"])
+    assert evidence_excerpt(pages.select("raw_page_id", "html")).count() == 2
+
+
+def test_rule_sections_of_several_rows(spark):
+    extraction.register_rule_function(spark)
+    section = '{"fields":[{"name":"n","selector":"%s"}]}'
+    spark.createDataFrame([("1", "<h1>a</h1><b>c</b>", section % "h1"), ("2", "<h1>a</h1><b>c</b>", section % "b"), ("3", "<h1>d</h1>", section % "h1"), ("4", "<h1>d</h1>", None)], "k string, html string, section string").coalesce(1).createOrReplaceTempView("sectioned")
+    got = spark.sql("SELECT k, r.raw FROM sectioned, LATERAL rule_rows(html, '', section) AS r").collect()
+    assert {r.k: r.raw for r in got} == {"1": "a", "2": "c", "3": "d"}
