@@ -11,6 +11,7 @@ from ..operators import extraction as E
 from ..operators import pages as P
 from ..operators import payloads as D
 from ..operators import quality as Q
+from ..session import spread
 from ..sources import files as S
 from ..streaming.run import work_folder
 from . import ansi as A
@@ -211,12 +212,6 @@ def _(t):
 
 # --- shop pages with products ---------------------------------------------------------------
 
-def _spread(rows, *key):
-    """Rows over all cores before pages are made of them: reading pages costs CPU, and the product
-    table may be one small file. Stored pages come in many splits and need none of this."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *key)
-
-
 def _detail_pages(t):
     """A product page per product: heading, prices, stock, a labelled brand and the shop's JSON-LD."""
     c = F.col
@@ -226,14 +221,14 @@ def _detail_pages(t):
         F.lit("'><script type='application/ld+json'>"), jsonld, F.lit("</script></head><body><nav><a href='/'>Trang chủ</a></nav><h1>"), c("product_name"),
         F.lit("</h1><div class='box'><span class='price'>"), c("price_text"), F.lit("</span><del class='old'>"), F.coalesce(c("old_price").cast("long").cast("string"), F.lit("")),
         F.lit("</del></div><table><tr><th>Thương hiệu</th><td> "), c("brand"), F.lit(" </td></tr></table><img data-src='/img/"), c("raw_page_id"), F.lit(".jpg'><footer>2024</footer></body></html>"))
-    return _spread(t.products, "raw_page_id").select("raw_page_id", "domain", F.col("product_url").alias("url"), F.lit("product_detail").alias("page_type"), html.alias("html"))
+    return t.products.select("raw_page_id", "domain", F.col("product_url").alias("url"), F.lit("product_detail").alias("page_type"), html.alias("html"))
 
 
 def _listing_pages(t):
     """Listing pages of up to ten products each, per shop."""
     link = F.regexp_replace("product_url", "^https://[^/]+", "")
     item = F.concat(F.lit('<div class="product-item"><h3><a href="'), link, F.lit('">'), F.col("product_name"), F.lit('</a></h3><p class="price">'), F.col("price_text"), F.lit("</p></div>"))
-    pages = _spread(t.products.withColumn("k", F.floor(F.col("pk") / 1000)), "domain", "k").groupBy("domain", "k").agg(F.array_sort(F.collect_list(F.struct("pk", item.alias("i")))).alias("l"))
+    pages = spread(t.products.withColumn("k", F.floor(F.col("pk") / 1000)), "domain", "k").groupBy("domain", "k").agg(F.array_sort(F.collect_list(F.struct("pk", item.alias("i")))).alias("l"))
     return pages.select(F.concat("domain", F.lit("#"), F.col("k").cast("string")).alias("raw_page_id"), "domain", F.concat(F.lit("https://"), "domain", F.lit("/danh-muc/tat-ca?page="), F.col("k").cast("string")).alias("url"),
                         F.lit("unknown").alias("page_type"), F.concat(F.lit("<html><body><ul class=menu><li>x<li>y</ul>"), F.array_join(F.transform("l", lambda x: x["i"]), ""), F.lit("</body></html>")).alias("html"))
 
