@@ -62,6 +62,7 @@ class LastMetrics(StatefulProcessor):
     LAST = "run_id string, valid_products long, required_coverage double, brand_coverage double, duplicate_ratio double, median_price double"
     WAITING = f"run_at timestamp, quarantined boolean, {LAST}"
     NAMES = ["run_id", *METRICS]
+    FRAME = 20_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -69,37 +70,43 @@ class LastMetrics(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.WAITING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = set()
+        first = None
         for frame in rows:
             frame = frame[["run_at", "quarantined", *self.NAMES]].astype(object)
             self.waiting.appendList([tuple(None if pd.isna(v) else v for v in row) for row in frame.itertuples(index=False)])
-            times |= {_millis(t) for t in frame["run_at"]}
-        known = set(self.handle.listTimers())
-        for time in times - known:
-            self.handle.registerTimer(time)
+            first = min(filter(None, (first, _millis(frame["run_at"].min()))))
+        self._wake(first)
         return iter(())
 
+    def _wake(self, time: int) -> None:
+        """One timer a source, for its earliest run: when it fires, all that the watermark has passed goes at once."""
+        if time < min(self.handle.listTimers(), default=time + 1):
+            self.handle.registerTimer(time)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(w) for w in self.waiting.get()]
-        ready = sorted((w for w in waiting if _millis(w[0]) <= passed), key=lambda w: (w[0], w[2]))
+        ready, late = [], []
+        for run in map(tuple, self.waiting.get()):
+            (ready if _millis(run[0]) <= passed else late).append(run)
         if not ready:
             return  # An earlier timer of this micro-batch has released them.
-        late = [w for w in waiting if _millis(w[0]) > passed]
+        ready.sort(key=lambda w: (w[0], w[2]))
         if late:
             self.waiting.put(late)
+            self.handle.registerTimer(min(_millis(w[0]) for w in late))
         else:
             self.waiting.clear()
         last = tuple(self.last.get()) if self.last.exists() else (None,) * len(self.NAMES)
-        out = []
-        for run_at, quarantined, *values in ready:
-            out.append((key[0], run_at, *values, *last))
-            if not quarantined:
-                last = tuple(values)
+        for start in range(0, len(ready), self.FRAME):
+            out = []
+            for run_at, quarantined, *values in ready[start:start + self.FRAME]:
+                out.append((key[0], run_at, *values, *last))
+                if not quarantined:
+                    last = tuple(values)
+            yield pd.DataFrame(out, columns=["source_id", "run_at", *self.NAMES, *[f"previous_{n}" for n in self.NAMES]]).astype(
+                {f"{p}valid_products": "Int64" for p in ("", "previous_")})
         if last[0] is not None:
             self.last.update(last)
-        yield pd.DataFrame(out, columns=["source_id", "run_at", *self.NAMES, *[f"previous_{n}" for n in self.NAMES]]).astype(
-            {f"{p}valid_products": "Int64" for p in ("", "previous_")})
 
     def close(self) -> None:
         pass

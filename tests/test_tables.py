@@ -257,6 +257,34 @@ def test_runs_are_paired_in_order_of_time(spark):
     assert [r["warnings"][0] for r in got if r["run_id"] == "r3"] == ["product count dropped from 20 to 9"]
 
 
+def test_a_source_has_one_timer_however_many_runs_wait():
+    import pandas as pd
+
+    class State:
+        rows = ()
+        exists = lambda self: False
+        get = lambda self: iter(self.rows)
+        put = update = lambda self, rows: setattr(self, "rows", tuple(rows))
+        appendList = lambda self, rows: setattr(self, "rows", (*self.rows, *rows))
+        clear = lambda self: setattr(self, "rows", ())
+
+    class Handle:
+        timers: set = set()
+        getValueState = getListState = lambda self, *_: State()
+        listTimers = lambda self: iter(self.timers)
+        registerTimer = lambda self, time: self.timers.add(time)
+
+    runs = pd.DataFrame([(pd.Timestamp("2024-01-01") + pd.Timedelta(days=d), False, f"r{d:03}", d, 1.0, 1.0, 1.0, 1.0) for d in range(200)], columns=["run_at", "quarantined", "run_id", *Q.METRICS])
+    machine, watermark = T.LastMetrics(), pd.Timestamp("2024-01-31").value // 1_000_000
+    machine.init(Handle())
+    list(machine.handleInputRows(("s",), iter([runs[100:], runs[:100]]), None))
+    assert Handle.timers == {pd.Timestamp("2024-01-01").value // 1_000_000}
+    passed = type("Times", (), {"getCurrentWatermarkInMs": lambda self: watermark})()
+    out = pd.concat(machine.handleExpiredTimer(("s",), passed, None))
+    assert list(out["run_id"]) == [f"r{d:03}" for d in range(31)] and list(out["previous_run_id"])[1:] == [f"r{d:03}" for d in range(30)]
+    assert min(t for t in Handle.timers if t > watermark) == watermark + 86_400_000 and not list(machine.handleExpiredTimer(("s",), passed, None))
+
+
 def test_newest_offers_ignore_late_rows(spark):
     current = spark.sql("SELECT 'a' AS offer_id, 5.0D AS price_numeric, TIMESTAMP '2024-01-05' AS updated_at")
     arrived = spark.sql("SELECT * FROM VALUES ('a', 1.0D, TIMESTAMP '2024-01-01'), ('b', 2.0D, TIMESTAMP '2024-01-01'), ('b', 3.0D, TIMESTAMP '2024-01-02') AS t(offer_id, price_numeric, updated_at)")
