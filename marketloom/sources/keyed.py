@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def buckets_for(rows: int, each: int = 200_000, least: int = 8) -> int:
+    """Buckets for a table that is to hold so many rows: a merge sorts and writes each in one task, so they grow in number and not in size."""
+    return max(least, -(-rows // each))
+
+
 class KeyedTable:
     """Rows with one key each. The number of buckets is fixed when a table is made; choose it so that a bucket stays a few hundred MB."""
 
