@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import part_id
 from ..operators.common import latest_by
-from ..sources.keyed import KeyedTable
+from ..sources.keyed import KeyedTable, buckets_for
 from ..streaming import jobs as S
 from ..streaming.run import drain, drain_batches, in_batches, stream_table, work_folder
 from ..streaming.writer import WriterJob
@@ -133,7 +133,7 @@ def _run_writer(t):
     rows = t.spark.sql(_RUNS.replace("FROM products", "FROM {products}"), products=t.products)
     rows = rows.withColumns({"rule_version": F.lit("v1"), "data_origin": F.lit("crawled"), "updated_at": F.timestamp_seconds(F.lit(1704067200) + 3600 * F.col("k"))})
     stream = in_batches(rows, "k", 3, "runs")
-    job = WriterJob(t.spark, work_folder(t.spark, "writer"), rows.drop("k").limit(0), _stores_of, buckets=4)
+    job = WriterJob(t.spark, work_folder(t.spark, "writer"), rows.drop("k").limit(0), _stores_of, buckets=buckets_for(t.part.count(), least=4))
     drain_batches(stream, "writer", job.sink)
     return job
 
@@ -170,7 +170,7 @@ def _(t):
     """Order lines in four micro-batches, in no order of time; each rewrites the buckets it touches."""
     price = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("double"))
     arrived = t.lineitem.select(F.concat(F.lit("o"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("offer_id"), price.alias("price_numeric"), F.col("l_shipdate").alias("updated_at"), F.pmod(F.xxhash64("l_orderkey"), F.lit(4)).cast("int").alias("k"))
-    table = KeyedTable(t.spark, work_folder(t.spark, "offers"), arrived.drop("k").schema, ["offer_id"], 16)
+    table = KeyedTable(t.spark, work_folder(t.spark, "offers"), arrived.drop("k").schema, ["offer_id"], buckets_for(t.lineitem.count(), least=16))
     drain_batches(in_batches(arrived, "k", 4, "arrivals"), "offers", lambda batch, n: table.merge(batch, "offers", n, S.newest_offers))
     return table.read().select("offer_id", "price_numeric")
 
