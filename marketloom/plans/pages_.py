@@ -411,8 +411,9 @@ _OK_PRICE = "coalesce(price_numeric BETWEEN low AND high, false)"
 
 
 def _target_sql(bounds):
-    return f"""(SELECT domain, 'listing' AS target, count(*) AS row_count, count(DISTINCT floor(pk / 1000)) AS sample_count, count(*) FILTER ({_OK_PRICE}) AS valid_rows, count(DISTINCT floor(pk / 1000)) FILTER ({_OK_PRICE}) AS good FROM {bounds} GROUP BY domain
-    UNION ALL SELECT domain, 'product_detail', count(*), count(*), count(*) FILTER ({_OK_PRICE}), count(*) FILTER ({_OK_PRICE}) FROM {bounds} GROUP BY domain)"""
+    # A listing names its items by URL, a detail page, whose rule has no URL, by name, which products of one shop may share.
+    return f"""(SELECT domain, 'listing' AS target, count(*) AS row_count, count(DISTINCT floor(pk / 1000)) AS sample_count, count(*) FILTER ({_OK_PRICE}) AS valid_rows, count(DISTINCT floor(pk / 1000)) FILTER ({_OK_PRICE}) AS good, count(DISTINCT lower(product_url)) FILTER ({_OK_PRICE}) AS unique_items FROM {bounds} GROUP BY domain
+    UNION ALL SELECT domain, 'product_detail', count(*), count(*), count(*) FILTER ({_OK_PRICE}), count(*) FILTER ({_OK_PRICE}), count(DISTINCT lower(product_name)) FILTER ({_OK_PRICE}) FROM {bounds} GROUP BY domain)"""
 
 
 def _bounds_sql():
@@ -420,7 +421,7 @@ def _bounds_sql():
     return bounds_table("CAST(NULL AS VARCHAR)")
 
 
-@query("f12_target_metrics", f"""SELECT domain, target, sample_count, valid_rows, valid_rows AS unique_items, round(good / sample_count, 3) AS sample_success,
+@query("f12_target_metrics", f"""SELECT domain, target, sample_count, valid_rows, unique_items, round(good / sample_count, 3) AS sample_success,
     CASE WHEN target = 'listing' THEN least({K.MIN_SAMPLES['listing']}, sample_count) WHEN {_UNDECIDED} THEN 1 ELSE least({K.MIN_SAMPLES['product_detail']}, sample_count) END AS minimum_samples FROM {_target_sql(_bounds_sql())}""")
 def _(t):
     return Q.target_results(*_rule_rows(t)).select("domain", "target", "sample_count", "valid_rows", "unique_items", "sample_success", F.col("minimum_samples").cast("long").alias("minimum_samples"))

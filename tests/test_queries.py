@@ -41,6 +41,16 @@ def test_query_matches_sql(spark, engine, name):
     assert rows_of(got.to_dict("records"), got.columns) == rows_of(want.to_dict("records"), want.columns)
 
 
+def test_items_of_one_name_in_a_shop(spark, tmp_path):
+    connection = duckdb.connect()
+    connection.execute(f"COPY (SELECT p_partkey + 700 * k AS p_partkey, * EXCLUDE (p_partkey, k) FROM '{SF}/part.parquet', range(2) r(k)) TO '{tmp_path}/part.parquet'")
+    for name in BASE:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path if name == 'part' else SF}/{name}.parquet'")
+    got, want = QUERIES["f12_target_metrics"](spark, str(tmp_path)).toPandas(), connection.execute(ORACLES["f12_target_metrics"]).fetchdf()
+    assert (got["unique_items"] < got["valid_rows"]).any()
+    assert rows_of(got.to_dict("records"), got.columns) == rows_of(want.to_dict("records"), want.columns)
+
+
 def test_every_check_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
