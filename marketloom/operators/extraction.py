@@ -220,12 +220,12 @@ def rules_from_structures(rules: DataFrame) -> DataFrame:
         (F.col("allowed_targets") if "allowed_targets" in columns else targets).alias("allowed_targets"))
 
 
-def _by_bytes(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes of HTML, so a worker holds few large pages at a time."""
+def _by_bytes(batch: pa.RecordBatch, most: int = 8 << 20, pages: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of HTML and at most so many pages, so that what a worker holds of rules and rows does not grow with the batch."""
     sizes = [len(v) if v is not None else 0 for v in (x.as_buffer() if x.is_valid else None for x in batch.column(batch.schema.get_field_index("html")))]
     start = held = 0
     for i, size in enumerate(sizes):
-        if i > start and held + size > most:
+        if i > start and (held + size > most or i - start == pages):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size

@@ -119,3 +119,13 @@ def test_contract_and_rule_check(spark):
     assert (row["valid_rows"], row["sample_count"], row["unique_items"], row["sample_success"], row["passed"]) == (2, 2, 2, 0.5, False)
     verdict = Q.rule_verdicts(target).first()
     assert verdict["score"] == pytest.approx(round(7 / 9 * 0.65 + 0.4 * 0.25 + 0.1, 3)) and not verdict["accepted"]
+
+
+def test_a_worker_holds_few_pages_of_a_large_batch():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"html": ["<p>x</p>", None] * 5000, "n": list(range(10000))})
+    parts = list(E._by_bytes(batch))
+    assert max(p.num_rows for p in parts) <= 256 and [n for p in parts for n in p.column(1).to_pylist()] == list(range(10000))
+    large = pa.RecordBatch.from_pydict({"html": ["x" * (5 << 20)] * 4})
+    assert [p.num_rows for p in E._by_bytes(large)] == [1, 1, 1, 1]
