@@ -549,8 +549,10 @@ def _(t):
     two = F.when(F.col("sk") % 2 == 1, F.concat(F.lit(","), F.lit('{"name":"price","selector":".p"}'))).otherwise("")
     item = F.when(F.col("sk") % 5 == 0, "container_selector").otherwise("item_selector")
     body = F.concat(F.lit('{"domain":"'), F.upper("domain"), F.lit('","listing":{"'), item, F.lit('":".'), (F.col("sk") % 7).cast("string"), F.lit('","fields":['), one, two, F.lit("]}}"))
-    t.sources.select("sk", F.when(F.col("sk") % 3 == 0, "{ no rule").otherwise(body).alias("value")).write.partitionBy("sk").text(place)
-    rules = S.read_rule_files(t.spark, f"{place}/*/*.txt")
+    # Files of one folder, written by all cores: a folder for each would be listed one by one.
+    files = t.sources.select(F.concat(F.col("sk").cast("string"), F.lit(".json")).alias("path"), F.when(F.col("sk") % 3 == 0, "{ no rule").otherwise(body).alias("text"))
+    S.write_named_files(spread(files, "path"), place)
+    rules = S.read_rule_files(t.spark, place)
     return rules.select("domain", F.col("structure")["listing"]["item_selector"].alias("item"), F.size(F.col("structure")["listing"]["fields"]).alias("fields"))
 
 

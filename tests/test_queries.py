@@ -51,6 +51,15 @@ def test_items_of_one_name_in_a_shop(spark, tmp_path):
     assert rows_of(got.to_dict("records"), got.columns) == rows_of(want.to_dict("records"), want.columns)
 
 
+def test_rule_files_lie_in_one_folder(spark, engine, tmp_path, monkeypatch):
+    from marketloom.plans import pages_
+
+    monkeypatch.setattr(pages_, "work_folder", lambda session, name: str(tmp_path / name))
+    got, want = QUERIES["a11_rule_files"](spark, SF).toPandas(), engine.execute(ORACLES["a11_rule_files"]).fetchdf()
+    assert rows_of(got.to_dict("records"), got.columns) == rows_of(want.to_dict("records"), want.columns)
+    assert not [f for f in (tmp_path / "rules").iterdir() if f.is_dir()]
+
+
 def test_every_check_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
