@@ -220,7 +220,8 @@ def duplicate_pairs(listings: DataFrame, min_ratio: float = 0.78) -> DataFrame:
     """
     rows = listings.select("source", "url", "name").distinct().withColumn("name_key", X.product_name_key("name")).filter("name_key <> ''")
     rows = rows.withColumns({"key": F.coalesce(X.blank_to_null("url"), F.col("name"))})
-    rows = rows.withColumn("listing", F.concat_ws(":", "source", "key"))
+    # Five aggregates and joins below read the listings: write them once, so none starts from the pages.
+    rows = cut_lineage(rows.withColumn("listing", F.concat_ws(":", "source", "key")))
     fields = ["listing", "source", "key", "url", "name", "name_key"]
     head = lambda group: rows.groupBy(group).agg(F.min(F.struct(*fields)).alias("head"))
     linked = lambda group: rows.filter(F.coalesce(F.col(group), F.lit("")) != "").join(head(group), group).filter(

@@ -120,3 +120,32 @@ def test_pairs_on_one_url_also_name_their_likeness(spark):
     rows = [("a", "https://x/1", "Bia Hanoi lon 330"), ("b", "https://x/1", "Bia Hanoi lon 33"), ("c", "https://x/1", "Sua tuoi")]
     found = R.duplicate_pairs(spark.createDataFrame(rows, "source string, url string, name string")).collect()
     assert sorted(tuple(r["reasons"]) for r in found) == [("product_url",), ("product_url", "name_similarity")]
+
+
+def _written(spark):
+    """Bytes of all shuffles of the session so far."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_similarity_join_moves_texts_and_not_pairs(spark):
+    rng = random.Random(8)
+    syllables = ["the", "an", "on", "er", "in", "ed", "th", " "]
+    words = sorted({"".join(rng.choice(syllables) for _ in range(24))[:45] for _ in range(700)})
+    rows = spark.createDataFrame([(w, w) for w in words], "item string, label string")
+    before = _written(spark)
+    got = similar_pairs(rows, "item", "label", 0.78, []).collect()
+    assert _written(spark) - before < 4 * sum(map(len, words))
+    assert {(r["left_item"], r["right_item"]) for r in got} == {(a, b) for a, b in itertools.combinations(words, 2) if ratio(a, b) >= 0.78}
+
+
+def test_similarity_of_long_texts_over_strips_and_blocks(spark, monkeypatch):
+    from marketloom.operators import similarity as S
+
+    monkeypatch.setattr(S, "STRIP_ROWS", 16)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdé漢 ") for _ in range(n)) for n in [0, 1, 40, 63, 64, 65, 66, 90, 128, 129, 180, 300] for _ in range(5)]
+    texts += [t[:k] + "x" + t[k + 3:] for t in texts for k in (len(t) // 2,)]
+    rows = sorted({(b, t) for t in texts for b in "pq" if t and (b == "p" or len(t) % 2)})
+    got = similar_pairs(spark.createDataFrame(rows, "block string, item string").withColumn("label", F.col("item")), "item", "label", 0.7, ["block"])
+    want = {(b, x, y) for b in "pq" for x, y in itertools.combinations([t for k, t in rows if k == b], 2) if ratio(x, y) >= 0.7}
+    assert {(r["block"], r["left_text"], r["right_text"]) for r in got.collect()} == want and len(want) > 40
