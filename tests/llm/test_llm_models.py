@@ -156,6 +156,16 @@ def test_wrapped_notices_are_compared_whole(spark, licence_model):
     assert found == {("a", 0): "unknown", ("b", 0): "unknown", ("b", 1): "mit"}
 
 
+def test_a_notice_that_its_paragraph_interrupts_is_compared_whole(spark, licence_model):
+    # More words stand between the parts of the notice than twice the longest template has; on one line it is found.
+    lines = WRAPPED["bsd"].split("\n")
+    plain = [f"alpha{k} beta{k} gamma{k} delta{k}" for k in range(60)]
+    rows = [("apart", "\n".join([lines[0], *plain, *lines[1:]])), ("ended", "\n".join([lines[0], *plain, "", *lines[1:]])), ("one", " ".join([lines[0], *plain, *lines[1:]]))]
+    found = {(r.doc_id, r.paragraph): r for r in C.scan(spark.createDataFrame(rows, "doc_id string, text string"), model=licence_model).collect()}
+    assert found["one", 0].family == found["apart", 0].family == "bsd" and found["apart", 0].confirmed and found["apart", 0].similarity >= 0.8
+    assert found["ended", 0].family == "unknown"
+
+
 def test_reserved_rights_and_other_licences_give_rows(spark, licence_model):
     lines = ["All rights reserved.", "Copyright 2020 A. Nyone", "Alle Rechte vorbehalten.", "Lizenz: Hausordnung", "Released under the ISC License.", "Licensed under the Eclipse Public License 2.0.", "nothing of the kind"]
     found = {r.paragraph: r.family for r in C.scan(spark.createDataFrame([(1, "\n\n".join(lines))], "doc_id long, text string"), model=licence_model).collect()}
