@@ -62,6 +62,30 @@ def side_by_side(*frames: DataFrame) -> DataFrame:
     return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
+def exploded(array: Column | str) -> Column:
+    """One row per item of an array without NULL items; for :func:`with_item`.
+
+    A plain ``explode`` of a column makes Spark filter on the array's size first, below the step that builds the array, so that all of
+    that step is written into the filter and computed again for each of its uses.
+    """
+    return F.explode_outer(array)
+
+
+def with_item(rows: DataFrame, item: str) -> DataFrame:
+    """The rows of :func:`exploded` that hold an item."""
+    return rows.filter(F.col(item).isNotNull())
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns added or replaced, each computed once a row, also where rows are filtered by them later.
+
+    A filter on columns of a plain projection is moved below it, with what they are computed from written out in it.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*rest, one.alias("_once")).select(*rest, *[F.col("_once")[n].alias(n) for n in columns])
+
+
 def skip_all(value: str | None) -> bool:
     return value is None or value in ("", "all")
 

@@ -11,6 +11,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -245,12 +246,14 @@ def read_pages(pages: DataFrame, rules: DataFrame, generic: bool = True, locator
     keep = [c for c in pages.columns if c != "html"]
     configured = F.filter(
         F.array(*[F.when(F.size(F.col("structure")[t]["fields"]) > 0, F.lit(t)) for t in TARGETS[:2]]), lambda t: t.isNotNull())
+    # A page carries its rule as one text, which a worker parses once and not for every page.
+    texts = rules_from_structures(rules).withColumns({"configured_targets": configured, "structure": F.to_json("structure")})
     prepared = (
         pages.withColumn("content_hash", text_hash(F.col("html")))
         .withColumn("rule_domain", without_www("domain"))
-        .join(broadcast_if_small(rules_from_structures(rules)), "rule_domain", "left")
+        .join(broadcast_if_small(texts), "rule_domain", "left")
         .join(broadcast_if_small(locators), F.col("rule_domain") == F.col("locator_domain"), "left")
-        .withColumn("configured_targets", configured)
+        .withColumn("configured_targets", F.coalesce("configured_targets", F.array().cast("array<string>")))
     )
     kept = [*keep, "content_hash", "rule_version", "allowed_targets", "configured_targets"]
     prepared = prepared.select(*kept, "html", "structure", "locator")
@@ -273,10 +276,17 @@ def read_pages(pages: DataFrame, rules: DataFrame, generic: bool = True, locator
 _NOTHING = {c: [] for c in ("listing", "product_detail", "stores", "jsonld_products", "jsonld_stores", "generic_listing", "generic_detail", "generic_stores", "located_stores")}
 
 
-def _read_one(html: str | None, url: str | None, structure: dict | None, locator: dict | None, generic: bool) -> dict:
+@lru_cache(maxsize=256)
+def _parsed_rule(text: str | None) -> tuple[dict, list[str]]:
+    """A rule's structure with the parts of its selectors that are not understood."""
+    structure = json.loads(text) if text else {}
+    return structure, _rule_gaps(structure)
+
+
+def _read_one(html: str | None, url: str | None, rule: str | None, locator: dict | None, generic: bool) -> dict:
     """What one page gives; a page that cannot be read gives no rows and says why, and the others go on."""
     try:
-        return _read_page(html, url, structure, locator, generic)
+        return _read_page(html, url, *_parsed_rule(rule), locator, generic)
     except Exception as problem:  # noqa: BLE001  any page may be anything
         return {**_NOTHING, "context": None, "read_error": f"{type(problem).__name__}: {problem}"}
 
@@ -287,9 +297,8 @@ def _rule_gaps(structure: dict) -> list[str]:
     return sorted({g for s in selectors for g in selector_gaps(s)})
 
 
-def _read_page(html: str | None, url: str | None, structure: dict | None, locator: dict | None, generic: bool) -> dict:
-    page, structure = Page(html or "", url or ""), structure or {}
-    gaps = _rule_gaps(structure)
+def _read_page(html: str | None, url: str | None, structure: dict, gaps: list[str], locator: dict | None, generic: bool) -> dict:
+    page = Page(html or "", url or "")
     problems = [p for p in (page.error, "unsupported selector: " + " , ".join(gaps) if gaps else None) if p]
     products, stores = jsonld_records(page) if "application/ld+json" in (html or "") else ([], [])
     out = {t: section_rows(page, structure.get(t)) for t in TARGETS}

@@ -11,6 +11,7 @@ from ..functions.classify import address_status, category_of, price_status
 from ..functions.ids import part_id, price_part, text_hash
 from ..functions.urls import is_url_like, name_from_url, resolve_url, without_www
 from ..session import broadcast_if_small
+from .common import computed_once, exploded, with_item
 
 STORE_CONFIG = ["store_scope", "store_name", "store_url", "store_address", "store_phone", "store_channel"]
 TRACED_FIELDS = ["product_name", "price", "brand", "product_url", "store_name", "store_url", "store_address", "store_phone"]
@@ -30,7 +31,8 @@ PAYLOAD = [
 def with_payload(df: DataFrame) -> DataFrame:
     """Add the payload columns of ``record``; rows with neither name nor URL are dropped.
 
-    Needs record, domain and url. Built in steps, so that each value is computed once.
+    Needs record, domain and url. Built in steps, so that each value is computed once; rows are filtered by name, URL and price
+    here and later.
     """
     record, link = F.col("record"), F.col("product_url")
     df = df.withColumns({
@@ -43,7 +45,7 @@ def with_payload(df: DataFrame) -> DataFrame:
         "store_address": X.blank_to_null(X.clean_text(_entry(record, "store_address"))),
         **{n: _entry(record, n) for n in ("brand", "store_name", "store_url", "store_channel", "store_phone")}})
     named = F.col("_name")
-    df = df.withColumns({
+    df = computed_once(df, {
         "product_url": F.when(is_url_like(named), named).otherwise(link),
         "product_name": F.when(is_url_like(named), name_from_url(named))
         .when((named == "") & link.isNotNull(), name_from_url(link)).otherwise(named),
@@ -74,7 +76,7 @@ def attach_store_config(pages: DataFrame, sources: DataFrame | None) -> DataFram
 
 def stores_of_pages(chosen: DataFrame) -> DataFrame:
     """Store rows of the pages; a row without an address is no store."""
-    rows = chosen.select("raw_page_id", "domain", "url", "source_id", F.explode("store_rows").alias("row"))
+    rows = with_item(chosen.select("raw_page_id", "domain", "url", "source_id", exploded("store_rows").alias("row")), "row")
     record = F.col("row")["record"]
     address = X.clean_text(X.first_alias(record, K.STORE_ADDRESS_ALIASES))
     name = X.clean_text(X.first_alias(record, K.STORE_NAME_ALIASES))
@@ -116,9 +118,9 @@ def products_of_pages(chosen: DataFrame, as_of: Column, method: str = "rule", mo
     fill_sources = F.map_from_entries(F.array(*[
         F.struct(F.lit(n), F.when(X.blank_to_null(config[n]).isNotNull(), "source_config").otherwise("site_metadata"))
         for n in page_value]))
-    rows = chosen.select(
+    rows = with_item(chosen.select(
         "raw_page_id", "domain", "url", "source_id", "content_hash", "rule_version",
-        fills.alias("fills"), fill_sources.alias("fill_sources"), F.explode("product_rows").alias("row"))
+        fills.alias("fills"), fill_sources.alias("fill_sources"), exploded("product_rows").alias("row")), "row")
     own = F.map_filter(F.col("row")["record"], lambda k, v: F.coalesce(v, F.lit("")) != "")
     row_sources = F.map_filter(F.col("row")["sources"], lambda k, v: F.map_contains_key(own, k))
     rows = rows.withColumns({

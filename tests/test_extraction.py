@@ -28,6 +28,20 @@ def test_selectors():
     assert page.attrs[page.first("img[data-src]")]["data-src"] == "i"
 
 
+def test_a_selector_tries_only_nodes_of_its_tag_or_attribute(monkeypatch):
+    page, tried, fits = Page("<div class=x><p>t</p></div>" * 300 + "<h1 id=q>u</h1><i class='x on'>v</i>"), [], Page._fits
+    monkeypatch.setattr(Page, "_fits", lambda self, node, chain: tried.append(node) or fits(self, node, chain))
+    assert [page.text(n) for n in page.select("h1, #q, .on, nope")] == ["u", "v"]
+    assert page.first("h1") == page.first("[id]") and list(page.select("*", page.first("div"))) == [2]
+    assert len(set(tried)) < 310
+
+
+def test_a_rule_is_read_once_and_its_gaps_named():
+    rule = '{"listing":{"item_selector":".a:hover","fields":[{"name":"n","selector":"b"}]}}'
+    assert E._parsed_rule(rule) is E._parsed_rule(str(rule)) and E._parsed_rule(rule)[1] == [".a:hover"]
+    assert E._parsed_rule(None) == ({}, [])
+
+
 @pytest.fixture(scope="module")
 def products(spark):
     jsonld = '<script type="application/ld+json">{"@graph":[{"@type":["Thing","Product"],"name":"J","url":"/j","brand":{"name":"BB"},"offers":{"price":"100.000"}},{"@type":"Store","name":"Kho","address":{"streetAddress":"1 A","addressLocality":"HN"},"telephone":"0901234567"}]}</script>'

@@ -35,3 +35,11 @@ def test_extraction_reads_pages_once_without_moving_rows_after(spark):
     assert text.count("MapInArrow") == 1
     above = text[: text.index("MapInArrow")]
     assert "Exchange" not in above
+
+
+def test_rows_are_filtered_by_what_is_computed_already(spark):
+    """No filter holds the making of product rows, names or prices, which would be computed again for each of its uses."""
+    plan = QUERIES["c10_price_observations"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    own = plan[:plan.index("MapInArrow")]
+    filters = [line for line in own.split("\n") if line.lstrip(" +-:").startswith("Filter")]
+    assert filters and not any("regexp" in line or "transform(" in line for line in filters)
