@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .text import blank_to_null, clean_text, col, contains_any, joined_lower
+from .text import blank_to_null, clean_text, col, contains_any, joined_lower, let
 from .urls import authority, path, without_www
 
 
@@ -111,14 +111,12 @@ def looks_dynamic(html: Column | str) -> Column:
 
 
 def valid_product_name(name: Column | str) -> Column:
-    text = clean_text(name)
-    return F.length(text).between(3, 300) & ~text.rlike("(?i)^https?://") & ~F.lower(text).isin(K.GENERIC_NAMES)
+    return let(clean_text(name), lambda text: F.length(text).between(3, 300) & ~text.rlike("(?i)^https?://") & ~F.lower(text).isin(K.GENERIC_NAMES))
 
 
 def valid_product_url(url: Column | str, domain: Column | str) -> Column:
-    text = clean_text(url)
-    return (text.rlike("^https?://") & (authority(text) != "") & (without_www(authority(text)) == without_www(domain))
-            & ~path(text).isin("", "/"))
+    return let(clean_text(url), lambda text: text.rlike("^https?://") & (authority(text) != "")
+               & (without_www(authority(text)) == without_www(domain)) & ~path(text).isin("", "/"))
 
 
 _STATUS_LABELS = {

@@ -117,12 +117,16 @@ def volume_ml(value: Column | str) -> Column:
 
 
 def infer_volume_ml(*values: Column) -> Column:
-    return _volume(joined_lower(*values), VOLUME_PATTERN)
+    return volume_ml(joined_lower(*values))
 
 
 def infer_package_count(*values: Column) -> Column:
     """Units in a pack by three patterns in order, kept within 1..500, 1 when none applies."""
-    text = joined_lower(*values)
+    return package_count_of(joined_lower(*values))
+
+
+def package_count_of(text: Column) -> Column:
+    """:func:`infer_package_count` of text that is joined and lowered already."""
     count = F.coalesce(*[found(p, text).cast("int") for p in PACKAGE_PATTERNS], F.lit(1))
     return F.greatest(F.lit(1), F.least(count, F.lit(500)))
 

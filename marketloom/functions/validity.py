@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .classify import category, valid_product_name, valid_product_url
-from .text import blank_to_null, clean_price, clean_text, infer_package_count, infer_volume_ml, let
+from .classify import category_of, valid_product_name, valid_product_url
+from .text import blank_to_null, clean_price, clean_text, joined_lower, let, package_count_of, volume_ml
 
 
 def _limit(label: Column, position: int) -> Column:
@@ -21,12 +21,17 @@ def _limit(label: Column, position: int) -> Column:
 
 def price_bounds(name: Column, row_category: Column, url: Column, domain: Column,
                  volume: Column | None = None, raw: Column | None = None) -> Column:
-    """Lowest and highest plausible price, scaled by pack count and by volume."""
+    """Lowest and highest plausible price, scaled by pack count and by volume.
+
+    The texts are joined once each: inside ``let`` Spark computes an expression again wherever it stands.
+    """
     empty = F.lit(None).cast("string")
-    facts = F.struct(
-        category(row_category, name, url, domain).alias("label"),
-        infer_package_count(name, raw if raw is not None else empty).cast("double").alias("count"),
-        infer_volume_ml(name, volume if volume is not None else empty).cast("double").alias("ml"))
+    texts = F.struct(joined_lower(row_category, name, url, domain).alias("words"),
+                     joined_lower(name, raw if raw is not None else empty).alias("pack"),
+                     joined_lower(name, volume if volume is not None else empty).alias("size"))
+    facts = let(texts, lambda t: F.struct(
+        category_of(t["words"]).alias("label"), package_count_of(t["pack"]).cast("double").alias("count"),
+        volume_ml(t["size"]).cast("double").alias("ml")))
 
     def bounds(f: Column) -> Column:
         label, ml = f["label"], f["ml"]

@@ -234,9 +234,11 @@ def _by_bytes(batch: pa.RecordBatch, most: int = 8 << 20, pages: int = 256) -> I
         yield batch.slice(start)
 
 
-def read_pages(pages: DataFrame, rules: DataFrame, generic: bool = True, locators: DataFrame | None = None) -> DataFrame:
+def read_pages(pages: DataFrame, rules: DataFrame, generic: bool = True, locators: DataFrame | None = None, facts: bool = True) -> DataFrame:
     """Run each page's rule over its HTML. Needs raw_page_id, domain, url, page_type, html.
 
+    Without ``facts`` only the rule's own sections are read, as trying a rule needs: JSON-LD is empty and the context NULL.
+
     Rules are a registry-sized table: they are broadcast only when their size estimate is under
     the limit; otherwise the join shuffles and AQE splits a hot domain.
     """
@@ -263,7 +265,7 @@ def read_pages(pages: DataFrame, rules: DataFrame, generic: bool = True, locator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _by_bytes(whole)):
-            found = [_read_one(*page, generic) for page in zip(
+            found = [_read_one(*page, generic, facts) for page in zip(
                 *[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("html", "url", "structure", "locator")])]
             columns = [batch.column(batch.schema.get_field_index(n)) for n in kept]
             columns += [pa.array([f[field.name] for f in found], field.type) for field in list(arrow)[len(kept):]]
@@ -283,10 +285,10 @@ def _parsed_rule(text: str | None) -> tuple[dict, list[str]]:
     return structure, _rule_gaps(structure)
 
 
-def _read_one(html: str | None, url: str | None, rule: str | None, locator: dict | None, generic: bool) -> dict:
+def _read_one(html: str | None, url: str | None, rule: str | None, locator: dict | None, generic: bool, facts: bool = True) -> dict:
     """What one page gives; a page that cannot be read gives no rows and says why, and the others go on."""
     try:
-        return _read_page(html, url, *_parsed_rule(rule), locator, generic)
+        return _read_page(html, url, *_parsed_rule(rule), locator, generic, facts)
     except Exception as problem:  # noqa: BLE001  any page may be anything
         return {**_NOTHING, "context": None, "read_error": f"{type(problem).__name__}: {problem}"}
 
@@ -297,10 +299,10 @@ def _rule_gaps(structure: dict) -> list[str]:
     return sorted({g for s in selectors for g in selector_gaps(s)})
 
 
-def _read_page(html: str | None, url: str | None, structure: dict, gaps: list[str], locator: dict | None, generic: bool) -> dict:
+def _read_page(html: str | None, url: str | None, structure: dict, gaps: list[str], locator: dict | None, generic: bool, facts: bool) -> dict:
     page = Page(html or "", url or "")
     problems = [p for p in (page.error, "unsupported selector: " + " , ".join(gaps) if gaps else None) if p]
-    products, stores = jsonld_records(page) if "application/ld+json" in (html or "") else ([], [])
+    products, stores = jsonld_records(page) if facts and "application/ld+json" in (html or "") else ([], [])
     out = {t: section_rows(page, structure.get(t)) for t in TARGETS}
     as_map = lambda rows: [[(k, v) for k, v in r.items() if v is not None] for r in rows]
     out.update(
@@ -309,7 +311,7 @@ def _read_page(html: str | None, url: str | None, structure: dict, gaps: list[st
         generic_detail=section_rows(page, _GENERIC["product_detail"]) if generic else [],
         generic_stores=section_rows(page, _GENERIC["stores"]) if generic else [],
         located_stores=as_map(_located_stores(page, locator)) if generic else [],
-        context=page_facts(page, products, stores), read_error="; ".join(problems) or None)
+        context=page_facts(page, products, stores) if facts else None, read_error="; ".join(problems) or None)
     return out
 
 
@@ -369,6 +371,15 @@ def finished_rows(rows: Column) -> Column:
     return F.transform(F.filter(F.transform(rows, finish), lambda r: F.size(r["fields"]) > 0), shape)
 
 
+def finished_records(rows: Column) -> Column:
+    """The record maps of :func:`finished_rows` alone, where nothing else of the rows is wanted."""
+    def record(row: Column) -> Column:
+        values = F.transform(row["fields"], lambda f: F.struct(f["name"].alias("name"), X.blank_to_null(field_value(f)).alias("value")))
+        return F.map_from_entries(F.filter(values, lambda f: f["value"].isNotNull()))
+
+    return F.filter(F.transform(rows, record), lambda r: F.size(r) > 0)
+
+
 ROWS = f"array<struct<row_no:int,record:map<string,string>,sources:map<string,string>,details:map<string,{DETAIL}>>>"
 
 

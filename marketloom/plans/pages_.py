@@ -247,8 +247,8 @@ def _shop_rules(t):
     return t.products.select(without_www("domain").alias("domain")).distinct().select("domain", structure.alias("structure"), F.lit("v1").alias("version"))
 
 
-def _read(t, pages, generic=False):
-    return E.read_pages(pages, _shop_rules(t), generic=generic)
+def _read(t, pages, generic=False, facts=True):
+    return E.read_pages(pages, _shop_rules(t), generic=generic, facts=facts)
 
 
 _DIGITS = "CASE WHEN price_numeric IS NULL THEN NULL ELSE CAST(CAST(price_numeric AS BIGINT) AS VARCHAR) END"
@@ -395,10 +395,15 @@ def _rule_rows(t):
     """Rule rows of both kinds of shop pages, with the samples they were tried on."""
     details = _detail_pages(t).withColumn("class", F.when(F.expr(_UNDECIDED), "unknown").otherwise(page_class("page_type", "url")))
     pages = _listing_pages(t).withColumn("class", page_class("page_type", "url")).unionByName(details)
-    read = _read(t, pages)
-    targets = pages.select("domain").distinct().select("domain", F.explode(F.array(F.lit("listing"), F.lit("product_detail"))).alias("target"))
-    samples = Q.sample_targets(pages.select("domain", "raw_page_id", "class"), targets)
-    sections = F.array(*[F.struct(F.lit(n).alias("target"), F.transform(E.finished_rows(F.col(n)), lambda r: r["record"]).alias("records")) for n in ("listing", "product_detail")])
+    read = _read(t, pages, facts=False)
+    # The classes of the pages go into the targets, the samples and every figure: find them once.
+    place = work_folder(t.spark, "rule_pages")
+    classed = pages.select("domain", "raw_page_id", "class")
+    classed.write.parquet(place)
+    classed = t.spark.read.schema(classed.schema).parquet(place)
+    targets = classed.select("domain").distinct().select("domain", F.explode(F.array(F.lit("listing"), F.lit("product_detail"))).alias("target"))
+    samples = Q.sample_targets(classed, targets)
+    sections = F.array(*[F.struct(F.lit(n).alias("target"), E.finished_records(F.col(n)).alias("records")) for n in ("listing", "product_detail")])
     rows = read.select("domain", "raw_page_id", F.explode(sections).alias("s")).select("domain", "raw_page_id", F.col("s")["target"].alias("target"), F.explode(F.col("s")["records"]).alias("record"))
     # Every figure below goes over these rows: read the pages once and write what they hold.
     place = work_folder(t.spark, "rule_rows")
@@ -474,7 +479,7 @@ def _(t):
     empty = F.lit(None).cast(E.SECTION)
     rules = t.products.select(without_www("domain").alias("domain")).distinct().select("domain", F.struct(empty.alias("listing"), empty.alias("product_detail"), section.alias("stores")).alias("structure"))
     pages = t.products.select("raw_page_id", "domain", F.concat("store_url", F.lit("stores/"), "raw_page_id").alias("url"), F.lit("").alias("page_type"), html.alias("html"))
-    read = E.read_pages(pages, rules, generic=False)
+    read = E.read_pages(pages, rules, generic=False, facts=False)
     rows = read.select("domain", "raw_page_id", F.lit("stores").alias("target"), F.explode(E.finished_rows(F.col("stores"))).alias("r")).select("domain", "raw_page_id", "target", F.col("r")["record"].alias("record"))
     samples = pages.select("domain", "raw_page_id", F.lit("stores").alias("target"), F.lit("store_listing").alias("class"))
     return Q.target_results(rows, samples).select("domain", "sample_count", "valid_rows", "passed")

@@ -42,6 +42,17 @@ def test_a_rule_is_read_once_and_its_gaps_named():
     assert E._parsed_rule(None) == ({}, [])
 
 
+def test_rules_are_tried_without_facts_of_the_page(spark):
+    pages = spark.createDataFrame([("1", "a.vn", "https://a.vn/p", "unknown", "<title>S</title><h1>Vang</h1><b class=price>9</b>")], PAGES)
+    rules = spark.createDataFrame([("a.vn", "v1", {"listing": None, "product_detail": DETAIL, "stores": None})], RULES)
+    whole, bare = (E.read_pages(pages, rules, generic=False, facts=f).first() for f in (True, False))
+    assert whole["context"]["title"] == "S" and bare["context"] is None and bare["jsonld_products"] == []
+    assert bare["product_detail"] == whole["product_detail"] and len(bare["product_detail"][0]["fields"]) == 4
+    both = E.read_pages(pages, rules, generic=False, facts=False).select(E.finished_rows(F.col("product_detail")).alias("r"), E.finished_records(F.col("product_detail")).alias("m")).first()
+    assert both["m"] == [r["record"] for r in both["r"]] == [{"product_name": "Vang", "price": "9"}]
+    assert bare["configured_targets"] == whole["configured_targets"] == ["product_detail"] and bare["read_error"] is None
+
+
 @pytest.fixture(scope="module")
 def products(spark):
     jsonld = '<script type="application/ld+json">{"@graph":[{"@type":["Thing","Product"],"name":"J","url":"/j","brand":{"name":"BB"},"offers":{"price":"100.000"}},{"@type":"Store","name":"Kho","address":{"streetAddress":"1 A","addressLocality":"HN"},"telephone":"0901234567"}]}</script>'

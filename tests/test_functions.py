@@ -102,6 +102,14 @@ def test_ids_match_their_definition(spark, one):
     assert one(I.evidence_hash(F.array(page))) == want
 
 
+def test_checks_join_their_texts_once(spark):
+    """Inside a lambda Spark computes an expression again wherever it stands: one joined text for class, pack and volume each."""
+    c = {n: F.col(n) for n in ("product_name", "category", "product_url", "volume_ml", "price", "old_price", "domain")}
+    rows = spark.createDataFrame([("Vodka 750ml",) * 7], ", ".join(f"{n} string" for n in c))
+    plan = rows.select(V.row_checks(c, c["domain"], "listing").alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("concat_ws(") == 3
+
+
 def test_price_bounds_scale_with_pack_and_volume(one):
     empty = F.lit(None).cast("string")
     bound = V.price_bounds(F.lit("Vodka thùng 6 1.5 lít"), empty, empty, F.lit("a.vn"))
