@@ -45,6 +45,8 @@ FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 LONG_BYTES = 1 << 16
 UNIT_BYTES = 4 << 20
 TEXT_BATCH, UNIT_BATCH = 1000, 4
+#: Rows with texts that Parquet's reader takes at a time. Of units it takes ``UNIT_BATCH``: its own 4096 would be all of a file.
+READ_ROWS = 64
 FAN = 8
 _CUT = re.compile(r"(?<=\S) ")
 _BLANKS = re.compile(r"\s ")
@@ -312,7 +314,7 @@ def _composed(batches):
         rows = rows.sort_by("chunk")
         whole = Fragment()
         for r in rows.to_pylist():
-            whole = whole.then(Fragment((r["head_a"], r["head_b"]), tuple(r["body"].split(";")) if r["body"] else (), (r["tail_a"], r["tail_b"]), r["cut"]))
+            whole = whole.then(Fragment((r["head_a"], r["head_b"]), (r["body"],) if r["body"] else (), (r["tail_a"], r["tail_b"]), r["cut"]))
         yield rows["row"][0].as_py(), rows["node"][0].as_py(), whole
 
 
@@ -327,7 +329,7 @@ def _compose(table: pa.Table) -> pa.Table:
 def composed(fragments: DataFrame, most: int) -> DataFrame:
     """The fragment of every text, from those of its ranges, in a tree of ``FAN`` branches; ``most`` is the largest number of ranges."""
     for _ in range(max(0, math.ceil(math.log(most, FAN) - 1e-9)) if most > 1 else 0):
-        fragments = stored(fragments.withColumn("node", F.floor(F.col("chunk") / FAN)).groupBy("row", "node").applyInArrow(_compose, FRAGMENTS))
+        fragments = stored(fragments.withColumn("node", F.floor(F.col("chunk") / FAN)).groupBy("row", "node").applyInArrow(_compose, FRAGMENTS), wide=True)
     return fragments
 
 
@@ -358,34 +360,35 @@ def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: st
     is_long = F.coalesce(F.octet_length("text") > longest, F.lit(False))
     own = T.StructType([T.StructField("key", kind), T.StructField("row", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("text", T.StringType())])
     nothing = F.lit(None).cast("long")
-    with batches_of(spark, TEXT_BATCH):
+    with batches_of(spark, TEXT_BATCH, READ_ROWS):
         # Written once, so that the rows keep their numbers.
-        long = stored(rows.filter(is_long).select(F.monotonically_increasing_id().alias("row"), "key", "text").mapInArrow(_ranged(longest), own))
+        long = stored(rows.filter(is_long).select(F.monotonically_increasing_id().alias("row"), "key", "text").mapInArrow(_ranged(longest), own), wide=True)
         size = long.agg(F.sum(F.octet_length("text")).alias("bytes"), F.max("chunk").alias("chunk")).first()
         short = rows.filter(~is_long).select("key", nothing.alias("row"), nothing.alias("chunk"), "text")
         spread = long.repartition(parts(size.bytes or 0, UNIT_BYTES), "row", "chunk")
-        units = stored(short.unionByName(spread).mapInArrow(_units(kind, *files), _unit_type(kind)))
+        units = stored(short.unionByName(spread).mapInArrow(_units(kind, *files), _unit_type(kind)), wide=True)
         lost = units.select(F.explode(F.arrays_zip("rows", "good")).alias("x")).filter("x.rows is not null and x.good = 0").select(F.col("x.rows").alias("row")).distinct()
         lost = stored(lost)
         if not lost.isEmpty():
             # A range that does not give back its bytes empties its whole text, and the counts are made without it.
             spread = spread.join(lost.withColumn("lost", F.lit(True)), "row", "left").withColumn("text", F.when(F.col("lost").isNull(), F.col("text"))).select("key", "row", "chunk", "text")
-            units = stored(short.unionByName(spread).mapInArrow(_units(kind, *files), _unit_type(kind)))
-    with batches_of(spark, UNIT_BATCH):
+            units = stored(short.unionByName(spread).mapInArrow(_units(kind, *files), _unit_type(kind)), wide=True)
+    with batches_of(spark, UNIT_BATCH, UNIT_BATCH):
         met = stored(units.select("unit", "pairs", "times").mapInArrow(_pairs_of, "unit long, pair long, n long"))
     counts = stored(met.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)))
     best = counts.groupBy("b").agg(F.max("count").alias("most"))
     rated = counts.join(best, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("top"))
     known = met.join(rated, "pair").groupBy("unit").agg(F.collect_list(F.struct("pair", "count", "top")).alias("known"))
-    with batches_of(spark, UNIT_BATCH):
+    with batches_of(spark, UNIT_BATCH, UNIT_BATCH):
         full = T.StructType([T.StructField("key", kind), T.StructField("row", T.LongType()), T.StructField("chunk", T.LongType()), *(T.StructField(c, T.LongType()) for c in NUMBERS), T.StructField("groups_sha256", T.StringType()), T.StructField("groups", T.StringType())])
-        found = stored(units.join(known, "unit", "left").mapInArrow(_rated(kind), full))
+        found = stored(units.join(known, "unit", "left").mapInArrow(_rated(kind), full), wide=True)
     (name,) = free(docs.select(), key)
     done = found.filter("row is null").select(F.col("key").alias(name), *NUMBERS, "groups_sha256")
     if size.chunk is None:
         return done
     ranged = found.filter("row is not null")
     sums = ranged.groupBy("row").agg(F.first("key").alias("key"), *(F.sum(c).alias(c) for c in NUMBERS))
-    whole = composed(_fragments(ranged.select("row", "chunk", "groups")), size.chunk + 1)
-    digest = whole.select("row", F.when(F.col("cut"), F.sha2(_group_text(F.col("head_a"), F.col("head_b"), F.col("body")), 256)).otherwise(F.lit("")).alias("groups_sha256"))
+    with batches_of(spark, UNIT_BATCH, UNIT_BATCH):
+        whole = composed(_fragments(ranged.select("row", "chunk", "groups")), size.chunk + 1)
+        digest = stored(whole.select("row", F.when(F.col("cut"), F.sha2(_group_text(F.col("head_a"), F.col("head_b"), F.col("body")), 256)).otherwise(F.lit("")).alias("groups_sha256")))
     return done.unionByName(sums.join(digest, "row").select(F.col("key").alias(name), *NUMBERS, "groups_sha256"))

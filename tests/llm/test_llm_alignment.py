@@ -5,10 +5,12 @@ import random
 from collections import Counter
 
 import odd
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from marketloom.llm import alignment as A
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from conftest import SF
@@ -95,6 +97,31 @@ def test_documents(spark):
     assert A.aligned(docs.limit(0)).count() == 0
 
 
+def test_wide_rows_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
+    """Units have megabytes a row: neither what the writer holds nor a batch of the reader may be all units of a task."""
+    tables, stored = {}, A.stored
+
+    def seen(df, *more, **named):
+        out = stored(df, *more, **named)
+        tables[tuple(df.columns)] = (out, named.get("wide"), int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")))
+        return out
+
+    monkeypatch.setattr(A, "stored", seen)
+    words = odd.prose(1, 40)
+    docs = spark.range(900).coalesce(1).select(F.col("id").alias("doc_id"), F.expr(f"repeat('{words} ', {40_000 // (len(words) + 1)})").alias("text"))
+    n_a, n_b, groups, links = plain_one(docs.first().text)
+    found = got(docs)
+    assert [(r[0], *r[1:5]) for r in found] == sorted(((i, n_a, n_b, len(groups), len(links)) for i in range(900)), key=str)
+    (units,) = [x for columns, x in tables.items() if "seg_pair" in columns]
+    assert units[0].count() >= 8 and units[1]
+    assert [n for columns, (_, _, n) in tables.items() if "n_best" in columns] == [A.UNIT_BATCH]
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
+    draw = random.Random(1)
+    (file,) = stored(spark.createDataFrame([(draw.randbytes(1 << 20),) for _ in range(40)], "x binary").coalesce(1), wide=True).inputFiles()
+    read = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert max(read.row_group(k).total_byte_size for k in range(read.num_row_groups)) <= 20 << 20
+
+
 def test_keys_of_any_type(spark):
     rows = [(["a", None], "one two"), (None, "one"), (["b"], "x" * 100)]
     found = A.aligned(spark.createDataFrame(rows, "doc_id array<string>, text string"), longest=50).collect()
