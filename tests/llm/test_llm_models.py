@@ -1,5 +1,6 @@
 """Licence scan, quality model and language ID: held-out accuracy, plain versions and odd rows."""
 
+import itertools
 import math
 import random
 from collections import defaultdict
@@ -211,3 +212,35 @@ def test_full_notices_are_confirmed_on_one_line_and_wrapped(spark, licence_model
 
 def test_the_gate_loses_no_sampled_paragraph(licence_model):
     assert licence_model.missed == 0.0 and {"licensed", "reserved", "lizenz", "permission", "redistribution"} <= set(licence_model.triggers)
+
+
+def every_line(docs, model):
+    """What ``scan`` gives when every line with words is joined and scored."""
+    t = docs.select("doc_id", F.transform(F.split("text", "\n"), C.words).alias("t"))
+    hits = t.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("key"), "t", F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.size(F.get("t", i)) > 0).alias("hits"))
+    found = C._candidates(C._begun(C.stored(hits))).withColumn("words", F.concat("own", "rest"))
+    found = C.stored(found.select("candidate", "key", "paragraph", "joined", C.grams(F.col("words"), 1, 2).alias("short"), C.grams(F.col("rest"), 1, 2).alias("others"), C.grams(F.col("words")).alias("grams")))
+    one = C._met(found, model).groupBy("candidate").agg(F.min(F.struct((~F.col("sure")).alias("open"), "joined", "key", "paragraph", "family", "probability")).alias("x"))
+    return sorted((r.key, r.paragraph, r.family, round(r.probability, 6), not r.open) for r in one.select("x.*").collect())
+
+
+def test_no_line_is_left_out(spark, licence_model):
+    rows = ["Modifications are permitted.", "This\n" + C.NOTICES["gpl"][0].removeprefix("This "), "permitted\nsubject to\nany", "the mit is this", "this is the mit of any", "x", "", "\n\n--\n", "a\n\nthe\nGNU\nGeneral\nPublic License\n\nb",
+            *("plain words here\n" + w.replace(" ", "\n") + "\nmore words" for _, w in C._wordings()), *WRAPPED.values(), *licence_model.features.vocabulary]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = every_line(docs, licence_model)
+    found = sorted((r.doc_id, r.paragraph, r.family, round(r.probability, 6), r.confirmed) for r in C.scan(docs, model=licence_model).collect())
+    assert found == want
+    # "This" is no rare word, so that a gate of such words leaves its line out.
+    assert (1, 0, "gpl", True) in {(*r[:3], r[4]) for r in found}
+
+
+def test_needed_words_stand_in_whatever_holds_enough_of_a_template():
+    draw = random.Random(3)
+    templates = [[f"{draw.choice('abcdef')} {draw.choice('abcdefgh')}" for _ in range(n)] for n in (1, 2, 4, 5, 9, 14)]
+    templates = [sorted(set(t)) for t in templates]
+    for t in templates:
+        needed = set(C._needed([t], {"a": 9, "b": 7, "c": 1}))
+        enough = next(n for n in range(len(t) + 1) if n / len(t) >= C.CONFIRMED_SHARE)
+        for held in itertools.combinations(t, enough):
+            assert needed & {w for pair in held for w in pair.split(" ")}
